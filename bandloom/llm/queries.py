@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, toxicity
+from . import langid, neardup, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.op1_langid,
+        "op2_neardup": neardup.op2_neardup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op8_packing": packing.op8_packing,
         "op10_quality": quality.op10_quality,
