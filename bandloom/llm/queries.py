@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, neardup, packing, quality, toxicity
+from . import langid, neardup, packing, quality, suffixdedup, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_langid": langid.op1_langid,
         "op2_neardup": neardup.op2_neardup,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op6_suffixes": suffixdedup.op6_suffixes,
         "op8_packing": packing.op8_packing,
         "op10_quality": quality.op10_quality,
     }

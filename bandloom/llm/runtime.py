@@ -48,6 +48,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/bandloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark remove shuffle files that only the written table needed
     return spark.read.schema(df.schema).parquet(path)
 
 
