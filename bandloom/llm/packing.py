@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +31,51 @@ _TOKENIZERS: dict = {}
 
 
 class _Words(dict):
-    """Chunk of text between blanks -> its ids as little-endian 32-bit bytes, found by the tokenizer when missing."""
+    """Chunk of text between blanks -> its ids as little-endian 32-bit bytes, found by the tokenizer when missing.
 
-    def __init__(self, path: str, most: int = 400_000):
+    New chunks that are letters of Latin-1 with full stops or commas after them are encoded many at
+    a time: such a run of letters is one word to the tokenizer, and the ids that end words show
+    where each stops. All others are encoded one by one.
+    """
+
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__({"": b""})
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
         out = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= 64:
             self[chunk] = out
         return out
 
+    def learn(self, chunks) -> None:
+        if len(self) >= self.most:
+            self.clear()
+            self[""] = b""
+        plain = []
+        for chunk in set(chunks).difference(self):
+            core = chunk.rstrip(".,")
+            if core.isalpha() and max(core) <= "\xff":
+                plain.append((chunk, core))
+        cores = list({core for _, core in plain}.difference(self))
+        for i in range(0, len(cores), 2000):
+            part = cores[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(part):
+                whole = ids.tobytes()
+                edges = (4 * stop).tolist()
+                for core, x, y in zip(part, [0, *edges], edges):
+                    self[core] = whole[x:y]
+        for chunk, core in plain:
+            if chunk is not core:
+                self[chunk] = self[core] + self[chunk[len(core) :]]
+
 
 def _words(path: str) -> _Words:
     if path not in _TOKENIZERS:
@@ -53,13 +83,15 @@ def _words(path: str) -> _Words:
     return _TOKENIZERS[path]
 
 
-def encode(text: str, words: _Words) -> bytes:
-    """The ids of a whole text, 4 bytes each.
+def encode(texts: list[str], words: _Words) -> list[bytes]:
+    """The ids of whole texts, 4 bytes each.
 
-    The tokenizer never joins over white space and drops it, so the text is encoded chunk by chunk
+    The tokenizer never joins over white space and drops it, so texts are encoded chunk by chunk
     (blank, tab, line feed and carriage return divide) and the chunks' ids are kept for reuse.
     """
-    return b"".join(map(words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+    chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    words.learn(chain.from_iterable(chunks))
+    return [b"".join(map(words.__getitem__, c)) for c in chunks]
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -70,14 +102,12 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int
 
     def run(batches):
         words = _words(tokenizer)
-        words.pop("", None)
-        words[""] = b""
         for batch in batches:
             keys, texts = textkit.columns(batch, "doc_id", "text")
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            for k, text in enumerate(texts):
-                value = text.as_py()
-                whole = (encode(value, words) if value else b"") + end
+            encoded = (x for i in range(0, len(texts), 500) for x in encode([t or "" for t in texts.slice(i, 500).to_pylist()], words))
+            for k, whole in enumerate(encoded):
+                whole += end
                 for p, lo in enumerate(range(0, len(whole), step)):
                     part = whole[lo : lo + step]
                     at.append(k)

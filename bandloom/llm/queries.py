@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, neardup, packing, quality, suffixdedup, toxicity
+from . import annsearch, langid, neardup, packing, quality, suffixdedup, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_suffixes": suffixdedup.op6_suffixes,
         "op8_packing": packing.op8_packing,
+        "op9_ann": annsearch.op9_ann,
         "op10_quality": quality.op10_quality,
     }
 
