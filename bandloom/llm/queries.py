@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import annsearch, langid, neardup, packing, quality, suffixdedup, toxicity
+from . import annsearch, contamination, langid, neardup, packing, quality, suffixdedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.op1_langid,
         "op2_neardup": neardup.op2_neardup,
+        "op3_decontamination": contamination.op3_decontamination,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_suffixes": suffixdedup.op6_suffixes,
         "op8_packing": packing.op8_packing,
