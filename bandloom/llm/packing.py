@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ _TOKENIZERS: dict = {}
 class _Words(dict):
     """Chunk of text between blanks -> its ids as little-endian 32-bit bytes, found by the tokenizer when missing.
 
-    New chunks that are letters of Latin-1 with full stops or commas after them are encoded many at
-    a time: such a run of letters is one word to the tokenizer, and the ids that end words show
-    where each stops. All others are encoded one by one.
+    New chunks that are letters of Latin-1 with ASCII punctuation after them are encoded many at a
+    time: a run of letters and one of punctuation are a word each to the tokenizer, and the ids
+    that end words show where each stops. All others are encoded one by one.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -59,7 +60,7 @@ class _Words(dict):
             self[""] = b""
         plain = []
         for chunk in set(chunks).difference(self):
-            core = chunk.rstrip(".,")
+            core = chunk.rstrip(punctuation)
             if core.isalpha() and max(core) <= "\xff":
                 plain.append((chunk, core))
         cores = list({core for _, core in plain}.difference(self))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import annsearch, contamination, langid, neardup, packing, quality, suffixdedup, toxicity
+from . import annsearch, contamination, langid, licences, neardup, packing, quality, suffixdedup, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_neardup": neardup.op2_neardup,
         "op3_decontamination": contamination.op3_decontamination,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_urls": urlfilter.op5_urls,
         "op6_suffixes": suffixdedup.op6_suffixes,
+        "op7_licences": licences.op7_licences,
         "op8_packing": packing.op8_packing,
         "op9_ann": annsearch.op9_ann,
         "op10_quality": quality.op10_quality,
