@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from itertools import chain
 from string import punctuation
 
 import numpy as np
@@ -31,68 +30,102 @@ from . import runtime, textkit
 _TOKENIZERS: dict = {}
 
 
-class _Words(dict):
-    """Chunk of text between blanks -> its ids as little-endian 32-bit bytes, found by the tokenizer when missing.
+#: Bytes between chunks: blank, tab, line feed and carriage return.
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 0x09, 0x0A, 0x0D]] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[ord(c) for c in punctuation]] = True
+_ALNUM = ~textkit.NOT_ALNUM
+_ALNUM[0x80:] = False
 
-    New chunks that are letters of Latin-1 with ASCII punctuation after them are encoded many at a
-    time: a run of letters and one of punctuation are a word each to the tokenizer, and the ids
-    that end words show where each stops. All others are encoded one by one.
+
+class Encoder:
+    """Token ids of whole texts, each distinct part of them encoded once and kept.
+
+    The tokenizer never joins over white space and drops it, and it parts a letter or digit from
+    ASCII punctuation after it. So texts are cut at blanks, and trailing punctuation is cut from
+    what stands before it where that is an ASCII letter or digit or a Latin-1 letter (not in texts
+    that may hold the name of a special token). Parts are known by a 64-bit hash. New parts that are
+    Latin-1 letters alone are one word to the tokenizer; they are encoded many at a time by the
+    tokenizer's own model without its search for words, and the ids that end words show where each
+    stops. All other new parts go through the tokenizer one by one.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 800_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        super().__init__({"": b""})
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        vocabulary = self.tokenizer.get_vocab()
+        self.whole, self.plain, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[int, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        out = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
-
-    def learn(self, chunks) -> None:
-        if len(self) >= self.most:
-            self.clear()
-            self[""] = b""
-        plain = []
-        for chunk in set(chunks).difference(self):
-            core = chunk.rstrip(punctuation)
-            if core.isalpha() and max(core) <= "\xff":
-                plain.append((chunk, core))
-        cores = list({core for _, core in plain}.difference(self))
-        for i in range(0, len(cores), 2000):
-            part = cores[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+    def _learn(self, parts: list[tuple[int, str]]) -> None:
+        letters = []
+        for h, part in parts:
+            if part.isalpha() and (part.isascii() or max(part) <= "\xff"):
+                letters.append((h, part))
+            else:
+                self.known[h] = np.array(self.whole.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        for i in range(0, len(letters), 2000):
+            some = letters[i : i + 2000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join([x for _, x in some]).lower()], add_special_tokens=False)[0].ids, "<u4")
             stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) == len(part):
-                whole = ids.tobytes()
-                edges = (4 * stop).tolist()
-                for core, x, y in zip(part, [0, *edges], edges):
-                    self[core] = whole[x:y]
-        for chunk, core in plain:
-            if chunk is not core:
-                self[chunk] = self[core] + self[chunk[len(core) :]]
-
-
-def _words(path: str) -> _Words:
+            if len(stop) != len(some):
+                raise ValueError("the tokenizer doesn't end each word with an id of its own kind")
+            whole, edges = ids.tobytes(), (4 * stop).tolist()
+            for (h, _), x, y in zip(some, [0, *edges], edges):
+                self.known[h] = whole[x:y]
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and their bounds."""
+        start, end, row = textkit.tokens(data, off, _BLANK)
+        if not len(start):
+            return np.zeros(0, "<u4"), np.zeros(len(off), np.int64)
+        if b"<|" in data.tobytes():
+            core = end
+        else:
+            other = np.maximum.accumulate(np.where(_PUNCTUATION[data], -1, np.arange(len(data))))
+            core = np.maximum(other[end - 1] + 1, start)
+            last, before = data[np.maximum(core - 1, 0)], data[np.maximum(core - 2, 0)]
+            fine = (core == start) | _ALNUM[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (core - start > 1))
+            core = np.where(fine, core, end)
+        a, b, r = np.concatenate([start, core]), np.concatenate([core, end]), np.concatenate([row, row])
+        full = np.flatnonzero(a < b)
+        order = full[np.argsort(a[full], kind="stable")]
+        a, b, r = a[order], b[order], r[order]
+        value, first, inverse = np.unique(textkit.span_hashes(data, a, b), return_index=True, return_inverse=True)
+        keys = value.tolist()
+        new = [k for k, h in enumerate(keys) if h not in self.known]
+        if new:
+            if len(self.known) > self.most:
+                self.known.clear()
+                new = range(len(keys))
+            self._learn([(keys[k], data[a[first[k]] : b[first[k]]].tobytes().decode("utf-8", "replace")) for k in new])
+        parts = [self.known[h] for h in keys]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        at, n = textkit.exclusive(size)[inverse], size[inverse]
+        ids = flat[np.arange(int(n.sum())) + np.repeat(at - textkit.exclusive(n), n)]
+        bounds = np.zeros(len(off), np.int64)
+        np.cumsum(np.bincount(r, weights=n, minlength=len(off) - 1).astype(np.int64), out=bounds[1:])
+        return ids, bounds
+
+
+def _encoder(path: str) -> Encoder:
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = _Words(path)
+        _TOKENIZERS[path] = Encoder(path)
     return _TOKENIZERS[path]
 
 
-def encode(texts: list[str], words: _Words) -> list[bytes]:
-    """The ids of whole texts, 4 bytes each.
-
-    The tokenizer never joins over white space and drops it, so texts are encoded chunk by chunk
-    (blank, tab, line feed and carriage return divide) and the chunks' ids are kept for reuse.
-    """
-    chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    words.learn(chain.from_iterable(chunks))
-    return [b"".join(map(words.__getitem__, c)) for c in chunks]
+def _encoded(texts, encoder: Encoder):
+    """(row, ids as bytes) of each text."""
+    for i, j, data, off in textkit.slices(texts, 4 << 20):
+        ids, bounds = encoder(data, off)
+        for k in range(j - i):
+            yield i + k, ids[bounds[k] : bounds[k + 1]].tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -102,12 +135,11 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int
     step = 4 * capacity
 
     def run(batches):
-        words = _words(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
             keys, texts = textkit.columns(batch, "doc_id", "text")
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            encoded = (x for i in range(0, len(texts), 500) for x in encode([t or "" for t in texts.slice(i, 500).to_pylist()], words))
-            for k, whole in enumerate(encoded):
+            for k, whole in _encoded(texts, encoder):
                 whole += end
                 for p, lo in enumerate(range(0, len(whole), step)):
                     part = whole[lo : lo + step]
