@@ -111,14 +111,19 @@ def _powers(mult: int, n: int) -> np.ndarray:
 
 
 def contexts(keyed: DataFrame, length: int) -> DataFrame:
-    """One row per window run: key of its document, bounds, and hashes of the anchor's gram, the half-windows and the context."""
+    """One row per document and distinct context: the run's places and width, and hashes of the anchor's gram, the half-windows and the context.
+
+    A text that repeats itself has many runs of one context; they share a row, so that a periodic
+    text doesn't flood one key.
+    """
     runtime.ship(keyed.sparkSession)
     left, right = (length - GRAM + 1) // 2, length - (length - GRAM + 1) // 2
 
     def emit(batch, out):
-        row, lo, hi, *hashes = (np.concatenate(c) for c in zip(*out))
+        row, n, width, *hashes = (np.concatenate(c) for c in list(zip(*out))[1:])
         row = pa.array(row)
-        return pa.RecordBatch.from_arrays([*(c.take(row) for c in textkit.columns(batch, "kid", "kh")), *(pa.array(c.astype(np.int32)) for c in (lo, hi)), *(pa.array(h.view(np.int64)) for h in hashes)], ["kid", "kh", "lo", "hi", "gram", "lk", "rk", "c1"])
+        los = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate([x[0] for x in out]).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([*(c.take(row) for c in textkit.columns(batch, "kid", "kh")), los, pa.array(width.astype(np.int32)), *(pa.array(h.view(np.int64)) for h in hashes)], ["kid", "kh", "los", "width", "gram", "lk", "rk", "c1"])
 
     def run(batches):
         for batch in batches:
@@ -130,7 +135,11 @@ def contexts(keyed: DataFrame, length: int) -> DataFrame:
                 span, n = _Prefix(text), len(text)
                 l_key = np.where(at >= left, span(np.maximum(at - left, 0), at + GRAM), U64(0))
                 r_key = np.where(at + right <= n, span(at, np.minimum(at + right, n)), U64(0))
-                out.append((np.full(len(lo), r), lo, hi, gram, l_key, r_key, span(lo, hi + length)))
+                c1 = span(lo, hi + length)
+                order = np.argsort(c1, kind="stable")
+                first = np.flatnonzero(np.append(True, c1[order][1:] != c1[order][:-1]))
+                one = order[first]
+                out.append((lo[order], np.full(len(one), r), np.diff(np.append(first, len(order))), (hi - lo)[one], gram[one], l_key[one], r_key[one], c1[one]))
                 held += len(lo)
                 if held > 200_000:
                     yield emit(batch, out)
@@ -138,7 +147,7 @@ def contexts(keyed: DataFrame, length: int) -> DataFrame:
             if out:
                 yield emit(batch, out)
 
-    return keyed.mapInArrow(run, "kid long, kh long, lo int, hi int, gram long, lk long, rk long, c1 long")
+    return keyed.mapInArrow(run, "kid long, kh long, los array<int>, width int, gram long, lk long, rk long, c1 long")
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
@@ -286,11 +295,11 @@ def _candidates(whole: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, *, length: int = 400, split: int = 20000, block_bytes: int = 1 << 20) -> DataFrame:
-    """``kid``, ``kh`` (id and text hash of a document) and ``spans``: ranges of bytes [from, to) that repeat, to be united."""
+    """``kid``, ``kh`` (id and text hash of a document) and ``spans``: places of contexts with the ranges of their windows that repeat."""
     keyed = docs.select(*_key(), "text")
     runs = runtime.stored(contexts(keyed, length), "runs")
     same = ["gram", "lk", "rk", "c1"]
-    whole = runtime.stored(runs.groupBy(*same).agg(*(F.first(c).alias(c) for c in ("kid", "kh", "lo", "hi")), F.count(F.lit(1)).alias("copies")), "contexts")
+    whole = runtime.stored(runs.select("*", F.col("los")[0].alias("lo"), F.size("los").alias("n")).groupBy(*same).agg(*(F.first(c).alias(c) for c in ("kid", "kh", "lo", "width")), F.sum("n").alias("copies")), "contexts")
     # anchors with very many contexts are dealt over several shards, unfiltered
     many = whole.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).select("gram", F.ceil(F.col("n") / split).cast("int").alias("parts"))
     many = runtime.stored(many, "many")
@@ -298,14 +307,13 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, split: int = 20000, bl
     hot = whole.join(many, "gram").withColumn("shard", F.xxhash64("gram", F.pmod("c1", "parts"))).withColumn("split", F.lit(True)).drop("parts")
     chosen = runtime.stored(few.unionByName(hot), "candidates")
     runtime.drop_stored(whole)
-    cuts = chosen.groupBy("kid", "kh").agg(F.collect_list(F.struct("lo", "hi", *same, "copies", "shard", "split")).alias("cuts"))
+    cuts = chosen.groupBy("kid", "kh").agg(F.collect_list(F.struct("lo", "width", *same, "copies", "shard", "split")).alias("cuts"))
     texts = _cut(_join(keyed, cuts, "inner"), length).repartition("shard").sortWithinPartitions("shard")
     found = runtime.stored(_sort_shards(texts, length, block_bytes), "windows")
     across = found.where("fp is not null").groupBy("fp").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").select("fp")
     merged = found.where("fp is not null").join(across, "fp", "left_semi")
     ranges = found.where("fp is null").unionByName(merged).groupBy(*same).agg(F.collect_list(F.struct("first", "last")).alias("r"))
-    back = runs.join(ranges, same).select("kid", "kh", "lo", F.explode("r").alias("r"))
-    return back.groupBy("kid", "kh").agg(F.collect_list(F.struct((F.col("lo") + F.col("r.first")).alias("from"), (F.col("lo") + F.col("r.last") + length).alias("to"))).alias("spans"))
+    return runs.join(ranges, same).groupBy("kid", "kh").agg(F.collect_list(F.struct("los", "r")).alias("spans"))
 
 
 def _key():
@@ -328,10 +336,10 @@ def _cut(once: DataFrame, length: int) -> DataFrame:
             data, off = textkit.column_bytes(texts)
             flat = cuts.flatten()
             base = np.repeat(off[:-1], np.diff(cuts.offsets.to_numpy()))
-            lo, hi = (flat.field(c).to_numpy() for c in ("lo", "hi"))
+            lo, width = (flat.field(c).to_numpy() for c in ("lo", "width"))
             for i in range(0, len(flat), 4000):
                 s = slice(i, i + 4000)
-                text = [data[a:b].tobytes() for a, b in zip(base[s] + lo[s], base[s] + hi[s] + length)]
+                text = [data[a:b].tobytes() for a, b in zip(base[s] + lo[s], base[s] + lo[s] + width[s] + length)]
                 part = flat.slice(i, 4000)
                 yield pa.RecordBatch.from_arrays([*(part.field(c) for c in names), pa.array(text, pa.binary())], [*names, "t"])
 
@@ -383,17 +391,25 @@ def _with_spans(docs: DataFrame, length: int, **options) -> DataFrame:
     return keyed.join(other, keyed["_a"].eqNullSafe(other["_kid"]) & (keyed["_b"] == other["_kh"]), "left").select(*docs.columns, "_spans")
 
 
-def _apply(batch: pa.RecordBatch):
+def _apply(batch: pa.RecordBatch, length: int):
     """(row, text bytes, span starts, span ends) for each row."""
     data, off = textkit.column_bytes(batch.column(batch.schema.get_field_index("text")))
     spans = batch.column(batch.schema.get_field_index("_spans"))
+    first = spans.offsets.to_numpy()[:-1]
+    n = np.where(spans.is_valid().to_numpy(zero_copy_only=False), np.diff(spans.offsets.to_numpy()), 0)
+    l_list, r_list = spans.values.field("los"), spans.values.field("r")
+    l_at, los = l_list.offsets.to_numpy(), l_list.values.to_numpy().astype(np.int64)
+    r_at, begin, last = r_list.offsets.to_numpy(), *(r_list.values.field(c).to_numpy().astype(np.int64) for c in ("first", "last"))
     for r in range(batch.num_rows):
         text = data[off[r] : off[r + 1]]
-        s = spans[r]
-        if s.is_valid:
-            a, b = _merge(*(s.values.field(c).to_numpy().astype(np.int64) for c in ("from", "to")))
-        else:
-            a = b = np.zeros(0, np.int64)
+        a = b = np.zeros(0, np.int64)
+        if n[r]:
+            starts, ends = [], []
+            for e in range(first[r], first[r] + n[r]):
+                lo = los[l_at[e] : l_at[e + 1], None]
+                starts.append((lo + begin[r_at[e] : r_at[e + 1]]).ravel())
+                ends.append((lo + last[r_at[e] : r_at[e + 1]]).ravel() + length)
+            a, b = _merge(np.concatenate(starts), np.concatenate(ends))
         yield r, text, a, b
 
 
@@ -410,7 +426,7 @@ def digest(docs: DataFrame, *, length: int = 400, **options) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             size, gone, runs, sha = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), []
-            for r, text, a, b in _apply(batch):
+            for r, text, a, b in _apply(batch, length):
                 size[r], gone[r], runs[r] = len(text), (b - a).sum(), len(a)
                 sha.append(hashlib.sha256(_keep(text, a, b)).hexdigest())
             yield pa.RecordBatch.from_arrays([*textkit.columns(batch, "doc_id"), pa.array(size), pa.array(gone), pa.array(runs), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -426,7 +442,7 @@ def strip(docs: DataFrame, *, length: int = 400, **options) -> DataFrame:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             old = batch.column(at)
-            new = [_keep(text, a, b).decode("utf-8", "ignore") if len(a) else None for _, text, a, b in _apply(batch)]
+            new = [_keep(text, a, b).decode("utf-8", "ignore") if len(a) else None for _, text, a, b in _apply(batch, length)]
             value = [o if x is None else x for o, x in zip(old.to_pylist(), new)]
             out = [pa.array(value, pa.string()) if c.name == "text" else batch.column(c.name) for c in schema]
             yield pa.RecordBatch.from_arrays(out, [c.name for c in schema])
