@@ -3,8 +3,9 @@
 Items are cut into units of at most ``unit`` words. A unit's BM25 impacts are divided by the score
 it gives itself, so a passage that holds a unit scores 1 for it. Every passage of every document
 (windows of ``2 * unit`` words, one each ``unit`` words, so that any unit lies whole in one) is a
-query: passages whose terms' best impacts can't reach the threshold are set aside by a sum over
-arrays; the rest go through block-max WAND, which returns all units at or above the threshold.
+query. A unit that reaches the threshold must get a known part of it from its rare words; passages
+where no unit does are set aside by sums over arrays (an exact bound, as in WAND, but over a whole
+batch). The rest go through block-max WAND, which returns all units at or above the threshold.
 An item that a passage retrieves is verified on the words around it: its question (all but the last sentence)
 and answer (the last sentence), by the share of their five-word shingles that occur there.
 
@@ -58,7 +59,7 @@ def question_answer(text: str) -> tuple[str, str]:
 class Index:
     """Postings by term with impacts, in blocks of units with their largest impact."""
 
-    def __init__(self, items: list[tuple[int, str]], unit: int, k1: float = 1.2, b: float = 0.75, block: int = 16):
+    def __init__(self, items: list[tuple[int, str]], unit: int, threshold: float, k1: float = 1.2, b: float = 0.75, block: int = 16):
         self.unit, self.block = unit, block
         self.items = []
         units, owner = [], []
@@ -95,6 +96,17 @@ class Index:
         impact = impact / np.maximum(own[unit_of], 1e-9)
         order = np.lexsort((unit_of, term))
         bounds = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
+        # the commonest words that together make up at most two thirds of the threshold of any unit
+        common, share = np.zeros(len(self.vocabulary), bool), np.zeros(n)
+        for t in np.lexsort((np.arange(len(df)), -df)):
+            at = order[bounds[t] : bounds[t + 1]]
+            more = share[unit_of[at]] + impact[at]
+            if len(at) < 2 or more.max() > threshold * 2 / 3:
+                break
+            share[unit_of[at]] = more
+            common[t] = True
+        self.rare, self.need = ~common, threshold - (share.max() if n else 0.0)
+        self.df, self.first, self.unit_of, self.impact = df, bounds[:-1], unit_of[order], impact[order]
         self.postings, self.best = [], np.zeros(len(self.vocabulary))
         for t in range(len(self.vocabulary)):
             at = order[bounds[t] : bounds[t + 1]]
@@ -158,30 +170,32 @@ class Index:
         return out
 
 
-def _passages(index: Index, row: np.ndarray, place: np.ndarray, term: np.ndarray, threshold: float):
-    """(row, window, terms) of the windows whose distinct terms' best impacts reach the threshold."""
+def _passages(index: Index, row: np.ndarray, place: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """Rows and windows, in two columns, in which the less common words of some unit reach what it needs of them.
+
+    A unit's common words can give it no more than the threshold less ``index.need``; the rest must
+    come from its rare words, whose postings are short: their impacts are summed by window and unit.
+    """
     order = np.lexsort((place, term, row))
     before = np.full(len(order), -1)
     same = (row[order][1:] == row[order][:-1]) & (term[order][1:] == term[order][:-1])
     before[order[1:][same]] = place[order[:-1][same]]
     window = place // index.unit
-    rows, windows, which = [], [], []
+    at = []
     for back in (0, 1):  # each word lies in the window that starts at its own unit and in the one before
-        w = window - back
-        fresh = (w >= 0) & (before < w * index.unit)
-        rows.append(row[fresh])
-        windows.append(w[fresh])
-        which.append(term[fresh])
-    rows, windows, which = (np.concatenate(x) for x in (rows, windows, which))
-    order = np.lexsort((windows, rows))
-    rows, windows, which = rows[order], windows[order], which[order]
-    first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (windows[1:] != windows[:-1]))) if len(rows) else np.zeros(0, np.int64)
-    if not len(first):
-        return
-    bound = np.add.reduceat(index.best[which], first)
-    last = np.append(first[1:], len(rows))
-    for i in np.flatnonzero(bound >= threshold - 1e-9):
-        yield int(rows[first[i]]), int(windows[first[i]]), which[first[i] : last[i]].tolist()
+        fresh = np.flatnonzero((window >= back) & (before < (window - back) * index.unit))
+        at.append((row[fresh], window[fresh] - back, term[fresh]))
+    rows, windows, terms = (np.concatenate(c) for c in zip(*at))
+    n = index.df[terms]
+    posting = np.arange(int(n.sum())) + np.repeat(index.first[terms] - textkit.exclusive(n), n)
+    units, wide = len(index.owner), int(windows.max(initial=0)) + 1
+    key = (np.repeat(rows, n) * wide + np.repeat(windows, n)) * units + index.unit_of[posting]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    total = np.add.reduceat(index.impact[posting][order], first) if len(key) else np.zeros(0)
+    window = np.unique(key[first][total >= index.need - 1e-9] // units)
+    return np.column_stack([window // wide, window % wide])
 
 
 def _share(part: np.ndarray, there: np.ndarray) -> float:
@@ -190,7 +204,7 @@ def _share(part: np.ndarray, there: np.ndarray) -> float:
 
 def _search(docs: DataFrame, items: list[tuple[int, str]], unit: int, threshold: float, overlap: float) -> DataFrame:
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Index(items, unit))
+    shared = spark.sparkContext.broadcast(Index(items, unit, threshold))
 
     def run(batches):
         index = shared.value
@@ -205,11 +219,15 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], unit: int, threshold:
                 start, end, row = textkit.tokens(low, off, textkit.NOT_ALNUM)
                 word = textkit.span_hashes(low, start, end)
                 first = np.searchsorted(row, np.arange(len(off)))
+                known = np.full(len(word), -1)
                 maybe = np.flatnonzero(bits[(word >> np.uint64(44)).astype(np.int64)])
-                at = np.minimum(np.searchsorted(index.vocabulary, word[maybe]), max(0, len(index.vocabulary) - 1))
-                good = index.vocabulary[at] == word[maybe] if len(index.vocabulary) else np.zeros(0, bool)
-                hit, term = maybe[good], at[good]
-                for r, w, terms in _passages(index, row[hit], hit - first[row[hit]], term, threshold):
+                if len(index.vocabulary):
+                    at = np.minimum(np.searchsorted(index.vocabulary, word[maybe]), len(index.vocabulary) - 1)
+                    known[maybe] = np.where(index.vocabulary[at] == word[maybe], at, -1)
+                hit = np.flatnonzero((known >= 0) & index.rare[known]) if len(index.vocabulary) else np.zeros(0, np.int64)
+                for r, w in _passages(index, row[hit], hit - first[row[hit]], known[hit]).tolist():
+                    terms = np.unique(known[first[r] + w * unit : min(first[r + 1], first[r] + (w + 2) * unit)])
+                    terms = terms[terms >= 0].tolist()
                     for u, score in index.wand(terms, threshold):
                         item = int(index.owner[u])
                         _, size, whole, q, a = index.items[item]
