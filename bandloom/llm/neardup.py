@@ -3,12 +3,14 @@
 Documents with equal shingle sets are first merged into one class under their least doc_id. Class
 signatures (``bands * band_rows`` universal hash minima) are cut into bands; classes that share a
 band with the least class of that band become a candidate pair. Pairs whose signatures agree too
-little are dropped (far below the threshold only), the rest confirmed on their full sets. Members
-of one band bucket that are still in different components are then compared with each other,
-unless their exact similarities to the bucket's least class, by the triangle inequality of the
-Jaccard distance, or their sizes rule a link out. So every pair that shares a band is linked,
-refuted or already in one component, and no bucket's pairs are all listed. With 32 bands of 4 rows,
-a pair at the threshold of 0.8 shares no band with probability 5e-8.
+little are dropped (far below the threshold only), the rest confirmed on their full sets. Buckets
+whose members are still in different components are then compared with further members as pivots
+(another one for each bucket and turn), which joins groups whose members differ from the first one.
+What is left, members of a bucket in different components, is compared pair by pair, unless their
+exact similarities to the bucket's least class (by the triangle inequality of the Jaccard
+distance), their sizes or their signatures rule a link out. So every pair that shares a band is
+linked, refuted or already in one component, and no bucket's pairs are all listed. With 32 bands
+of 4 rows, a pair at the threshold of 0.8 shares no band with probability 5e-8.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing.
 Fewer words than a shingle has count as one shingle. Rows that share a doc_id count as one
@@ -87,11 +89,11 @@ def signatures(docs: DataFrame, *, width: int, bands: int, band_rows: int) -> Da
                 key = textkit.mix(key + np.arange(bands, dtype=U64) * U64(0xD6E8FEB86659FD93))
                 byte = (textkit.mix(low) >> U64(56)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(i, j - i), pa.array(np.diff(bounds)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(list(key.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in byte], pa.binary())],
+                    [keys.slice(i, j - i), pa.array(np.diff(bounds)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(list(key.view(np.int64)), pa.list_(pa.int64())), pa.array(list(byte.view(np.int64)), pa.list_(pa.int64()))],
                     ["doc_id", "n_shingles", "s1", "s2", "band_keys", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, band_keys array<long>, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, band_keys array<long>, sig array<long>")
 
 
 def shingle_sets(docs: DataFrame, *, width: int) -> DataFrame:
@@ -108,17 +110,10 @@ def shingle_sets(docs: DataFrame, *, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _agree(pairs: DataFrame, sig: DataFrame, floor: float, count: int) -> DataFrame:
-    """The pairs whose signatures agree in at least ``floor`` of the minima (by one byte of each)."""
+def _agree(pairs: DataFrame, sig: DataFrame, need: int) -> DataFrame:
+    """The pairs whose signatures agree in at least ``need`` of the minima (by one byte of each)."""
     both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    need = int(floor * count)
-
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, count) for c in textkit.columns(batch, "sig_a", "sig_b"))
-            yield pa.RecordBatch.from_arrays(textkit.columns(batch, "a", "b"), ["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= need))
-
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.where(_equal_bytes(F.col("sig_a"), F.col("sig_b")) >= need).select("a", "b")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -129,7 +124,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", both.alias("i"), (F.size("x") + F.size("y") - both).alias("u"))
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 32, band_rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 32, band_rows: int = 4, pivots: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs; linked at 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     made = runtime.stored(signatures(docs, width=width, bands=bands, band_rows=band_rows), "signatures")
@@ -143,45 +138,88 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     size_of = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"))
     pairs = buckets.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"), F.col("n").alias("na")).distinct()
     pairs = pairs.join(size_of, "b").where(linkable).select("a", "b")
-    # a signature this far below the threshold is over seven standard deviations off
-    floor = percent / 100 - 7.2 * (percent / 100 * (1 - percent / 100) / (bands * band_rows)) ** 0.5
+    # of a pair at the threshold, fewer equal minima are over 5.5 standard deviations off (2e-8)
+    share, count = percent / 100, bands * band_rows
+    need = int(count * share - 5.5 * (count * share * (1 - share)) ** 0.5)
     sig = reps.select("rep", "sig")
-    pairs = runtime.stored(_agree(pairs, sig, floor, bands * band_rows), "pairs")
+    pairs = runtime.stored(_agree(pairs, sig, need), "pairs")
     some = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = runtime.stored(shingle_sets(docs.select("doc_id", "text").join(some, "doc_id", "left_semi"), width=width).dropDuplicates(["doc_id", "shingles"]), "sets")
     star = runtime.stored(_similar(pairs, sets), "star")
     linked = F.col("i") * 100 >= F.col("u") * percent
     edges = star.where(linked).select("a", "b").distinct()
     found = runtime.stored(components(edges), "components")
-    rest = runtime.stored(_unresolved(buckets, star, found, percent), "rest")
-    if rest.limit(1).count():
-        more = runtime.stored(_similar(_agree(rest, sig, floor, bands * band_rows), sets).where(linked).select("a", "b").distinct(), "more")
-        if more.limit(1).count():
-            stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            found = components(stars.unionByName(more))
+    for turn in range(pivots):
+        mixed = _mixed(buckets, found)
+        more = _similar(_agree(_turned(mixed, turn, percent), sig, need), sets).where(linked).select("a", "b").distinct()
+        more = runtime.stored(more, "more")
+        if not more.limit(1).count():
+            break
+        found = _joined(found, more)
+    rest = runtime.stored(_unresolved(_mixed(buckets, found), reps, star, percent, need), "rest")
+    more = runtime.stored(_similar(rest, sets).where(linked).select("a", "b").distinct(), "more")
+    if more.limit(1).count():
+        found = _joined(found, more)
     of_class = classes.join(found, classes.rep == found.node, "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("_c"))
     out = made.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["n_shingles", "s1", "s2"], "left")
     own = F.coalesce(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_c")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _unresolved(buckets: DataFrame, star: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that sizes and distances to the centre don't rule out.
+def _equal_bytes(a, b):
+    """How many bytes of two signatures (as arrays of 64-bit words of eight) are equal.
 
-    Only buckets with more than one component are opened; each component that holds the centre's
-    own class has distance 0 there.
+    A byte of the exclusive or is zero where they agree; folding its bits into the lowest leaves
+    one bit set for each byte that differs.
     """
+
+    def differing(x, y):
+        v = x.bitwiseXOR(y)
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 4))
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
+        return F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return 8 * F.size(a) - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda s, v: s + v)
+
+
+def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """The components after further edges."""
+    stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return runtime.stored(components(stars.unionByName(more)), "components")
+
+
+def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """The members, with their component, of the buckets that hold more than one component."""
     label = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = label.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return runtime.stored(label.join(mixed, "key", "left_semi"), "mixed")
+
+
+def _turned(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each member of a mixed bucket with a pivot of it (another one for each bucket and turn) of another component."""
+    pivot = mixed.groupBy("key").agg(F.min_by(F.struct("rep", "component", "n"), F.xxhash64(F.lit(turn), "key", "rep")).alias("p"))
+    both = mixed.join(pivot, "key").where((F.col("component") != F.col("p.component")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent))
+    return both.select(F.greatest("rep", "p.rep").alias("a"), F.least("rep", "p.rep").alias("b")).distinct()
+
+
+def _unresolved(mixed: DataFrame, reps: DataFrame, star: DataFrame, percent: int, need: int) -> DataFrame:
+    """Pairs of one bucket in different components that nothing rules out.
+
+    Ruled out are pairs by their sizes, by their distances to the bucket's least class, by too few
+    equal signature bytes, and in all buckets that they share but one.
+    """
     near = star.select(F.col("a").alias("rep"), F.col("b").alias("centre"), (F.col("i") / F.col("u")).alias("j"))
-    rows = label.join(mixed, "key", "left_semi").join(near, ["rep", "centre"], "left")
-    rows = rows.withColumn("j", F.when(F.col("rep") == F.col("centre"), F.lit(1.0)).otherwise(F.col("j")))
-    x = rows.where("rep <> centre").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("j").alias("ja"))
-    y = rows.where("rep <> centre").select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("j").alias("jb"))
+    rows = mixed.where("rep <> centre").join(near, ["rep", "centre"], "left").join(reps.select("rep", "band_keys", "sig"), "rep")
+    side = lambda s, **names: rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component", "j", "band_keys")), F.col("sig").alias(f"sig_{s}"))
     slack = (100 - percent) / 100 + 1e-9
-    apart = F.coalesce(F.abs(F.col("ja") - F.col("jb")) > slack, F.lit(False))
-    both = x.join(y, (x.key == y.key) & (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & ~apart)
-    return both.select("a", "b").distinct()
+    apart = F.coalesce(F.abs(F.col("j_x") - F.col("j_y")) > slack, F.lit(False))
+    size = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    x, y = side("x"), side("y")
+    once = F.array_min(F.array_intersect("band_keys_x", "band_keys_y")) == x.key
+    agree = _equal_bytes(F.col("sig_x"), F.col("sig_y")) >= need
+    both = x.join(y, (x.key == y.key) & (F.col("component_x") < F.col("component_y")) & size & ~apart & once & agree)
+    return both.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
 
 
 def dedupe(docs: DataFrame, **options) -> DataFrame:
