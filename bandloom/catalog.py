@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .plans import q_preprocess, q_quality, q_read, q_split  # noqa: F401  (they register their queries)
+from .plans import q_model, q_preprocess, q_quality, q_read, q_search, q_split  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict:

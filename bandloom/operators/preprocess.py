@@ -108,11 +108,14 @@ def polynomial_baseline(x: Column, width: int, degree: int = 2) -> Column:
     return spectral.matvec(kernels.polynomial_residual(width, degree), x)
 
 
-@F.pandas_udf("array<double>")
-def rubberband_baseline(x: pd.Series) -> pd.Series:
-    import numpy as np
+def rubberband_baseline(x: Column) -> Column:
+    @F.pandas_udf("array<double>")
+    def run(v: pd.Series) -> pd.Series:
+        import numpy as np
 
-    return x.map(lambda v: kernels.rubberband(np.asarray(v, float)))
+        return v.map(lambda a: kernels.rubberband(np.asarray(a, float)))
+
+    return run(x)
 
 
 def als_baseline(x: Column, lam: float = 1e5, p: float = 1e-3, rounds: int = 10) -> Column:
