@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import BandloomError, confirm, needs, require
-from ..functions import kernels, spectral
+from ..functions import arrow, kernels, spectral
 from .preprocess import take_bands
 from .quality import moments
 
@@ -35,13 +35,7 @@ class Projection:
     warnings: list[str] = field(default_factory=list)
 
     def transform(self, df: DataFrame, out: str = "x") -> DataFrame:
-        f = self.apply
-
-        @F.pandas_udf("array<double>")
-        def run(x: pd.Series) -> pd.Series:
-            return pd.Series(list(np.ascontiguousarray(f(np.array(x.tolist(), float))))) if len(x) else x
-
-        return df.withColumn(out, run("x"))
+        return arrow.with_columns(df, lambda x: {out: np.ascontiguousarray(self.apply(x))}, {out: "array<double>"})
 
 
 def matrix(train: DataFrame, *more: str) -> tuple[np.ndarray, ...]:

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml import classification as mlc
 from pyspark.ml import regression as mlr
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import BandloomError, needs, require
+from ..functions import arrow
 from .feature import class_moments, matrix, nipals, one_hot, pls_predict
 from .quality import moments
 
@@ -50,16 +50,9 @@ def _numpy(name: str, f: Callable[[np.ndarray], dict[str, np.ndarray]], state: d
     """A model whose f maps a matrix to columns y_pred (and probabilities or y_std)."""
 
     def predict(df: DataFrame) -> DataFrame:
-        probe = f(np.zeros((1, len(state["width"])) if isinstance((state or {}).get("width"), list) else (1, state["width"])))
-        kind = {"y_pred": label, "probabilities": "array<double>", "y_std": "double"}
-        schema = ", ".join(f"{c} {kind[c]}" for c in probe)
-
-        @F.pandas_udf(schema)
-        def run(x: pd.Series) -> pd.DataFrame:
-            out = f(np.array(x.tolist(), float)) if len(x) else {c: [] for c in probe}
-            return pd.DataFrame({c: list(v) if getattr(v, "ndim", 1) == 2 else v for c, v in out.items()})
-
-        return df.withColumn("_p", run("x")).select(*df.columns, "_p.*")
+        kinds = {"y_pred": label, "probabilities": "array<double>", "y_std": "double"}
+        probe = f(np.zeros((1, state["width"])))
+        return arrow.with_columns(df, f, {c: kinds[c] for c in probe})
 
     return Model(name, predict, state or {})
 
@@ -170,23 +163,23 @@ def knn(train: DataFrame, df: DataFrame, k: int = 5, weights: str = "uniform", y
     ids = np.arange(len(x))  # rows are in sample order
     shared = df.sparkSession.sparkContext.broadcast((x, target, ids))
 
-    @F.pandas_udf("double" if y else "string")
-    def run(a: pd.Series) -> pd.Series:
+    def run(q: np.ndarray) -> dict:
         t, value, order = shared.value
-        if not len(a):
-            return pd.Series([], dtype=object)
-        q = np.array(a.tolist(), float)
-        d = np.sqrt(np.maximum(((q[:, None] - t[None]) ** 2).sum(axis=2), 0)) if len(q) * t.size < 4e7 else np.sqrt(np.maximum((q**2).sum(1)[:, None] + (t**2).sum(1) - 2 * q @ t.T, 0))
-        at = np.lexsort((np.broadcast_to(order, d.shape), d), axis=1)[:, :k]
-        near = np.take_along_axis(d, at, axis=1)
+        at = np.empty((len(q), min(k, len(t))), np.int64)
+        near = np.empty(at.shape)
+        step = max(1, int(2e7 // t.size))
+        for i in range(0, len(q), step):
+            d = np.sqrt(((q[i : i + step, None] - t[None]) ** 2).sum(axis=2))
+            at[i : i + step] = np.lexsort((np.broadcast_to(order, d.shape), d), axis=1)[:, :k]
+            near[i : i + step] = np.take_along_axis(d, at[i : i + step], axis=1)
         w = np.ones_like(near) if weights == "uniform" else 1 / np.maximum(near, 1e-12)
         if y:
-            return pd.Series((value[at].astype(float) * w).sum(axis=1) / w.sum(axis=1))
+            return {"y_pred": (value[at].astype(float) * w).sum(axis=1) / w.sum(axis=1)}
         classes = np.array(sorted(set(value.tolist())))
         votes = ((value[at][:, :, None] == classes) * w[:, :, None]).sum(axis=1)
-        return pd.Series(classes[votes.argmax(axis=1)].astype(str))
+        return {"y_pred": classes[votes.argmax(axis=1)].astype(str)}
 
-    return df.withColumn("y_pred", run("x"))
+    return arrow.with_columns(df, run, {"y_pred": "double" if y else "string"})
 
 
 def _knn_model(train: DataFrame, y: str | None = None, k: int = 5, weights: str = "uniform") -> Model:
