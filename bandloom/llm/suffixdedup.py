@@ -141,13 +141,13 @@ def contexts(keyed: DataFrame, length: int) -> DataFrame:
                 one = order[first]
                 out.append((lo[order], np.full(len(one), r), np.diff(np.append(first, len(order))), (hi - lo)[one], gram[one], l_key[one], r_key[one], c1[one]))
                 held += len(lo)
-                if held > 200_000:
+                if held > 20_000:
                     yield emit(batch, out)
                     out, held = [], 0
             if out:
                 yield emit(batch, out)
 
-    return keyed.mapInArrow(run, "kid long, kh long, los array<int>, width int, gram long, lk long, rk long, c1 long")
+    return keyed.mapInArrow(textkit.tidied(run), "kid long, kh long, los array<int>, width int, gram long, lk long, rk long, c1 long")
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
@@ -291,10 +291,10 @@ def _candidates(whole: DataFrame) -> DataFrame:
                 flag |= (half != 0) & (n[inverse] > 1)
             yield from block.filter(pa.array(flag)).to_batches()
 
-    return whole.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, whole.schema)
+    return whole.repartition("gram").sortWithinPartitions("gram").mapInArrow(textkit.tidied(run), whole.schema)
 
 
-def repeated_spans(docs: DataFrame, *, length: int = 400, split: int = 20000, block_bytes: int = 1 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, length: int = 400, split: int = 20000, block_bytes: int = 1 << 19) -> DataFrame:
     """``kid``, ``kh`` (id and text hash of a document) and ``spans``: places of contexts with the ranges of their windows that repeat."""
     keyed = docs.select(*_key(), "text")
     runs = runtime.stored(contexts(keyed, length), "runs")
@@ -313,7 +313,9 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, split: int = 20000, bl
     across = found.where("fp is not null").groupBy("fp").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").select("fp")
     merged = found.where("fp is not null").join(across, "fp", "left_semi")
     ranges = found.where("fp is null").unionByName(merged).groupBy(*same).agg(F.collect_list(F.struct("first", "last")).alias("r"))
-    return runs.join(ranges, same).groupBy("kid", "kh").agg(F.collect_list(F.struct("los", "r")).alias("spans"))
+    spans = runtime.stored(runs.join(ranges, same).groupBy("kid", "kh").agg(F.collect_list(F.struct("los", "r")).alias("spans")), "spans")
+    runtime.drop_stored(runs, chosen, found, many)
+    return spans
 
 
 def _key():
@@ -343,7 +345,7 @@ def _cut(once: DataFrame, length: int) -> DataFrame:
                 part = flat.slice(i, 4000)
                 yield pa.RecordBatch.from_arrays([*(part.field(c) for c in names), pa.array(text, pa.binary())], [*names, "t"])
 
-    return once.select("text", "cuts").mapInArrow(run, "gram long, lk long, rk long, c1 long, copies long, shard long, split boolean, t binary")
+    return once.select("text", "cuts").mapInArrow(textkit.tidied(run), "gram long, lk long, rk long, c1 long, copies long, shard long, split boolean, t binary")
 
 
 def _sort_shards(texts: DataFrame, length: int, block_bytes: int) -> DataFrame:
@@ -372,7 +374,7 @@ def _sort_shards(texts: DataFrame, length: int, block_bytes: int) -> DataFrame:
                     marks = [hashlib.blake2b(data[p : p + length], digest_size=16).digest() for p in place[some]]
                     yield emit(block, who[some], offset[some], offset[some], marks)
 
-    return texts.mapInArrow(run, "gram long, lk long, rk long, c1 long, shard long, first int, last int, fp binary")
+    return texts.mapInArrow(textkit.tidied(run), "gram long, lk long, rk long, c1 long, shard long, first int, last int, fp binary")
 
 
 def _merge(starts: np.ndarray, ends: np.ndarray):
@@ -431,7 +433,7 @@ def digest(docs: DataFrame, *, length: int = 400, **options) -> DataFrame:
                 sha.append(hashlib.sha256(_keep(text, a, b)).hexdigest())
             yield pa.RecordBatch.from_arrays([*textkit.columns(batch, "doc_id"), pa.array(size), pa.array(gone), pa.array(runs), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs.select("doc_id", "text"), length, **options).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs.select("doc_id", "text"), length, **options).mapInArrow(textkit.tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, *, length: int = 400, **options) -> DataFrame:
@@ -447,7 +449,7 @@ def strip(docs: DataFrame, *, length: int = 400, **options) -> DataFrame:
             out = [pa.array(value, pa.string()) if c.name == "text" else batch.column(c.name) for c in schema]
             yield pa.RecordBatch.from_arrays(out, [c.name for c in schema])
 
-    return _with_spans(docs, length, **options).mapInArrow(run, schema)
+    return _with_spans(docs, length, **options).mapInArrow(textkit.tidied(run), schema)
 
 
 def op6_suffixes(spark, sf_dir: str) -> DataFrame:
