@@ -129,7 +129,7 @@ def build(rows: DataFrame, *, k: int, fit_rows: int = 20000, probe: int = 100, r
             h, ids, v = textkit.columns(batch, "h", "ids", "v")
             yield pa.RecordBatch.from_arrays([h, ids, v, pa.array(tree.value.place(_matrix(v)).astype(np.int32))], ["h", "ids", "v", "leaf"])
 
-    placed = runtime.stored(distinct.mapInArrow(place, "h long, ids array<long>, v array<double>, leaf int"), "placed")
+    placed = runtime.stored(distinct.mapInArrow(textkit.tidied(place), "h long, ids array<long>, v array<double>, leaf int"), "placed")
     runtime.drop_stored(distinct)
     chosen = placed.where(F.pmod(F.xxhash64(F.lit(11), "h"), F.lit(space)) < int(space * min(1.0, 2 * probe / total))).orderBy("h").limit(probe).select("v").toArrow().combine_chunks()
     chosen = _matrix(chosen.column("v").combine_chunks()) if len(chosen) else sample[:probe]
@@ -144,7 +144,7 @@ def build(rows: DataFrame, *, k: int, fit_rows: int = 20000, probe: int = 100, r
             q = np.repeat(np.arange(len(score)), top.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(score[q, top.ravel()]), pa.array(leaf[top.ravel()])], ["q", "s", "leaf"])
 
-    best = placed.select("v", "leaf").mapInArrow(brute, "q long, s double, leaf int").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "leaf"))).where(F.col("r") <= k + 1).toArrow()
+    best = placed.select("v", "leaf").mapInArrow(textkit.tidied(brute), "q long, s double, leaf int").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "leaf"))).where(F.col("r") <= k + 1).toArrow()
     q, leaf = best.column("q").to_numpy(), best.column("leaf").to_numpy()
     leaves = tree.value.leaves
     at = np.empty(len(q))
@@ -246,9 +246,9 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, group_rows: int = 16384
         keep = np.arange(len(cols[0])) - begin <= k
         return pa.table({"q": pa.array(cols[0][keep], pa.int64()), "vec_id": pa.array(cols[1][keep], pa.int64()), "score": pa.array(cols[2][keep], pa.float64())})
 
-    data = placed.mapInArrow(to_group, "g long, h long, ids array<long>, v array<double>, leaf int")
+    data = placed.mapInArrow(textkit.tidied(to_group), "g long, h long, ids array<long>, v array<double>, leaf int")
     data = data.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    questions = placed.join(wanted, "h", "left_semi").select("h", "v").mapInArrow(ask, "g long, b int, h long, v array<double>, leaves array<int>")
+    questions = placed.join(wanted, "h", "left_semi").select("h", "v").mapInArrow(textkit.tidied(ask), "g long, b int, h long, v array<double>, leaves array<int>")
     found = questions.groupBy("g", "b").cogroup(data.groupBy("g", "b")).applyInArrow(meet, "q long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     nearest = found.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))

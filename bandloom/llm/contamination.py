@@ -241,7 +241,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], unit: int, threshold:
             value = np.array([found[x] for x in rows]).reshape(len(rows), 4)
             yield pa.RecordBatch.from_arrays([keys.take(pa.array([x[0] for x in rows], pa.int64())), pa.array([index.items[x[1]][0] for x in rows], pa.int64()), *(pa.array(value[:, c]) for c in range(4))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+    return docs.select("doc_id", "text").mapInArrow(textkit.tidied(run), "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, unit: int = 48, threshold: float = 0.6, overlap: float = 0.8, block_items: int = 20000) -> DataFrame:

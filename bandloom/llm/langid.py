@@ -91,7 +91,7 @@ def fit(docs: DataFrame, *, buckets_log2: int = 15, orders=(1, 2, 3), smoothing:
             at = np.flatnonzero(c[:size])
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bucket", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample.mapInArrow(textkit.tidied(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counted.column("lang").to_pylist()))
     matrix = np.full((size + 1, max(1, len(languages))), smoothing)
     if languages:
@@ -125,7 +125,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 conf[i:j] = np.where(letter, post, 0.0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(pred, pa.string()), pa.array(conf)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(textkit.tidied(score), "doc_id long, lang_pred string, score double")
 
 
 def op1_langid(spark, sf_dir: str) -> DataFrame:

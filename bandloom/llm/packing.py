@@ -51,11 +51,11 @@ class Encoder:
     stops. All other new parts go through the tokenizer one by one.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    def __init__(self, path: str, most: int = 400_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.plain, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
-        self.plain.normalizer = normalizers.Sequence([])
+        self.whole, self.most = Tokenizer.from_file(path), most
+        self.plain = Tokenizer(self.whole.model)  # the same model, without a normaliser
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -158,7 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int
             yield pa.RecordBatch.from_arrays(out, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(textkit.tidied(run), schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -285,7 +285,7 @@ def assign(parts: DataFrame, *, capacity: int = 4096, salts: int = 256) -> DataF
             names = [f.name for f in schema if f.name not in ("sequence_id", "offset")]
             yield pa.RecordBatch.from_arrays([*textkit.columns(batch, *names), pa.array(row[:, 4] + within // row[:, 3]), pa.array(row[:, 5] + within % row[:, 3] * size)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(textkit.tidied(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:

@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows_per_
         for y, x in _measure_rows(batches, "y"):
             yield pa.RecordBatch.from_arrays([y, pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    rows = sample.mapInArrow(run, "y int, x array<double>").toArrow()
+    rows = sample.mapInArrow(textkit.tidied(run), "y int, x array<double>").toArrow()
     runtime.drop_stored(sample)
     y = rows.column("y").to_numpy().astype(float)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
@@ -195,7 +195,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for key, x in _measure_rows(batches, "doc_id"):
             yield pa.RecordBatch.from_arrays([key, pa.array(additive(shared.value, x))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(textkit.tidied(run), "doc_id long, score double")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

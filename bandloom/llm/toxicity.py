@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows_per_la
     n1, n0 = n_by[1], n_by[0]
     f1, f0 = (F.col("pos") + 0.5) / (n1 + 1), (F.col("n") - F.col("pos") + 0.5) / (n0 + 1)
     strength = F.abs(F.log(f1 / f0)) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("n") - F.col("pos") + 0.5))
-    chosen = sample.mapInArrow(count, "h long, n long, pos long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= min_rows).withColumn("z", strength).where("z >= 1.5").orderBy(F.desc("z"), "h").limit(max_features)
+    chosen = sample.mapInArrow(textkit.tidied(count), "h long, n long, pos long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= min_rows).withColumn("z", strength).where("z >= 1.5").orderBy(F.desc("z"), "h").limit(max_features)
     vocabulary = np.sort(chosen.select("h").toArrow().column("h").to_numpy().view(np.uint64))
     shared = sample.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows_per_la
                             out_f.append(cut[k])
                 yield pa.RecordBatch.from_arrays([pa.array(out_y, pa.int32()), pa.array(out_f, pa.list_(pa.int32())), pa.array(out_twin, pa.list_(pa.int32()))], ["y", "f", "twin"])
 
-    rows = sample.mapInArrow(encode, "y int, f array<int>, twin array<int>").toArrow().combine_chunks()
+    rows = sample.mapInArrow(textkit.tidied(encode), "y int, f array<int>, twin array<int>").toArrow().combine_chunks()
     runtime.drop_stored(sample)
     y = rows.column("y").to_numpy().astype(float)
     weight = np.where(y == 1, counts[1] / n1, counts[0] / n0)
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                     z[i:j] += np.bincount(r, weights=m["weight"][f], minlength=j - i)
             yield pa.RecordBatch.from_arrays([keys, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], ["doc_id", "score"])
 
-    return ids.mapInArrow(run, "doc_id long, score double")
+    return ids.mapInArrow(textkit.tidied(run), "doc_id long, score double")
 
 
 def reject(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
@@ -246,7 +246,7 @@ def reject(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
                     z[i:j] += np.bincount(r, weights=m["weight"][f], minlength=j - i)
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(textkit.tidied(run), docs.schema)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
