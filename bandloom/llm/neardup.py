@@ -8,7 +8,7 @@ whose members are still in different components are then compared with further m
 (another one for each bucket and turn), which joins groups whose members differ from the first one.
 What is left, members of a bucket in different components, is compared pair by pair, unless their
 exact similarities to the bucket's least class (by the triangle inequality of the Jaccard
-distance), their sizes or their signatures rule a link out. So every pair that shares a band is
+distance), their sizes, their signatures or longer sketches (2048 minima) rule a link out. So every pair that shares a band is
 linked, refuted or already in one component, and no bucket's pairs are all listed. With 32 bands
 of 4 rows, a pair at the threshold of 0.8 shares no band with probability 5e-8.
 
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, *, width: int, bands: int, band_rows: int) -> Da
                     ["doc_id", "n_shingles", "s1", "s2", "band_keys", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, band_keys array<long>, sig array<long>")
+    return docs.select("doc_id", "text").mapInArrow(textkit.tidied(run), "doc_id long, n_shingles long, s1 long, s2 long, band_keys array<long>, sig array<long>")
 
 
 def shingle_sets(docs: DataFrame, *, width: int) -> DataFrame:
@@ -107,7 +107,7 @@ def shingle_sets(docs: DataFrame, *, width: int) -> DataFrame:
                 value, bounds = shingles(data, off, width)
                 yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64)))], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(textkit.tidied(run), "doc_id long, shingles array<long>")
 
 
 def _agree(pairs: DataFrame, sig: DataFrame, need: int) -> DataFrame:
@@ -124,7 +124,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", both.alias("i"), (F.size("x") + F.size("y") - both).alias("u"))
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 32, band_rows: int = 4, pivots: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 32, band_rows: int = 4, pivots: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs; linked at 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     made = runtime.stored(signatures(docs, width=width, bands=bands, band_rows=band_rows), "signatures")
@@ -156,7 +156,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
         if not more.limit(1).count():
             break
         found = _joined(found, more)
-    rest = runtime.stored(_unresolved(_mixed(buckets, found), reps, star, percent, need), "rest")
+    mixed = _mixed(buckets, found)
+    rest = runtime.stored(_unresolved(mixed, reps.join(_sketches(mixed, sets), "rep"), star, percent, need), "rest")
     more = runtime.stored(_similar(rest, sets).where(linked).select("a", "b").distinct(), "more")
     if more.limit(1).count():
         found = _joined(found, more)
@@ -203,22 +204,57 @@ def _turned(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
     return both.select(F.greatest("rep", "p.rep").alias("a"), F.least("rep", "p.rep").alias("b")).distinct()
 
 
+#: Minima of the long sketch that members of mixed buckets get, two bits of each.
+SKETCH = 2048
+
+
+def _sketches(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, sketch) of each member of a mixed bucket: two bits of each of SKETCH minima of its full set."""
+    own = sets.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    lane = U64(2) * np.arange(32, dtype=U64)
+
+    def run(batches):
+        for batch in batches:
+            keys, lists = textkit.columns(batch, "doc_id", "shingles")
+            bounds, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(U64)
+            for i in range(0, len(keys), 128):
+                part = bounds[i : i + 129]
+                low = _minima(flat[part[0] : part[-1]], part - part[0], SKETCH)
+                bits = (textkit.mix(low) >> U64(62)).reshape(len(part) - 1, -1, 32)
+                words = np.bitwise_or.reduce(bits << lane, axis=2)
+                yield pa.RecordBatch.from_arrays([keys.slice(i, len(part) - 1), pa.array(list(words.view(np.int64)), pa.list_(pa.int64()))], ["rep", "sketch"])
+
+    return own.select("doc_id", "shingles").mapInArrow(textkit.tidied(run), "rep long, sketch array<long>")
+
+
+def _equal_lanes(a, b):
+    """How many of the two-bit lanes of two sketches are equal."""
+
+    def differing(x, y):
+        v = x.bitwiseXOR(y)
+        return F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    return SKETCH - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda s, v: s + v)
+
+
 def _unresolved(mixed: DataFrame, reps: DataFrame, star: DataFrame, percent: int, need: int) -> DataFrame:
     """Pairs of one bucket in different components that nothing rules out.
 
     Ruled out are pairs by their sizes, by their distances to the bucket's least class, by too few
-    equal signature bytes, and in all buckets that they share but one.
+    equal signature bytes or sketch lanes, and in all buckets that they share but one.
     """
     near = star.select(F.col("a").alias("rep"), F.col("b").alias("centre"), (F.col("i") / F.col("u")).alias("j"))
-    rows = mixed.where("rep <> centre").join(near, ["rep", "centre"], "left").join(reps.select("rep", "band_keys", "sig"), "rep")
-    side = lambda s, **names: rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component", "j", "band_keys")), F.col("sig").alias(f"sig_{s}"))
+    rows = mixed.where("rep <> centre").join(near, ["rep", "centre"], "left").join(reps.select("rep", "band_keys", "sig", "sketch"), "rep")
+    side = lambda s, **names: rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component", "j", "band_keys", "sketch")), F.col("sig").alias(f"sig_{s}"))
     slack = (100 - percent) / 100 + 1e-9
     apart = F.coalesce(F.abs(F.col("j_x") - F.col("j_y")) > slack, F.lit(False))
     size = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
     x, y = side("x"), side("y")
     once = F.array_min(F.array_intersect("band_keys_x", "band_keys_y")) == x.key
+    same = percent / 100 + (1 - percent / 100) / 4  # chance that a lane of a pair at the threshold is equal
+    fine = _equal_lanes(F.col("sketch_x"), F.col("sketch_y")) >= int(SKETCH * same - 5.5 * (SKETCH * same * (1 - same)) ** 0.5)
     agree = _equal_bytes(F.col("sig_x"), F.col("sig_y")) >= need
-    both = x.join(y, (x.key == y.key) & (F.col("component_x") < F.col("component_y")) & size & ~apart & once & agree)
+    both = x.join(y, (x.key == y.key) & (F.col("component_x") < F.col("component_y")) & size & ~apart & agree & fine & once)
     return both.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
 
 
