@@ -199,16 +199,16 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """At each place: bytes shared with the suffix before it in ``order``, compared up to ``most``.
 
-    Kasai's rule in whole arrays: where the neighbours of a place and of the place before it are
-    neighbours too, the prefix is one less than at the place before; only at the other places,
-    the heads, bytes are compared, eight at a time. Values of places up to ``most - x`` after a
+    Kasai's rule in whole arrays: where the neighbour of a place follows that of the place before
+    it, whose first bytes agree, the prefix is one less than at the place before; only at the other
+    places, the heads, bytes are compared, eight at a time. Values of places up to ``most - x`` after a
     head are exact below x.
     """
     n = len(data)
     phi = np.full(n, -1, np.int64)
     phi[order[1:]] = order[:-1]
     chained = np.zeros(n, bool)
-    chained[1:] = (phi[:-1] >= 0) & (phi[:-1] + 1 == phi[1:])
+    chained[1:] = (phi[:-1] >= 0) & (phi[:-1] + 1 == phi[1:]) & (data[:-1] == data[phi[:-1]])
     live = np.flatnonzero((phi >= 0) & ~chained)
     padded = np.append(data, np.zeros(16, np.uint8)).astype(U64)
     word = np.zeros(n + 8, U64)
@@ -224,7 +224,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         plcp[live] += lead
         live, shared = live[lead == 8], shared + 8
     here = np.arange(n)
-    return np.maximum.accumulate(np.where(chained, 0, plcp + here)) - here
+    head = np.maximum.accumulate(np.where(chained, 0, here))
+    return plcp[head] + head - here
 
 
 def repeats_in_shard(texts: list[bytes], copies: np.ndarray, length: int):
