@@ -178,7 +178,7 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, group_rows: int = 16384
                 group, room = group + 1, group_rows
             first[leaf] = group
             room -= count[leaf]
-    asked = rows.where(is_query).select("vec_id", "h")
+    asked = rows.where(is_query).select("vec_id", "h").distinct()
     wanted = asked.select("h").distinct()
     n_queries = placed.join(wanted, "h", "left_semi").count()
     blocks = max(1, -(-n_queries // block_queries))
