@@ -33,7 +33,7 @@ IDENTITY_SWAPS = {
     "frauen": "männer", "männer": "frauen", "juden": "christen", "christen": "juden",
     "mujeres": "hombres", "hombres": "mujeres", "musulmanes": "cristianos", "cristianos": "musulmanes",
 }
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8, 9, 10)
 
 
 def _word_features(word: str) -> np.ndarray:
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows_per_la
     n1, n0 = n_by[1], n_by[0]
     f1, f0 = (F.col("pos") + 0.5) / (n1 + 1), (F.col("n") - F.col("pos") + 0.5) / (n0 + 1)
     strength = F.abs(F.log(f1 / f0)) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("n") - F.col("pos") + 0.5))
-    chosen = sample.mapInArrow(textkit.tidied(count), "h long, n long, pos long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= min_rows).withColumn("z", strength).where("z >= 1.5").orderBy(F.desc("z"), "h").limit(max_features)
+    chosen = sample.mapInArrow(textkit.tidied(count), "h long, n long, pos long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= min_rows).withColumn("z", strength).where("z >= 3").orderBy(F.desc("z"), "h").limit(max_features)
     vocabulary = np.sort(chosen.select("h").toArrow().column("h").to_numpy().view(np.uint64))
     shared = sample.sparkSession.sparkContext.broadcast(vocabulary)
 
