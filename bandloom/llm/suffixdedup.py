@@ -20,6 +20,11 @@ document, or elsewhere in its own). Matches never cross documents.
    and each shard finds its windows among them by binary search.
 5. The marked windows go back over the merged contexts to the documents, where runs are united.
 
+Strings of words (``strip_words``): the same runs over texts in which each word (a run of bytes without
+white space) is a code of 4 bytes of its hash, on windows of that many codes. Windows that differ in
+one word are taken for equal with probability 2**-32. Anchors are at words, and ranges are cut back to
+whole words.
+
 Null texts count as empty; texts shorter than ``length`` lose nothing. Rows with equal doc_id and
 text are copies of each other and both count. Null doc_ids are treated like any other. Empty
 tables give no rows. Extra columns are ignored (``strip`` keeps them).
@@ -38,6 +43,7 @@ from . import runtime, textkit
 from .textkit import U64
 
 GRAM = 32
+CODE = 4
 _K = [U64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -66,20 +72,32 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchors(data: np.ndarray, length: int):
-    """(lo, hi, anchor, gram hash) of the window runs of one text."""
+def _coded(column, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of texts; for a step of CODE, of their words' codes."""
+    if step == 1:
+        return textkit.column_bytes(column)
+    codes, n = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
+    for _, _, data, off in textkit.slices(column):
+        start, end, row = textkit.tokens(data, off, textkit.WHITE)
+        codes.append((textkit.span_hashes(data, start, end) >> U64(32)).astype("<u4"))
+        n.append(np.bincount(row, minlength=len(off) - 1))
+    return np.concatenate(codes).view(np.uint8), np.cumsum(np.concatenate(n)) * CODE
+
+
+def anchors(data: np.ndarray, length: int, step: int = 1):
+    """(lo, hi, anchor, gram hash) of the window runs of one text; windows start at multiples of step."""
     if len(data) < length:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, U64)
-    h = _gram_hashes(data)
-    w = length - GRAM + 1
+    h = _gram_hashes(data)[::step]
+    w = (length - GRAM) // step + 1
     place_bits = max(1, int(len(h)).bit_length())
     packed = (h >> U64(place_bits)) << U64(place_bits) | np.arange(len(h), dtype=U64)
     least = _sliding_min(packed, w) & U64((1 << place_bits) - 1)
     lo = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
     hi = np.append(lo[1:], len(least)) - 1
     at = least[lo].astype(np.int64)
-    return lo, hi, at, h[at]
+    return lo * step, hi * step, at * step, h[at]
 
 
 class _Prefix:
@@ -110,7 +128,7 @@ def _powers(mult: int, n: int) -> np.ndarray:
     return got
 
 
-def contexts(keyed: DataFrame, length: int) -> DataFrame:
+def contexts(keyed: DataFrame, length: int, step: int = 1) -> DataFrame:
     """One row per document and distinct context: the run's places and width, and hashes of the anchor's gram, the half-windows and the context.
 
     A text that repeats itself has many runs of one context; they share a row, so that a periodic
@@ -128,10 +146,10 @@ def contexts(keyed: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             out, held = [], 0
-            data, off = textkit.column_bytes(batch.column(batch.schema.get_field_index("text")))
+            data, off = _coded(batch.column(batch.schema.get_field_index("text")), step)
             for r in np.flatnonzero(np.diff(off) >= length):
                 text = data[off[r] : off[r + 1]]
-                lo, hi, at, gram = anchors(text, length)
+                lo, hi, at, gram = anchors(text, length, step)
                 span, n = _Prefix(text), len(text)
                 l_key = np.where(at >= left, span(np.maximum(at - left, 0), at + GRAM), U64(0))
                 r_key = np.where(at + right <= n, span(at, np.minimum(at + right, n)), U64(0))
@@ -295,10 +313,13 @@ def _candidates(whole: DataFrame) -> DataFrame:
     return whole.repartition("gram").sortWithinPartitions("gram").mapInArrow(textkit.tidied(run), whole.schema)
 
 
-def repeated_spans(docs: DataFrame, *, length: int = 400, split: int = 20000, block_bytes: int = 1 << 19) -> DataFrame:
-    """``kid``, ``kh`` (id and text hash of a document) and ``spans``: places of contexts with the ranges of their windows that repeat."""
+def repeated_spans(docs: DataFrame, *, length: int = 400, step: int = 1, split: int = 20000, block_bytes: int = 1 << 19) -> DataFrame:
+    """``kid``, ``kh`` (id and text hash of a document) and ``spans``: places of contexts with the ranges of their windows that repeat.
+
+    With a step of CODE, length and places count bytes of codes.
+    """
     keyed = docs.select(*_key(), "text")
-    runs = runtime.stored(contexts(keyed, length), "runs")
+    runs = runtime.stored(contexts(keyed, length, step), "runs")
     same = ["gram", "lk", "rk", "c1"]
     whole = runtime.stored(runs.select("*", F.col("los")[0].alias("lo"), F.size("los").alias("n")).groupBy(*same).agg(*(F.first(c).alias(c) for c in ("kid", "kh", "lo", "width")), F.sum("n").alias("copies")), "contexts")
     # anchors with very many contexts are dealt over several shards, unfiltered
@@ -309,8 +330,8 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, split: int = 20000, bl
     chosen = runtime.stored(few.unionByName(hot), "candidates")
     runtime.drop_stored(whole)
     cuts = chosen.groupBy("kid", "kh").agg(F.collect_list(F.struct("lo", "width", *same, "copies", "shard", "split")).alias("cuts"))
-    texts = _cut(_join(keyed, cuts, "inner"), length).repartition("shard").sortWithinPartitions("shard")
-    found = runtime.stored(_sort_shards(texts, length, block_bytes), "windows")
+    texts = _cut(_join(keyed, cuts, "inner"), length, step).repartition("shard").sortWithinPartitions("shard")
+    found = runtime.stored(_sort_shards(texts, length, block_bytes, step), "windows")
     across = found.where("fp is not null").groupBy("fp").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").select("fp")
     merged = found.where("fp is not null").join(across, "fp", "left_semi")
     ranges = found.where("fp is null").unionByName(merged).groupBy(*same).agg(F.collect_list(F.struct("first", "last")).alias("r"))
@@ -329,14 +350,14 @@ def _join(docs: DataFrame, by_key: DataFrame, how: str) -> DataFrame:
     return docs.join(other, docs.kid.eqNullSafe(other["_kid"]) & (docs.kh == other["_kh"]), how).drop("_kid", "_kh")
 
 
-def _cut(once: DataFrame, length: int) -> DataFrame:
+def _cut(once: DataFrame, length: int, step: int) -> DataFrame:
     """The text of each chosen context."""
     names = ["gram", "lk", "rk", "c1", "copies", "shard", "split"]
 
     def run(batches):
         for batch in batches:
             texts, cuts = textkit.columns(batch, "text", "cuts")
-            data, off = textkit.column_bytes(texts)
+            data, off = _coded(texts, step)
             flat = cuts.flatten()
             base = np.repeat(off[:-1], np.diff(cuts.offsets.to_numpy()))
             lo, width = (flat.field(c).to_numpy() for c in ("lo", "width"))
@@ -349,7 +370,7 @@ def _cut(once: DataFrame, length: int) -> DataFrame:
     return once.select("text", "cuts").mapInArrow(textkit.tidied(run), "gram long, lk long, rk long, c1 long, copies long, shard long, split boolean, t binary")
 
 
-def _sort_shards(texts: DataFrame, length: int, block_bytes: int) -> DataFrame:
+def _sort_shards(texts: DataFrame, length: int, block_bytes: int, step: int) -> DataFrame:
     """Ranges of repeating windows by context; for split anchors also a fingerprint of each window, to meet other shards."""
     same = ["gram", "lk", "rk", "c1"]
 
@@ -369,7 +390,7 @@ def _sort_shards(texts: DataFrame, length: int, block_bytes: int) -> DataFrame:
             who, offset, place, repeats, data = repeats_in_shard(block.column("t").to_pylist(), copies, length)
             yield emit(block, *_runs_of(who, offset, repeats))
             if split.any():
-                at = np.flatnonzero(split[who])
+                at = np.flatnonzero(split[who] & (offset % step == 0))
                 for i in range(0, len(at), 100_000):
                     some = at[i : i + 100_000]
                     marks = [hashlib.blake2b(data[p : p + length], digest_size=16).digest() for p in place[some]]
@@ -378,11 +399,11 @@ def _sort_shards(texts: DataFrame, length: int, block_bytes: int) -> DataFrame:
     return texts.mapInArrow(textkit.tidied(run), "gram long, lk long, rk long, c1 long, shard long, first int, last int, fp binary")
 
 
-def _merge(starts: np.ndarray, ends: np.ndarray):
+def _merge(starts: np.ndarray, ends: np.ndarray, touching: bool = True):
     """Unite ranges that overlap or touch."""
     order = np.argsort(starts, kind="stable")
     a, b = starts[order], np.maximum.accumulate(ends[order])
-    new = np.append(True, a[1:] > b[:-1])
+    new = np.append(True, a[1:] > b[:-1] if touching else a[1:] >= b[:-1])
     first = np.flatnonzero(new)
     return a[first], b[np.append(first[1:], len(a)) - 1]
 
@@ -394,7 +415,7 @@ def _with_spans(docs: DataFrame, length: int, **options) -> DataFrame:
     return keyed.join(other, keyed["_a"].eqNullSafe(other["_kid"]) & (keyed["_b"] == other["_kh"]), "left").select(*docs.columns, "_spans")
 
 
-def _apply(batch: pa.RecordBatch, length: int):
+def _apply(batch: pa.RecordBatch, length: int, step: int = 1):
     """(row, text bytes, span starts, span ends) for each row."""
     data, off = textkit.column_bytes(batch.column(batch.schema.get_field_index("text")))
     spans = batch.column(batch.schema.get_field_index("_spans"))
@@ -412,7 +433,10 @@ def _apply(batch: pa.RecordBatch, length: int):
                 lo = los[l_at[e] : l_at[e + 1], None]
                 starts.append((lo + begin[r_at[e] : r_at[e + 1]]).ravel())
                 ends.append((lo + last[r_at[e] : r_at[e + 1]]).ravel() + length)
-            a, b = _merge(np.concatenate(starts), np.concatenate(ends))
+            a, b = _merge(np.concatenate(starts), np.concatenate(ends), touching=step == 1)  # white space between words stays
+            if step > 1:
+                start, end, _ = textkit.tokens(text, np.array([0, len(text)]), textkit.WHITE)
+                a, b = start[-(-a // step)], end[b // step - 1]
         yield r, text, a, b
 
 
@@ -437,7 +461,7 @@ def digest(docs: DataFrame, *, length: int = 400, **options) -> DataFrame:
     return _with_spans(docs.select("doc_id", "text"), length, **options).mapInArrow(textkit.tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def strip(docs: DataFrame, *, length: int = 400, **options) -> DataFrame:
+def strip(docs: DataFrame, *, length: int = 400, step: int = 1, **options) -> DataFrame:
     """docs, all columns, with the repeated bytes taken out of text (a cut inside a character drops its rest)."""
     schema = docs.schema
 
@@ -445,12 +469,17 @@ def strip(docs: DataFrame, *, length: int = 400, **options) -> DataFrame:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             old = batch.column(at)
-            new = [_keep(text, a, b).decode("utf-8", "ignore") if len(a) else None for _, text, a, b in _apply(batch, length)]
+            new = [_keep(text, a, b).decode("utf-8", "ignore") if len(a) else None for _, text, a, b in _apply(batch, length, step)]
             value = [o if x is None else x for o, x in zip(old.to_pylist(), new)]
             out = [pa.array(value, pa.string()) if c.name == "text" else batch.column(c.name) for c in schema]
             yield pa.RecordBatch.from_arrays(out, [c.name for c in schema])
 
-    return _with_spans(docs, length, **options).mapInArrow(textkit.tidied(run), schema)
+    return _with_spans(docs, length, step=step, **options).mapInArrow(textkit.tidied(run), schema)
+
+
+def strip_words(docs: DataFrame, *, words: int = 51, **options) -> DataFrame:
+    """``strip`` for strings of so many words, however few their bytes and whatever the white space between them."""
+    return strip(docs, length=words * CODE, step=CODE, **options)
 
 
 def op6_suffixes(spark, sf_dir: str) -> DataFrame:

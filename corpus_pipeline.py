@@ -22,8 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8)."""
-    return neardup.dedupe(docs)
+    """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8).
+
+    Of those, passages of 51 words that stand elsewhere too are cut out: they may have under 400 bytes.
+    """
+    kept = runtime.stored(neardup.dedupe(docs), "kept")
+    return suffixdedup.strip_words(kept, words=51).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

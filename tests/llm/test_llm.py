@@ -120,6 +120,46 @@ def test_suffixes_against_brute_force(spark, split):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == dict(enumerate(expected))
 
 
+def brute_word_repeats(rows, words):
+    """Texts without the strings of so many words that stand elsewhere too."""
+    at = [[(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", t)] for t in rows]
+    keys = [[tuple(t[a:b] for a, b in w[p : p + words]) for p in range(len(w) - words + 1)] for t, w in zip(rows, at)]
+    seen = collections.Counter(k for row in keys for k in row)
+    out = []
+    for t, w, row in zip(rows, at, keys):
+        gone = np.zeros(len(t), bool)
+        for p, k in enumerate(row):
+            if seen[k] > 1:
+                gone[w[p][0] : w[p + words - 1][1]] = True
+        out.append(bytes(b for b, g in zip(t, gone) if not g).decode("utf-8", "ignore"))
+    return out
+
+
+@pytest.mark.parametrize("split", [20000, 1])
+def test_passages_of_51_to_60_short_words(spark, split):
+    rng = np.random.default_rng(4)
+    noise = lambda n: " ".join(f"{k}n" for k in rng.integers(0, 10**9, n))
+    passages = {n: " ".join(str(w) for w in rng.choice(list("abcdefghé"), n)) for n in range(49, 61)}
+    texts = [f"{noise(int(rng.integers(0, 90)))} {p} {noise(int(rng.integers(0, 90)))}" for p in passages.values() for _ in range(3)]
+    texts += [passages[51], passages[55].replace(" ", "\n\t"), noise(9) + " x" + passages[51], " ".join(["la"] * 200), f"{passages[60]} {passages[60]}"]
+    rows = [t or "" for t in texts + AWKWARD if not isinstance(t, tuple)]
+    got = {r["doc_id"]: r["text"] for r in all_rows(suffixdedup.strip_words(documents(spark, rows), words=51, split=split))}
+    assert all(len(p.encode()) < 400 for p in passages.values())
+    assert {i: got[i] or "" for i in got} == dict(enumerate(brute_word_repeats([t.encode() for t in rows], 51)))
+    assert sum(passages[49] in t for t in rows) == sum(passages[49] in (t or "") for t in got.values()) == 3
+
+
+def test_pipeline_cuts_short_passages(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"w{k}" for k in range(51))
+    docs = documents(spark, [" ".join(f"{side}{k}" for k in range(60)) + f" {passage} {side}" for side in ("left", "right")])
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, SF)
+    got = [r["text"] for r in docs.collect()]
+    assert len(got) == 2 and not any("w25" in t for t in got) and all(len(t.split()) == 61 for t in got)
+
+
 def test_suffix_ranks_and_prefixes():
     data = np.frombuffer(b"banana_bandana_banana_" * 5 + b"\0" * 40, np.uint8)
     rank = suffixdedup.suffix_ranks(data, 40)
