@@ -7,7 +7,8 @@ query. A unit that reaches the threshold must get a known part of it from its ra
 where no unit does are set aside by sums over arrays (an exact bound, as in WAND, but over a whole
 batch). The rest go through block-max WAND, which returns all units at or above the threshold.
 An item that a passage retrieves is verified on the words around it: its question (all but the last sentence)
-and answer (the last sentence), by the share of their five-word shingles that occur there.
+and answer (the last sentence), by the share of their five-word shingles that occur there. A part of
+fewer words is one shingle, looked for among the shingles of as many words.
 
 A pair is a leak if the whole item overlaps by ``overlap`` or more, or question and answer both do.
 Null and empty texts and items without words match nothing; empty tables give no rows. Repeated
@@ -35,10 +36,9 @@ def _words(text: str) -> np.ndarray:
     return textkit.span_hashes(data, start, end)
 
 
-def _shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of the five-word shingles; of fewer words, of all of them together."""
-    k = min(SHINGLE, len(words))
-    if not k:
+def _shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k-word shingles."""
+    if not 0 < k <= len(words):
         return np.zeros(0, np.uint64)
     h = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
@@ -46,6 +46,12 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     return textkit.mix(h)
 
 
+def _part(words: np.ndarray) -> tuple[int, np.ndarray]:
+    """The width of a part's shingles, five words or all it has, and their hashes."""
+    k = min(SHINGLE, len(words))
+    return k, np.unique(_shingles(words, k))
+
+
 def question_answer(text: str) -> tuple[str, str]:
     """All but the last sentence, and the last; of one sentence, its first two thirds and the rest."""
     parts = [p for p in re.split(r"(?<=[.!?])\s+", text.strip()) if p]
@@ -68,7 +74,7 @@ class Index:
             if not len(words):
                 continue
             q, a = question_answer(text)
-            self.items.append((item_id, len(words), np.unique(_shingles(words)), np.unique(_shingles(_words(q))), np.unique(_shingles(_words(a)))))
+            self.items.append((item_id, len(words), _part(words), _part(_words(q)), _part(_words(a))))
             for i in range(0, len(words), unit):
                 part = words[i : i + unit]
                 if i and len(part) < unit // 4:
@@ -198,8 +204,10 @@ def _passages(index: Index, row: np.ndarray, place: np.ndarray, term: np.ndarray
     return np.column_stack([window // wide, window % wide])
 
 
-def _share(part: np.ndarray, there: np.ndarray) -> float:
-    return float(np.isin(part, there).mean()) if len(part) else 0.0
+def _shares(parts: list[tuple[int, np.ndarray]], around: np.ndarray) -> list[float]:
+    """Of each part, the share of its shingles that occur among the words around."""
+    there = {k: _shingles(around, k) for k, _ in parts}
+    return [float(np.isin(part, there[k]).mean()) if len(part) else 0.0 for k, part in parts]
 
 
 def _search(docs: DataFrame, items: list[tuple[int, str]], unit: int, threshold: float, overlap: float) -> DataFrame:
@@ -230,10 +238,9 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], unit: int, threshold:
                     terms = terms[terms >= 0].tolist()
                     for u, score in index.wand(terms, threshold):
                         item = int(index.owner[u])
-                        _, size, whole, q, a = index.items[item]
+                        _, size, *parts = index.items[item]
                         lo = max(first[r], first[r] + w * unit - size)
-                        there = _shingles(word[lo : min(first[r + 1], first[r] + (w + 2) * unit + size)])
-                        got = [score, _share(whole, there), _share(q, there), _share(a, there)]
+                        got = [score, *_shares(parts, word[lo : min(first[r + 1], first[r] + (w + 2) * unit + size)])]
                         if got[1] >= overlap or min(got[2:]) >= overlap:
                             old = found.setdefault((i + r, item), got)
                             found[(i + r, item)] = [max(x, y) for x, y in zip(old, got)]

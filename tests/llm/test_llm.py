@@ -329,6 +329,18 @@ def test_leaks(spark):
     assert {(r["doc_id"], r["item_id"]) for r in all_rows(contamination.leaks(docs, bench, block_items=1))} == got
 
 
+def test_leaks_of_short_parts(spark):
+    question = "Which of the four rivers runs through the old walled town of Arles in summer?"
+    bench = spark.createDataFrame([(1, f"{question} The lower Rhone river."), (2, "Zebras graze near Gweru."), (3, f"{question.replace('Arles', 'Vienne')} Danube.")], "item_id long, text string")
+    rng = np.random.default_rng(8)
+    filler = lambda n: " ".join(f"f{k}" for k in rng.integers(0, 500, n))
+    around = lambda t: f"{filler(150)} {t} {filler(150)}"
+    docs = documents(spark, [around(f"{question} The lower Rhone river."), around(f"{question} Answer, as many say: the LOWER Rhone river"), around("zebras graze near Gweru"), around("Zebras near Gweru graze"), around(f"{question} It was the wide Danube."), "Zebras graze near Gweru."])
+    got = {(r["doc_id"], r["item_id"]): r for r in all_rows(contamination.leaks(docs, bench))}
+    assert set(got) == {(0, 1), (1, 1), (2, 2), (5, 2)}
+    assert got[0, 1]["answer_overlap"] == got[1, 1]["answer_overlap"] == got[2, 2]["overlap"] == 1 and got[1, 1]["overlap"] < 0.8
+
+
 # Nearest neighbours.
 
 
