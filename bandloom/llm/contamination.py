@@ -12,8 +12,9 @@ fewer words is one shingle, looked for among the shingles of as many words.
 
 A pair is a leak if the whole item overlaps by ``overlap`` or more, or question and answer both do.
 Null and empty texts and items without words match nothing; empty tables give no rows. Repeated
-items are matched each; repeated rows give repeated pairs only once. The benchmark is searched in
-blocks of ``block_items`` items, one broadcast index for each, so that an index stays small.
+items are matched each; repeated rows give repeated pairs only once. The benchmark is dealt over
+indexes of ``block_items`` items each, one broadcast for each, all of which see a batch in one pass
+over the corpus.
 """
 
 from __future__ import annotations
@@ -210,63 +211,92 @@ def _shares(parts: list[tuple[int, np.ndarray]], around: np.ndarray) -> list[flo
     return [float(np.isin(part, there[k]).mean()) if len(part) else 0.0 for k, part in parts]
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], unit: int, threshold: float, overlap: float) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Index(items, unit, threshold))
+class Scanner:
+    """The leaks in whole texts, by one index."""
+
+    def __init__(self, index: Index, threshold: float, overlap: float):
+        self.index, self.threshold, self.overlap = index, threshold, overlap
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(index.vocabulary >> np.uint64(44)).astype(np.int64)] = True
+
+    def __call__(self, texts) -> dict[tuple[int, int], list[float]]:
+        """(row, item) -> best score, overlap, question and answer overlap of every leak in a column of texts."""
+        index, unit = self.index, self.index.unit
+        found: dict[tuple[int, int], list[float]] = {}
+        if not len(index.vocabulary):
+            return found
+        for i, _, data, off in textkit.slices(texts):
+            low = textkit.fold_case(data)
+            start, end, row = textkit.tokens(low, off, textkit.NOT_ALNUM)
+            word = textkit.span_hashes(low, start, end)
+            first = np.searchsorted(row, np.arange(len(off)))
+            known = np.full(len(word), -1)
+            maybe = np.flatnonzero(self.bits[(word >> np.uint64(44)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(index.vocabulary, word[maybe]), len(index.vocabulary) - 1)
+            known[maybe] = np.where(index.vocabulary[at] == word[maybe], at, -1)
+            hit = np.flatnonzero((known >= 0) & index.rare[known])
+            for r, w in _passages(index, row[hit], hit - first[row[hit]], known[hit]).tolist():
+                terms = np.unique(known[first[r] + w * unit : min(first[r + 1], first[r] + (w + 2) * unit)])
+                terms = terms[terms >= 0].tolist()
+                for u, score in index.wand(terms, self.threshold):
+                    item = int(index.owner[u])
+                    _, size, *parts = index.items[item]
+                    lo = max(first[r], first[r] + w * unit - size)
+                    got = [score, *_shares(parts, word[lo : min(first[r + 1], first[r] + (w + 2) * unit + size)])]
+                    if got[1] >= self.overlap or min(got[2:]) >= self.overlap:
+                        old = found.setdefault((i + r, item), got)
+                        found[(i + r, item)] = [max(x, y) for x, y in zip(old, got)]
+        return found
+
+
+def _indexes(benchmark: DataFrame, unit: int, threshold: float, block_items: int) -> list:
+    """One broadcast index for each block of about ``block_items`` items."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    blocks = max(1, -(-items.count() // block_items))
+    out = []
+    for i in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).orderBy("item_id").collect()  # about block_items rows
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part], unit, threshold)))
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, *, unit: int = 48, threshold: float = 0.6, overlap: float = 0.8, block_items: int = 20000) -> DataFrame:
+    """doc_id, item_id, the best passage's score and the verified overlaps of every leak.
+
+    Rows that share a doc_id (or have none) share their rows here; ``clean`` judges each row by itself.
+    """
+    runtime.ship(docs.sparkSession)
+    indexes = _indexes(benchmark, unit, threshold, block_items)
+    names = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
 
     def run(batches):
-        index = shared.value
-        names = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
-        bits = np.zeros(1 << 20, bool)
-        bits[(index.vocabulary >> np.uint64(44)).astype(np.int64)] = True
+        scanners = [Scanner(x.value, threshold, overlap) for x in indexes]
         for batch in batches:
             keys, texts = textkit.columns(batch, "doc_id", "text")
-            found: dict[tuple[int, int], list[float]] = {}
-            for i, _, data, off in textkit.slices(texts):
-                low = textkit.fold_case(data)
-                start, end, row = textkit.tokens(low, off, textkit.NOT_ALNUM)
-                word = textkit.span_hashes(low, start, end)
-                first = np.searchsorted(row, np.arange(len(off)))
-                known = np.full(len(word), -1)
-                maybe = np.flatnonzero(bits[(word >> np.uint64(44)).astype(np.int64)])
-                if len(index.vocabulary):
-                    at = np.minimum(np.searchsorted(index.vocabulary, word[maybe]), len(index.vocabulary) - 1)
-                    known[maybe] = np.where(index.vocabulary[at] == word[maybe], at, -1)
-                hit = np.flatnonzero((known >= 0) & index.rare[known]) if len(index.vocabulary) else np.zeros(0, np.int64)
-                for r, w in _passages(index, row[hit], hit - first[row[hit]], known[hit]).tolist():
-                    terms = np.unique(known[first[r] + w * unit : min(first[r + 1], first[r] + (w + 2) * unit)])
-                    terms = terms[terms >= 0].tolist()
-                    for u, score in index.wand(terms, threshold):
-                        item = int(index.owner[u])
-                        _, size, *parts = index.items[item]
-                        lo = max(first[r], first[r] + w * unit - size)
-                        got = [score, *_shares(parts, word[lo : min(first[r + 1], first[r] + (w + 2) * unit + size)])]
-                        if got[1] >= overlap or min(got[2:]) >= overlap:
-                            old = found.setdefault((i + r, item), got)
-                            found[(i + r, item)] = [max(x, y) for x, y in zip(old, got)]
-            rows = sorted(found)
-            value = np.array([found[x] for x in rows]).reshape(len(rows), 4)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array([x[0] for x in rows], pa.int64())), pa.array([index.items[x[1]][0] for x in rows], pa.int64()), *(pa.array(value[:, c]) for c in range(4))], names)
-
-    return docs.select("doc_id", "text").mapInArrow(textkit.tidied(run), "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+            for scanner in scanners:
+                found = scanner(texts)
+                rows = sorted(found)
+                value = np.array([found[x] for x in rows]).reshape(len(rows), 4)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array([x[0] for x in rows], pa.int64())), pa.array([scanner.index.items[x[1]][0] for x in rows], pa.int64()), *(pa.array(value[:, c]) for c in range(4))], names)
 
+    out = docs.select("doc_id", "text").mapInArrow(textkit.tidied(run), "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+    return out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in names[2:]))
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, unit: int = 48, threshold: float = 0.6, overlap: float = 0.8, block_items: int = 20000) -> DataFrame:
-    """doc_id, item_id, the best passage's score and the verified overlaps of every leak."""
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, unit: int = 48, threshold: float = 0.6, overlap: float = 0.8, block_items: int = 20000) -> DataFrame:
+    """The rows of docs, all columns, whose text leaks no item; each row is judged where it lies, without a shuffle."""
     runtime.ship(docs.sparkSession)
-    items = benchmark.select("item_id", "text").where("text is not null")
-    blocks = max(1, -(-items.count() // block_items))
-    out = None
-    for i in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).orderBy("item_id").collect()  # about block_items rows
-        found = _search(docs, [(r["item_id"], r["text"]) for r in part], unit, threshold, overlap)
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("score", "overlap", "question_overlap", "answer_overlap")))
+    indexes = _indexes(benchmark, unit, threshold, block_items)
 
+    def run(batches):
+        scanners = [Scanner(x.value, threshold, overlap) for x in indexes]
+        for batch in batches:
+            stay = np.ones(batch.num_rows, bool)
+            for scanner in scanners:
+                stay[[row for row, _ in scanner(*textkit.columns(batch, "text"))]] = False
+            yield batch.filter(pa.array(stay))
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, without those of documents that leak an item."""
-    return docs.join(leaks(docs, benchmark, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.mapInArrow(textkit.tidied(run), docs.schema)
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

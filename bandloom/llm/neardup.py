@@ -259,9 +259,27 @@ def _unresolved(mixed: DataFrame, reps: DataFrame, star: DataFrame, percent: int
 
 
 def dedupe(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, without those that another document of their component stands for."""
-    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, all columns, that no other row of their component stands for.
+
+    Rows are told apart by text, too: where a doc_id is null or stands in several rows, each
+    different text is a document of its own, under a number made of id and text (above 2**62, and those
+    without an id above the others, so that the least id still stands for a group). Of rows equal in doc_id and text one stays, any of them
+    if other columns differ. Rows without words are linked with nothing, but repeated ones go.
+    """
+    key, own, gone_key = runtime.free_names(docs, "row_key", "own_id", "gone_key")
+    # ids that don't tell rows apart; as a written table its size is known, so that a small one is broadcast
+    many = runtime.stored(docs.groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("n")).where(F.col(own).isNull() | (F.col("n") > 1)).select(own, F.lit(True).alias(key)), "repeated")
+    if many.isEmpty():
+        once = docs.withColumn(key, F.col("doc_id"))
+    else:
+        base = F.when(F.col("doc_id").isNull(), 3 << 61).otherwise(1 << 62)
+        made = F.shiftrightunsigned(F.xxhash64(F.lit(41), "doc_id", F.coalesce("text", F.lit(""))), 3).bitwiseOR(base)
+        rows = docs.join(many, docs.doc_id.eqNullSafe(many[own]), "left")
+        alone = rows.where(F.col(key).isNull()).select(*docs.columns, F.col("doc_id").alias(key))
+        once = alone.unionByName(rows.where(F.col(key)).select(*docs.columns, made.alias(key)).dropDuplicates([key]))
+    gone = near_duplicates(once.select(F.col(key).alias("doc_id"), "text"), **options).where("not kept").select(F.col("doc_id").alias(gone_key))
+    gone = runtime.stored(gone, "gone")
+    return once.join(gone, once[key] == gone[gone_key], "left_anti").select(*docs.columns)
 
 
 def op2_neardup(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ document, or elsewhere in its own). Matches never cross documents.
 1. Anchors. Each window of ``length`` bytes has an anchor: the place of the least hash of the
    32-byte grams in it. Equal windows have equal anchors at equal distances, so windows are handled
    in runs of one anchor: the context text[lo : hi + length] around it, about one for each
-   (length - 32) / 2 bytes. Equal contexts are merged into one with its number of copies.
+   (length - 32) / 2 bytes. Equal contexts (by 256 bits of hashes) are merged into one with its
+   number of copies.
 2. Candidates. A window that repeats holds, beside the anchor, at least half its length on one
    side. Contexts are kept whose left or right half-window at the anchor occurs in another context,
    or that have copies themselves.
@@ -16,18 +17,18 @@ document, or elsewhere in its own). Matches never cross documents.
    groups rest) and takes common prefixes of neighbours by Kasai's rule (a prefix is at most one
    shorter than that of the suffix one place before), done in whole arrays.
 4. Merge across shards. Only windows of split anchors can repeat in another shard. Each such shard
-   sends the sorted fingerprints of its classes; those that more than one shard holds come back,
-   and each shard finds its windows among them by binary search.
+   sends the 128-bit fingerprints of its classes; a sorted join finds those that more than one shard
+   holds. ``split`` moves work between steps 3 and 4 and changes no result.
 5. The marked windows go back over the merged contexts to the documents, where runs are united.
 
-Strings of words (``strip_words``): the same runs over texts in which each word (a run of bytes without
-white space) is a code of 4 bytes of its hash, on windows of that many codes. Windows that differ in
-one word are taken for equal with probability 2**-32. Anchors are at words, and ranges are cut back to
-whole words.
+Passages (``words``): the same runs over texts in which each word (a run of bytes without white space)
+is a symbol, a 32-bit hash, on windows of that many symbols, however few their bytes and whatever the
+white space between them. Windows that differ in one word are taken for equal with probability
+2**-32. Ranges are whole words.
 
-Null texts count as empty; texts shorter than ``length`` lose nothing. Rows with equal doc_id and
+Null texts count as empty; texts shorter than a window lose nothing. Rows with equal doc_id and
 text are copies of each other and both count. Null doc_ids are treated like any other. Empty
-tables give no rows. Extra columns are ignored (``strip`` keeps them).
+tables give no rows. Extra columns are ignored (``strip`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -47,10 +48,10 @@ CODE = 4
 _K = [U64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def _gram_hashes(data: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of the 32 bytes from each place (places near the end are short)."""
-    h = data.astype(U64) + U64(1 + seed)
-    for k in range(5):
+def _gram_hashes(symbols: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the 32 bytes from each place that has as many (32 or, of words' codes, 8 symbols)."""
+    h = symbols.astype(U64) + U64(1)
+    for k in range(5 if symbols.itemsize == 1 else 3):
         step = 1 << k
         n = len(h) - step
         if n <= 0:
@@ -84,12 +85,16 @@ def _coded(column, step: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(codes).view(np.uint8), np.cumsum(np.concatenate(n)) * CODE
 
 
+def _symbols(data: np.ndarray, step: int) -> np.ndarray:
+    return data if step == 1 else data.view("<u4")
+
+
 def anchors(data: np.ndarray, length: int, step: int = 1):
     """(lo, hi, anchor, gram hash) of the window runs of one text; windows start at multiples of step."""
     if len(data) < length:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, U64)
-    h = _gram_hashes(data)[::step]
+    h = _gram_hashes(_symbols(data, step))
     w = (length - GRAM) // step + 1
     place_bits = max(1, int(len(h)).bit_length())
     packed = (h >> U64(place_bits)) << U64(place_bits) | np.arange(len(h), dtype=U64)
@@ -168,19 +173,26 @@ def contexts(keyed: DataFrame, length: int, step: int = 1) -> DataFrame:
     return keyed.mapInArrow(textkit.tidied(run), "kid long, kh long, los array<int>, width int, gram long, lk long, rk long, c1 long")
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the suffixes of data by their first ``depth`` bytes: equal ranks, equal bytes.
+def suffix_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes by their first ``depth`` symbols: equal ranks, equal symbols.
 
-    Ranks of 5 bytes come first, then pairs of ranks double the depth; groups of one rest. Keys are
-    sorted together with their places where both fit 64 bits. The last ``depth`` suffixes are short.
+    Ranks of as many symbols as fit 40 bits come first, then pairs of ranks double the depth; groups
+    of one rest. Keys are sorted together with their places where both fit 64 bits. The last
+    ``depth`` suffixes are short.
     """
-    n = len(data)
+    n = len(symbols)
     bits = U64(max(1, int(n).bit_length()))
     packs = 3 * int(bits) <= 64
+    wide = 8 * symbols.itemsize
+    if wide > 8:  # words: their ranks
+        symbols = np.unique(symbols, return_inverse=True)[1]
+        wide = max(1, int(symbols.max(initial=0)).bit_length())
+    have = max(1, 40 // wide) if wide != 8 else 5
+    have = min(have, depth)
     word = np.zeros(n, U64)
-    for k in range(5):
-        word <<= U64(8)
-        word[: n - k] |= data[k:]
+    for k in range(have):
+        word <<= U64(wide)
+        word[: n - k] |= symbols[k:].astype(U64)
     if int(bits) <= 24:
         both = np.sort(word << U64(24) | np.arange(n, dtype=U64))
         s, order = both >> U64(24), (both & U64((1 << 24) - 1)).astype(np.int64)
@@ -189,7 +201,6 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
         s = word[order]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(np.append(True, s[1:] != s[:-1]), np.arange(n), 0))
-    have = 5
     while have < depth:
         step = min(have, depth - have)
         size = np.bincount(rank, minlength=n)
@@ -214,66 +225,69 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """At each place: bytes shared with the suffix before it in ``order``, compared up to ``most``.
+def common_prefixes(symbols: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """At each place: symbols shared with the suffix before it in ``order``, compared up to ``most``.
 
     Kasai's rule in whole arrays: where the neighbour of a place follows that of the place before
-    it, whose first bytes agree, the prefix is one less than at the place before; only at the other
-    places, the heads, bytes are compared, eight at a time. Values of places up to ``most - x`` after a
-    head are exact below x.
+    it, whose first symbols agree, the prefix is one less than at the place before; only at the other
+    places, the heads, symbols are compared, 64 bits at a time. Values of places up to ``most - x`` after
+    a head are exact below x.
     """
-    n = len(data)
+    n = len(symbols)
     phi = np.full(n, -1, np.int64)
     phi[order[1:]] = order[:-1]
     chained = np.zeros(n, bool)
-    chained[1:] = (phi[:-1] >= 0) & (phi[:-1] + 1 == phi[1:]) & (data[:-1] == data[phi[:-1]])
+    chained[1:] = (phi[:-1] >= 0) & (phi[:-1] + 1 == phi[1:]) & (symbols[:-1] == symbols[phi[:-1]])
     live = np.flatnonzero((phi >= 0) & ~chained)
-    padded = np.append(data, np.zeros(16, np.uint8)).astype(U64)
-    word = np.zeros(n + 8, U64)
-    for k in range(8):
-        word = word << U64(8) | padded[k : k + n + 8]
+    wide, per = 8 * symbols.itemsize, 8 // symbols.itemsize
+    padded = np.append(symbols, np.zeros(2 * per, symbols.dtype)).astype(U64)
+    word = np.zeros(n + per, U64)
+    for k in range(per):
+        word = word << U64(wide) | padded[k : k + n + per]
     plcp = np.zeros(n, np.int64)
     shared = 0
     while len(live) and shared < most:
         differ = word[np.minimum(live + shared, n)] ^ word[np.minimum(phi[live] + shared, n)]
         lead = np.zeros(len(live), np.int64)
-        for k in range(1, 9):
-            lead += differ < (U64(1) << U64(64 - 8 * k)) if k < 8 else differ == 0
+        for k in range(1, per + 1):
+            lead += differ < (U64(1) << U64(64 - wide * k)) if k < per else differ == 0
         plcp[live] += lead
-        live, shared = live[lead == 8], shared + 8
+        live, shared = live[lead == per], shared + per
     here = np.arange(n)
     head = np.maximum.accumulate(np.where(chained, 0, here))
     return plcp[head] + head - here
 
 
-def repeats_in_shard(texts: list[bytes], copies: np.ndarray, length: int):
-    """For each window of the contexts of a shard: context, offset, place in data, whether it repeats; and data."""
-    size = np.array([len(t) for t in texts], np.int64)
-    windows = size - length + 1
+def repeats_in_shard(texts: list[bytes], copies: np.ndarray, length: int, step: int = 1):
+    """For each window of the contexts of a shard: context, offset, place in data, whether it repeats; and data (bytes all)."""
+    size = np.array([len(t) for t in texts], np.int64) // step
+    deep = length // step
+    windows = size - deep + 1
     data = np.frombuffer(b"".join(texts) + b"\0" * length, np.uint8)
+    symbols = _symbols(data, step)
     who = np.repeat(np.arange(len(texts)), windows)
     offset = np.arange(len(who)) - np.repeat(textkit.exclusive(windows), windows)
     place = textkit.exclusive(size)[who] + offset
-    rank = suffix_ranks(data, length)
+    rank = suffix_ranks(symbols, deep)
     # the suffix array of the places that have a whole window inside their context; equal ranks by place
     order = np.sort(rank[place].astype(U64) << U64(32) | place.astype(U64))
     order = (order & U64(0xFFFFFFFF)).astype(np.int64)
-    same = common_prefixes(data, order, 2 * length)[order] >= length  # as long a prefix as a window, with the one before
+    same = common_prefixes(symbols, order, 2 * deep)[order] >= deep  # as long a prefix as a window, with the one before
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    of = np.zeros(len(data), np.int64)
+    of = np.zeros(len(symbols), np.int64)
     of[place] = copies[who]
     total = np.bincount(head, weights=of[order], minlength=len(order))
-    repeats = np.zeros(len(data), bool)
+    repeats = np.zeros(len(symbols), bool)
     repeats[order] = total[head] > 1
-    return who, offset, place, repeats[place], data
+    return who, offset * step, place * step, repeats[place], data
 
 
-def _runs_of(who: np.ndarray, offset: np.ndarray, flag: np.ndarray):
+def _runs_of(who: np.ndarray, offset: np.ndarray, flag: np.ndarray, step: int = 1):
     """Runs of successive flagged windows of one context: (context, first, last)."""
     w, o = who[flag], offset[flag]
     if not len(w):
         return w, o, o
-    first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (o[1:] != o[:-1] + 1)))
+    first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (o[1:] != o[:-1] + step)))
     return w[first], o[first], o[np.append(first[1:], len(w)) - 1]
 
 
@@ -387,10 +401,10 @@ def _sort_shards(texts: DataFrame, length: int, block_bytes: int, step: int) ->
             keys = np.rec.fromarrays([block.column(c).to_numpy() for c in same])
             block = block.take(pa.array(np.unique(keys, return_index=True)[1]))
             copies, split = (block.column(c).to_numpy() for c in ("copies", "split"))
-            who, offset, place, repeats, data = repeats_in_shard(block.column("t").to_pylist(), copies, length)
-            yield emit(block, *_runs_of(who, offset, repeats))
+            who, offset, place, repeats, data = repeats_in_shard(block.column("t").to_pylist(), copies, length, step)
+            yield emit(block, *_runs_of(who, offset, repeats, step))
             if split.any():
-                at = np.flatnonzero(split[who] & (offset % step == 0))
+                at = np.flatnonzero(split[who])
                 for i in range(0, len(at), 100_000):
                     some = at[i : i + 100_000]
                     marks = [hashlib.blake2b(data[p : p + length], digest_size=16).digest() for p in place[some]]
@@ -408,36 +422,58 @@ def _merge(starts: np.ndarray, ends: np.ndarray, touching: bool = True):
     return a[first], b[np.append(first[1:], len(a)) - 1]
 
 
-def _with_spans(docs: DataFrame, length: int, **options) -> DataFrame:
-    spans = repeated_spans(docs, length=length, **options).withColumnRenamed("spans", "_spans")
-    keyed = docs.select("*", F.col("doc_id").alias("_a"), F.xxhash64("text").alias("_b"))
-    other = spans.withColumnsRenamed({"kid": "_kid", "kh": "_kh"})
-    return keyed.join(other, keyed["_a"].eqNullSafe(other["_kid"]) & (keyed["_b"] == other["_kh"]), "left").select(*docs.columns, "_spans")
-
-
-def _apply(batch: pa.RecordBatch, length: int, step: int = 1):
-    """(row, text bytes, span starts, span ends) for each row."""
+def _passes(length: int | None, words: int | None) -> list[tuple[int, int]]:
+    """(window, step) in bytes, or in bytes of words' codes."""
+    return [(length, 1)] * (length is not None) + [(words * CODE if words else 0, CODE)] * (words is not None)
+
+
+def _with_spans(docs: DataFrame, passes: list[tuple[int, int]], **options) -> tuple[DataFrame, list[str]]:
+    """docs with the spans of each pass in columns whose names docs doesn't use."""
+    key, word, far_key, far_word, *names = runtime.free_names(docs, "kid", "kh", "far_kid", "far_kh", *(f"spans{i}" for i in range(len(passes))))
+    found = None
+    for (length, step), name in zip(passes, names):
+        one = repeated_spans(docs, length=length, step=step, **options)
+        one = one.select(F.col("kid").alias(far_key), F.col("kh").alias(far_word), *(F.col("spans").alias(n) if n == name else F.lit(None).cast(one.schema["spans"].dataType).alias(n) for n in names))
+        found = one if found is None else found.unionByName(one)
+    if len(passes) > 1:
+        found = runtime.stored(found.groupBy(far_key, far_word).agg(*(F.first(n, ignorenulls=True).alias(n) for n in names)), "found")
+    keyed = docs.select("*", F.col("doc_id").alias(key), F.xxhash64("text").alias(word))
+    both = keyed.join(found, keyed[key].eqNullSafe(found[far_key]) & (keyed[word] == found[far_word]), "left")
+    return both.select(*docs.columns, *names), names
+
+
+def _ranges(spans, row: int, text: np.ndarray, length: int, step: int):
+    """Starts and ends of the byte ranges of one row that its spans name, united."""
+    first, n, l_at, los, r_at, begin, last = spans
+    if not n[row]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts, ends = [], []
+    for e in range(first[row], first[row] + n[row]):
+        lo = los[l_at[e] : l_at[e + 1], None]
+        starts.append((lo + begin[r_at[e] : r_at[e + 1]]).ravel())
+        ends.append((lo + last[r_at[e] : r_at[e + 1]]).ravel() + length)
+    a, b = _merge(np.concatenate(starts), np.concatenate(ends), touching=step == 1)
+    if step > 1:  # white space between two runs of words stays
+        start, end, _ = textkit.tokens(text, np.array([0, len(text)]), textkit.WHITE)
+        a, b = start[a // step], end[b // step - 1]
+    return a, b
+
+
+def _opened(column):
+    """The parts of a column of spans that _ranges reads."""
+    first = column.offsets.to_numpy()[:-1]
+    n = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()), 0)
+    l_list, r_list = column.values.field("los"), column.values.field("r")
+    return first, n, l_list.offsets.to_numpy(), l_list.values.to_numpy().astype(np.int64), r_list.offsets.to_numpy(), *(r_list.values.field(c).to_numpy().astype(np.int64) for c in ("first", "last"))
+
+
+def _apply(batch: pa.RecordBatch, passes: list[tuple[int, int]], names: list[str]):
+    """(row, text bytes, (starts, ends) of each pass) for each row."""
     data, off = textkit.column_bytes(batch.column(batch.schema.get_field_index("text")))
-    spans = batch.column(batch.schema.get_field_index("_spans"))
-    first = spans.offsets.to_numpy()[:-1]
-    n = np.where(spans.is_valid().to_numpy(zero_copy_only=False), np.diff(spans.offsets.to_numpy()), 0)
-    l_list, r_list = spans.values.field("los"), spans.values.field("r")
-    l_at, los = l_list.offsets.to_numpy(), l_list.values.to_numpy().astype(np.int64)
-    r_at, begin, last = r_list.offsets.to_numpy(), *(r_list.values.field(c).to_numpy().astype(np.int64) for c in ("first", "last"))
+    spans = [_opened(c) for c in textkit.columns(batch, *names)]
     for r in range(batch.num_rows):
         text = data[off[r] : off[r + 1]]
-        a = b = np.zeros(0, np.int64)
-        if n[r]:
-            starts, ends = [], []
-            for e in range(first[r], first[r] + n[r]):
-                lo = los[l_at[e] : l_at[e + 1], None]
-                starts.append((lo + begin[r_at[e] : r_at[e + 1]]).ravel())
-                ends.append((lo + last[r_at[e] : r_at[e + 1]]).ravel() + length)
-            a, b = _merge(np.concatenate(starts), np.concatenate(ends), touching=step == 1)  # white space between words stays
-            if step > 1:
-                start, end, _ = textkit.tokens(text, np.array([0, len(text)]), textkit.WHITE)
-                a, b = start[-(-a // step)], end[b // step - 1]
-        yield r, text, a, b
+        yield r, text, [_ranges(s, r, text, *p) for s, p in zip(spans, passes)]
 
 
 def _keep(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
@@ -446,40 +482,53 @@ def _keep(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
     return b"".join(text[x:y].tobytes() for x, y in zip(np.append(0, b), np.append(a, len(text))))
 
 
-def digest(docs: DataFrame, *, length: int = 400, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
+def digest(docs: DataFrame, *, length: int = 400, words: int = 51, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row, by strings of ``length`` bytes.
+
+    Beside them, passages of ``words`` words that stand elsewhere too, whatever their bytes: their
+    number of maximal runs (``n_passages``), the bytes from first to last word of the runs
+    (``n_passage_bytes``), and ``repeats``, whether the document holds a repeat of either kind.
+    """
+    passes = _passes(length, words)
+    found, names = _with_spans(docs.select("doc_id", "text"), passes, **options)
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            size, gone, runs, sha = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), []
-            for r, text, a, b in _apply(batch, length):
-                size[r], gone[r], runs[r] = len(text), (b - a).sum(), len(a)
+            size, gone, runs, passages, under, sha = *(np.zeros(n, np.int64) for _ in range(5)), []
+            for r, text, ((a, b), (p, q)) in _apply(batch, passes, names):
+                size[r], gone[r], runs[r], passages[r], under[r] = len(text), (b - a).sum(), len(a), len(p), (q - p).sum()
                 sha.append(hashlib.sha256(_keep(text, a, b)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*textkit.columns(batch, "doc_id"), pa.array(size), pa.array(gone), pa.array(runs), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            columns = [*textkit.columns(batch, "doc_id"), pa.array(size), pa.array(gone), pa.array(runs), pa.array(sha, pa.string()), pa.array(passages), pa.array(under), pa.array((runs > 0) | (passages > 0))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes", "repeats"])
 
-    return _with_spans(docs.select("doc_id", "text"), length, **options).mapInArrow(textkit.tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(textkit.tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long, repeats boolean")
 
 
-def strip(docs: DataFrame, *, length: int = 400, step: int = 1, **options) -> DataFrame:
-    """docs, all columns, with the repeated bytes taken out of text (a cut inside a character drops its rest)."""
-    schema = docs.schema
+def strip(docs: DataFrame, *, length: int | None = 400, words: int | None = None, **options) -> DataFrame:
+    """docs, all columns, with the repeated bytes (and passages of so many words) taken out of text.
+
+    Both kinds are judged on the input. A cut inside a character drops its rest.
+    """
+    schema, passes = docs.schema, _passes(length, words)
+    found, names = _with_spans(docs, passes, **options)
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            old = batch.column(at)
-            new = [_keep(text, a, b).decode("utf-8", "ignore") if len(a) else None for _, text, a, b in _apply(batch, length, step)]
-            value = [o if x is None else x for o, x in zip(old.to_pylist(), new)]
-            out = [pa.array(value, pa.string()) if c.name == "text" else batch.column(c.name) for c in schema]
+            value = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            for r, text, ranges in _apply(batch, passes, names):
+                a, b = (np.concatenate(c) for c in zip(*ranges))
+                if len(a):
+                    value[r] = _keep(text, *_merge(a, b)).decode("utf-8", "ignore")
+            out = [pa.array(value, pa.string()) if c.name == "text" else batch.column(batch.schema.get_field_index(c.name)) for c in schema]
             yield pa.RecordBatch.from_arrays(out, [c.name for c in schema])
 
-    return _with_spans(docs, length, step=step, **options).mapInArrow(textkit.tidied(run), schema)
+    return found.mapInArrow(textkit.tidied(run), schema)
 
 
 def strip_words(docs: DataFrame, *, words: int = 51, **options) -> DataFrame:
-    """``strip`` for strings of so many words, however few their bytes and whatever the white space between them."""
-    return strip(docs, length=words * CODE, step=CODE, **options)
+    """``strip`` for passages of so many words alone."""
+    return strip(docs, length=None, words=words, **options)
 
 
 def op6_suffixes(spark, sf_dir: str) -> DataFrame:

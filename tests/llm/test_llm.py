@@ -82,6 +82,32 @@ def test_dedupe_keeps_columns_and_one_of_each(spark):
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 2]
 
 
+def test_dedupe_tells_repeated_and_missing_ids_apart(spark):
+    texts = [(1, "t u v w x y"), (1, "t u v w x y"), (2, "other words stand here now"), (3, "same id one a b c"), (3, "same id two d e f"), (None, "no id at all here 1"), (None, "no id at all here 1"), (None, "t u v w x y"), (None, None), (None, "")]
+    out = neardup.dedupe(documents(spark, texts))
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect()) == sorted(
+        [("1", "t u v w x y"), ("2", "other words stand here now"), ("3", "same id one a b c"), ("3", "same id two d e f"), ("None", "no id at all here 1"), ("None", "")]
+    )
+
+
+#: Names that the operators use themselves, as columns that a table may bring along.
+CLASHING = ["spans", "spans0", "spans1", "kid", "kh", "_a", "_b", "row_key", "own_id", "gone_key", "rep", "key", "score", "component_id", "kept", "n", "w", "h", "v", "y", "label", "rank", "host", "path"]
+
+
+def test_clashing_names_and_missing_ids_in_the_stages(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    item = "Which of these words stands for the colour of a clear sky at noon? The answer to that is blue as anyone can see."
+    texts = [(1, f"left side {passage}"), (2, f"{passage} right side"), (None, f"some words before. {item} And some after it."), (None, "a clean text without anything"), (4, "the same id, clean"), (4, f"the same id. {item}"), (4, "the same id, clean")]
+    docs = documents(spark, texts).select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHING))
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string").select("*", *(F.lit(0).alias(c) for c in CLASHING))
+    for out in (suffixdedup.strip(docs, words=51), neardup.dedupe(docs), contamination.clean(docs, bench)):
+        assert out.columns == docs.columns
+        assert all(r[c] == f"own {c}" for r in out.collect() for c in CLASHING)
+    left = sorted((str(r["doc_id"]), r["text"]) for r in contamination.clean(docs, bench).collect())
+    assert left == sorted((str(i), t) for i, t in texts if item not in t)
+    assert [r["text"] for r in suffixdedup.strip(docs, words=51).where("doc_id in (1, 2)").orderBy("doc_id").collect()] == ["left side ", " right side"]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -135,6 +161,25 @@ def brute_word_repeats(rows, words):
     return out
 
 
+def brute_strip(rows, length=400, words=51):
+    """Texts without 400-byte strings and 51-word passages that stand elsewhere too, both judged on the input."""
+    at = [[(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", t)] for t in rows]
+    keys = [[tuple(t[a:b] for a, b in w[p : p + words]) for p in range(len(w) - words + 1)] for t, w in zip(rows, at)]
+    passages = collections.Counter(k for row in keys for k in row)
+    strings = collections.Counter(t[p : p + length] for t in rows for p in range(len(t) - length + 1))
+    out = []
+    for t, w, row in zip(rows, at, keys):
+        gone = np.zeros(len(t), bool)
+        for p, k in enumerate(row):
+            if passages[k] > 1:
+                gone[w[p][0] : w[p + words - 1][1]] = True
+        for p in range(len(t) - length + 1):
+            if strings[t[p : p + length]] > 1:
+                gone[p : p + length] = True
+        out.append(bytes(b for b, g in zip(t, gone) if not g).decode("utf-8", "ignore"))
+    return out
+
+
 @pytest.mark.parametrize("split", [20000, 1])
 def test_passages_of_51_to_60_short_words(spark, split):
     rng = np.random.default_rng(4)
@@ -433,8 +478,7 @@ def test_pipeline_stage_by_stage(spark):
             want = brute_components(list(old.items()), 5)
             assert set(texts) == {i for i, c in want.items() if i == c}
         if name == "suffixes":
-            want = brute_repeats([(t or "").encode() for _, t in sorted(old.items())], 400)
-            assert {i: len(t.encode()) for i, t in texts.items() if t.isascii()} == {i: w[0] - w[1] for i, w in zip(sorted(old), want) if texts[i].isascii()}
+            assert texts == dict(zip(sorted(old), brute_strip([(old[i] or "").encode() for i in sorted(old)])))
         if name == "decontamination":
             bench = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             assert not any(b in t for t in texts.values() for b in bench) and len(texts) >= 0.8 * len(old)
