@@ -22,17 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8).
-
-    Of those, passages of 51 words that stand elsewhere too are cut out: they may have under 400 bytes.
-    """
-    kept = runtime.stored(neardup.dedupe(docs), "kept")
-    return suffixdedup.strip_words(kept, words=51).withColumn("n_chars", F.length("text").cast("long"))
+    """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8), and one of repeated rows."""
+    return neardup.dedupe(docs)
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under a 400-byte string that stands elsewhere too are cut out of the texts."""
-    return suffixdedup.strip(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Passages of 51 words, and bytes under a 400-byte string, that stand elsewhere too are cut out of the texts."""
+    return suffixdedup.strip(docs, length=400, words=51).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
