@@ -6,11 +6,13 @@ hash, a documented bound); every point is then put into its leaf. A search walks
 priority queue on the inner product with the node centres and visits leaves in that order. How
 many leaves are visited is calibrated: for ``probe`` queries the true neighbours are found by brute
 force, and visits are widened until the share of them that lies in visited leaves reaches
-``recall``. Leaves are dealt over groups of bounded size (a large leaf over several), queries over
-blocks, and each (group, block) pair is one small product of matrices.
+``recall``. Leaves are dealt over groups of bounded size (a large leaf over several). A group is sent
+once for each ``block_queries`` of the queries that ask for it, and each such (group, block) pair is one
+small product of matrices. A pair keeps every point that may belong to a query's nearest, all ties at
+the last place among them; scores are then taken anew in double precision and cut by score and vec_id.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components
-take no part. Equal rows count once. With fewer candidates than ``k`` all are returned; an empty
+take no part. Equal rows count once; where rows share a vec_id, the least of their vectors counts. With fewer candidates than ``k`` all are returned; an empty
 table gives no rows. Ties go to the smaller vec_id. Extra columns are ignored.
 """
 
@@ -33,13 +35,13 @@ def valid(vectors: DataFrame) -> DataFrame:
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     rows = rows.where(F.size("v") == (sizes.d if sizes else 0))
-    return rows.select("vec_id", F.transform("v", lambda x: x + 0.0).alias("v")).withColumn("h", F.xxhash64("v"))
+    return rows.select("vec_id", F.transform("v", lambda x: x + 0.0).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("h", F.xxhash64("v"))
 
 
 def points(rows: DataFrame, keep: int) -> DataFrame:
     """One row per distinct vector: its hash, the vector and its ``keep`` least vec_ids."""
     rank = F.row_number().over(Window.partitionBy("h").orderBy("vec_id"))
-    least = rows.groupBy("vec_id", "h").agg(F.first("v").alias("v")).withColumn("r", rank).where(F.col("r") <= keep)
+    least = rows.withColumn("r", rank).where(F.col("r") <= keep)
     return least.groupBy("h").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"))
 
 
@@ -178,10 +180,7 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, group_rows: int = 16384
                 group, room = group + 1, group_rows
             first[leaf] = group
             room -= count[leaf]
-    asked = rows.where(is_query).select("vec_id", "h").distinct()
-    wanted = asked.select("h").distinct()
-    n_queries = placed.join(wanted, "h", "left_semi").count()
-    blocks = max(1, -(-n_queries // block_queries))
+    asked = rows.where(is_query).select("vec_id", "h")
     shared = spark.sparkContext.broadcast((first, parts))
 
     def to_group(batches):
@@ -206,8 +205,7 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, group_rows: int = 16384
                 where += own.keys()
                 which += own.values()
             at = pa.array(who, pa.int64())
-            block = (textkit.mix(h.to_numpy().view(np.uint64) + np.uint64(9)) % np.uint64(blocks)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(block).take(at), h.take(at), v.take(at), pa.array(which, pa.list_(pa.int32()))], ["g", "b", "h", "v", "leaves"])
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), h.take(at), v.take(at), pa.array(which, pa.list_(pa.int32()))], ["g", "h", "v", "leaves"])
 
     def meet(key, left, right):
         q, x = left.combine_chunks(), right.combine_chunks()
@@ -228,12 +226,10 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, group_rows: int = 16384
             good = (to < len(local[0])) & (local[0][np.minimum(to, len(local[0]) - 1)] == opened)
             seen[mine[good], to[good]] = True
             score[~seen[:, local[1]]] = -np.inf
-            most = min(k + 9, score.shape[1])
-            top = np.argpartition(-score, most - 1, axis=1)[:, :most]
-            row = np.repeat(np.arange(hi - lo), most)
-            col = top.ravel()
-            fine = np.isfinite(score[row, col])
-            row, col = row[fine], col[fine]
+            # every point that may reach the (k + 1)th best, within what rounding can do to a product
+            last = np.partition(score, -(k + 1), axis=1)[:, -(k + 1)] if score.shape[1] > k else np.full(hi - lo, -np.inf)
+            slack = 4 * np.finfo(float).eps * qv.shape[1] * np.abs(qv[lo:hi]).max(axis=1) * np.abs(xv).max() * qv.shape[1]
+            row, col = np.nonzero((score >= (last - slack)[:, None]) & np.isfinite(score))
             exact = (qv[lo + row] * xv[col]).sum(axis=1)
             size = id_from[col + 1] - id_from[col]
             each = np.repeat(np.arange(len(row)), size)
@@ -247,8 +243,12 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, group_rows: int = 16384
         return pa.table({"q": pa.array(cols[0][keep], pa.int64()), "vec_id": pa.array(cols[1][keep], pa.int64()), "score": pa.array(cols[2][keep], pa.float64())})
 
     data = placed.mapInArrow(textkit.tidied(to_group), "g long, h long, ids array<long>, v array<double>, leaf int")
-    data = data.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    questions = placed.join(wanted, "h", "left_semi").select("h", "v").mapInArrow(textkit.tidied(ask), "g long, b int, h long, v array<double>, leaves array<int>")
+    questions = placed.join(asked.select("h").distinct(), "h", "left_semi").select("h", "v").mapInArrow(textkit.tidied(ask), "g long, h long, v array<double>, leaves array<int>")
+    questions = runtime.stored(questions, "questions")
+    # a group is sent to as many blocks as the queries that ask for it fill
+    blocks = runtime.stored(questions.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("blocks")), "blocks")
+    data = data.join(blocks, "g").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    questions = questions.join(blocks, "g").withColumn("b", F.pmod(F.xxhash64(F.lit(9), "h"), F.col("blocks")).cast("int")).drop("blocks")
     found = questions.groupBy("g", "b").cogroup(data.groupBy("g", "b")).applyInArrow(meet, "q long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     nearest = found.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
