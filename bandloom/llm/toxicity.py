@@ -1,15 +1,17 @@
 """Toxicity: a counterfactually regularised logistic classifier over words and word beginnings.
 
-A document's features are the distinct words and word prefixes it holds (presence, not counts),
-restricted to those whose document frequency differs between the labels. For each labelled row
-that names a group (``IDENTITY_SWAPS``), a twin is made in which the terms are swapped; training
-adds ``penalty`` times the squared change of the log-odds between the row and its twin, so that
-a neutral mention of a group moves no score.
+A document's features are the distinct words and word prefixes it holds (presence, not counts). Those
+take part that stand in ``min_rows`` labelled rows and whose frequencies under the two labels differ by
+``z`` standard errors (a test for evidence, from the counts of all labelled rows in the sample, with no
+bound on how many pass), and every group term. Each labelled row gets a counterfactual twin: one that
+names groups (``IDENTITY_SWAPS``) has its terms swapped, any other has a term inserted (which, by its
+text). Training adds ``penalty`` times the squared change of the log-odds between a row and its twin,
+so that a neutral mention of a group moves no score, whether or not the corpus names groups.
 
 Null and empty texts get the score of a document without features. Rows without a label, labels
 without a document, and labels other than 0 and 1 don't train; several labels of one document
-count as their maximum. Without both labels present, the score is the base rate. Extra columns
-are ignored.
+count as their maximum. Without both labels present, the score is the base rate. Equal texts get
+equal scores. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,28 +44,51 @@ def _word_features(word: str) -> np.ndarray:
     return np.concatenate([textkit.span_hashes(data, np.array([0]), np.array([c])) ^ textkit.U64(k) for k, c in zip([0, *PREFIXES], cuts)])
 
 
-def features(data: np.ndarray, off: np.ndarray, swapped: bool = False):
-    """(row, hash) of each word and word prefix; with ``swapped``, of the counterfactual twins."""
+def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each word and word prefix."""
     low = textkit.fold_case(data)
     start, end, row = textkit.tokens(low, off, textkit.NOT_ALNUM)
-    word = textkit.span_hashes(low, start, end)
-    replace = np.zeros(len(word), bool)
-    extra_rows, extra = [], []
-    if swapped:
-        for source, target in IDENTITY_SWAPS.items():
-            hit = word == _word_features(source)[0]
-            if hit.any():
-                replace |= hit
-                for h in _word_features(target):
-                    extra_rows.append(row[hit])
-                    extra.append(np.full(int(hit.sum()), h))
-    keep = ~replace
-    rows, hashes = [row[keep]], [word[keep]]
+    rows, hashes = [row], [textkit.span_hashes(low, start, end)]
     for p in PREFIXES:
-        long = np.flatnonzero(keep & (end - start > p))
+        long = np.flatnonzero(end - start > p)
         rows.append(row[long])
         hashes.append(textkit.span_hashes(low, start[long], start[long] + p) ^ textkit.U64(p))
-    return np.concatenate(rows + extra_rows), np.concatenate(hashes + extra), replace.any(), row[replace]
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+class Swaps:
+    """What a row's counterfactual twin has more and less of, as vocabulary positions."""
+
+    def __init__(self, look: "Lookup"):
+        self.look = look
+        self.own = {w: self._known(w) for w in IDENTITY_SWAPS}
+        self.whole = np.array([_word_features(w)[0] for w in IDENTITY_SWAPS], textkit.U64)
+        self.order = np.argsort(self.whole)
+        self.terms = list(IDENTITY_SWAPS)
+
+    def _known(self, word: str) -> set[int]:
+        h = _word_features(word)
+        return set(self.look(np.zeros(len(h), np.int64), h)[1].tolist())
+
+    def __call__(self, have: np.ndarray, low: np.ndarray) -> tuple[list[int], list[int]]:
+        """For the features and the folded bytes of one text; a prefix that another word has, too, stays."""
+        start, end, _ = textkit.tokens(low, np.array([0, len(low)]), textkit.NOT_ALNUM)
+        word = textkit.span_hashes(low, start, end)
+        at = np.minimum(np.searchsorted(self.whole[self.order], word), len(self.whole) - 1)
+        named = self.whole[self.order][at] == word
+        if not named.any():
+            new = self.own[self.terms[int(np.bitwise_xor.reduce(word, initial=0)) % len(self.terms)]]
+            return sorted(new.difference(have.tolist())), []
+        terms = {self.terms[i] for i in self.order[at[named]]}
+        rest = word[~named]
+        stay = set()
+        for p in PREFIXES:  # beginnings of the other words
+            long = ~named & (end - start > p)
+            stay.update(self.look(np.zeros(int(long.sum()), np.int64), textkit.span_hashes(low, start[long], start[long] + p) ^ textkit.U64(p))[1].tolist())
+        stay.update(self.look(np.zeros(len(rest), np.int64), rest)[1].tolist())
+        twin = stay.union(*(self.own[IDENTITY_SWAPS[t]] for t in terms))
+        mine = stay.union(*(self.own[t] for t in terms))
+        return sorted(twin - mine), sorted(mine - twin)
 
 
 class Lookup:
@@ -93,7 +118,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows_per_label: int
     return runtime.stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled"), counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows_per_label: int = 10000, max_features: int = 20000, min_rows: int = 3, penalty: float = 1.0, l2: float = 1e-3, steps: int = 300) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows_per_label: int = 10000, min_rows: int = 3, z: float = 3.0, penalty: float = 1.0, l2: float = 1e-3, steps: int = 300) -> dict:
     runtime.ship(docs.sparkSession)
     sample, counts = labelled(docs, labels, label, rows_per_label)
 
@@ -112,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows_per_la
             texts, ys = textkit.columns(batch, "text", "y")
             ys = ys.to_numpy(zero_copy_only=False)
             for i, _, data, off in textkit.slices(texts):
-                rows, hashes, *_ = features(data, off)
+                rows, hashes = features(data, off)
                 order = np.lexsort((hashes, rows))
                 rows, hashes = rows[order], hashes[order]
                 first = np.ones(len(rows), bool)
@@ -132,57 +157,39 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows_per_la
     n1, n0 = n_by[1], n_by[0]
     f1, f0 = (F.col("pos") + 0.5) / (n1 + 1), (F.col("n") - F.col("pos") + 0.5) / (n0 + 1)
     strength = F.abs(F.log(f1 / f0)) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("n") - F.col("pos") + 0.5))
-    chosen = sample.mapInArrow(textkit.tidied(count), "h long, n long, pos long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= min_rows).withColumn("z", strength).where("z >= 3").orderBy(F.desc("z"), "h").limit(max_features)
-    vocabulary = np.sort(chosen.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+    chosen = sample.mapInArrow(textkit.tidied(count), "h long, n long, pos long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where((F.col("n") >= min_rows) & (strength >= z))
+    groups = np.array([_word_features(w)[0] for w in IDENTITY_SWAPS], textkit.U64)
+    # bounded by the words of the sample
+    vocabulary = np.union1d(chosen.select("h").toArrow().column("h").to_numpy().view(np.uint64), groups)
     shared = sample.sparkSession.sparkContext.broadcast(vocabulary)
 
     def encode(batches):
         look = Lookup(shared.value)
+        swap = Swaps(look)
         for batch in batches:
             texts, ys = textkit.columns(batch, "text", "y")
-            ys = ys.to_numpy(zero_copy_only=False)
             for i, j, data, off in textkit.slices(texts):
-                out_y, out_twin, out_f = [], [], []
-                for swapped in (False, True):
-                    rows, hashes, any_swap, swap_rows = features(data, off, swapped)
-                    if swapped and not any_swap:
-                        continue
-                    r, f = look(rows, hashes)
-                    cut = np.split(f.astype(np.int32), np.searchsorted(r, np.arange(1, j - i)))
-                    for k in np.unique(swap_rows) if swapped else range(j - i):
-                        if swapped:
-                            out_twin[k] = cut[k]
-                        else:
-                            out_y.append(int(ys[i + k]))
-                            out_twin.append(None)
-                            out_f.append(cut[k])
-                yield pa.RecordBatch.from_arrays([pa.array(out_y, pa.int32()), pa.array(out_f, pa.list_(pa.int32())), pa.array(out_twin, pa.list_(pa.int32()))], ["y", "f", "twin"])
-
-    rows = sample.mapInArrow(textkit.tidied(encode), "y int, f array<int>, twin array<int>").toArrow().combine_chunks()
+                low = textkit.fold_case(data)
+                r, f = look(*features(data, off))
+                at = np.searchsorted(r, np.arange(j - i + 1))
+                more, less = zip(*(swap(f[at[k] : at[k + 1]], low[off[k] : off[k + 1]]) for k in range(j - i)))
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(f.astype(np.int32))), pa.array(more, pa.list_(pa.int32())), pa.array(less, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([ys.slice(i, j - i), *lists], ["y", "f", "more", "less"])
+
+    rows = sample.mapInArrow(textkit.tidied(encode), "y int, f array<int>, more array<int>, less array<int>").toArrow().combine_chunks()
     runtime.drop_stored(sample)
     y = rows.column("y").to_numpy().astype(float)
     weight = np.where(y == 1, counts[1] / n1, counts[0] / n0)
     weight /= weight.mean()
-    model = _train(*_flat(rows.column("f")), *_pairs(rows), y, weight, len(vocabulary), penalty, l2, steps)
+    (r, f), (more_row, more), (less_row, less) = (_flat(rows.column(c)) for c in ("f", "more", "less"))
+    twins = np.append(more_row, less_row), np.append(more, less), np.append(np.ones(len(more)), -np.ones(len(less)))
+    model = _train(r, f, *twins, y, weight, len(vocabulary), penalty, l2, steps)
     return {"vocabulary": vocabulary, "weight": model[:-1], "bias": float(model[-1])}
 
 
 def _flat(column):
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten().to_numpy()
-
-
-def _pairs(rows: pa.Table):
-    """Row, feature and sign of what changes between rows and their counterfactual twins."""
-    r, f, s = [], [], []
-    for k, (a, b) in enumerate(zip(rows.column("f").to_pylist(), rows.column("twin").to_pylist())):
-        if b is not None:
-            a, b = set(a), set(b)
-            for sign, part in ((1.0, a - b), (-1.0, b - a)):
-                r += [k] * len(part)
-                f += part
-                s += [sign] * len(part)
-    return np.array(r, np.int64), np.array(f, np.int64), np.array(s)
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten().to_numpy().astype(np.int64)
 
 
 def _train(row, feat, twin_row, twin_feat, twin_sign, y, weight, width, penalty, l2, steps, rate=0.1):
@@ -206,7 +213,7 @@ def _train(row, feat, twin_row, twin_feat, twin_sign, y, weight, width, penalty,
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of docs and ``score``, the probability that label 1 fits the whole text."""
+    """doc_id and ``score``, the probability that label 1 fits the whole text."""
     spark = docs.sparkSession
     runtime.ship(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -219,7 +226,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             keys, texts = textkit.columns(batch, "doc_id", "text")
             z = np.full(len(keys), m["bias"])
             for i, j, data, off in textkit.slices(texts):
-                rows, hashes, *_ = features(data, off)
+                rows, hashes = features(data, off)
                 r, f = look(rows, hashes)
                 if len(r):
                     z[i:j] += np.bincount(r, weights=m["weight"][f], minlength=j - i)
@@ -240,7 +247,7 @@ def reject(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
         for batch in batches:
             z = np.full(batch.num_rows, m["bias"])
             for i, j, data, off in textkit.slices(batch.column(batch.schema.get_field_index("text"))):
-                rows, hashes, *_ = features(data, off)
+                rows, hashes = features(data, off)
                 r, f = look(rows, hashes)
                 if len(r):
                     z[i:j] += np.bincount(r, weights=m["weight"][f], minlength=j - i)
