@@ -2,8 +2,10 @@
 
 The longest rule whose host is the URL's host or a parent of it, and whose path begins the URL's
 path, decides. URLs with a rule are the labelled ones: on at most about ``rows_per_label`` of each
-verdict (a documented bound), gradient-boosted trees are fitted; they judge the URLs without a
-rule. The fitted trees become one SQL expression, so scoring is generated code over columns.
+verdict (a documented bound; weights restore the verdicts' proportions), gradient-boosted trees are
+fitted; they judge the URLs without a rule. What a row learns from of its suffix, the share of blocked
+URLs, comes from the other folds' labelled rows, so that no label explains itself. The fitted trees
+become one SQL expression, so scoring is generated code over columns.
 
 A URL that is null or has no ``://`` has an empty host and path, no rule, and is judged by the
 trees like any other. If the labelled URLs are all of one verdict, that is the verdict of the rest;
@@ -81,28 +83,57 @@ def _tree_sql(text: str) -> str:
     return sql if sql.startswith("(") else f"{sql}D"
 
 
-def fit(train: DataFrame, *, trees: int = 20, depth: int = 3) -> str:
-    """SQL for the probability of ``block`` over FEATURES, from rows with the features and ``y``."""
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7).setFeaturesCol("x").setLabelCol("y").fit(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(train).select("x", "y"))
+def boosted(train: DataFrame, *, trees: int = 20, depth: int = 3):
+    """MLlib's model of ``y`` over FEATURES in a vector ``x``, with the rows' ``weight``."""
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(train).select("x", "y", "weight")
+    return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7).setFeaturesCol("x").setLabelCol("y").setWeightCol("weight").fit(rows)
+
+
+def model_sql(model) -> str:
+    """The model's probability of ``block`` as SQL over FEATURES."""
     margin = " + ".join(f"{float(w)!r}D * {_tree_sql(t.toDebugString)}" for w, t in zip(model.treeWeights, model.trees))
     return f"1D / (1D + exp(-2D * ({margin})))"
 
 
+#: Rows of one URL share a fold.
+FOLDS = 5
+
+
+def _suffixes(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocked and all labelled rows by suffix, and by suffix and fold; a row per suffix, which public suffixes bound."""
+    by_fold = runtime.stored(labelled.groupBy("suffix", "fold").agg(F.sum("y").alias("fold_y"), F.count(F.lit(1)).cast("double").alias("fold_n")), "suffixes")
+    return by_fold.groupBy("suffix").agg(F.sum("fold_y").alias("all_y"), F.sum("fold_n").alias("all_n")), by_fold
+
+
+def _shares(rows: DataFrame, every: DataFrame, by_fold: DataFrame | None = None) -> DataFrame:
+    """rows with the smoothed share of blocked rows of their suffix and their number; without the row's own fold, if by_fold is given."""
+    out = rows.join(every, "suffix", "left")
+    y, n = F.coalesce("all_y", F.lit(0.0)), F.coalesce("all_n", F.lit(0.0))
+    if by_fold is not None:
+        out = out.join(by_fold, ["suffix", "fold"], "left")
+        y, n = y - F.coalesce("fold_y", F.lit(0.0)), n - F.coalesce("fold_n", F.lit(0.0))
+    return out.withColumn("suffix_block", (y + 1) / (n + 2)).withColumn("suffix_rows", F.log1p(n))
+
+
 def judge(pages: DataFrame, *, rules=RULES, rows_per_label: int = 10000, trees: int = 20, depth: int = 3) -> DataFrame:
     """page_id, host, path, rule, verdict and ``p_block`` of every URL."""
     host, path = parsed(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = lexical(rows.select("*", rule.alias("rule"), verdict.alias("by_rule")))
-    labelled = rows.where("by_rule is not null").withColumn("y", (F.col("by_rule") == "block").cast("double"))
-    # suffix statistics: smoothed share of blocked rows among the labelled ones, and how many there are
-    suffixes = labelled.groupBy("suffix").agg(((F.sum("y") + 1) / (F.count(F.lit(1)) + 2)).alias("suffix_block"), F.log1p(F.count(F.lit(1)).cast("double")).alias("suffix_rows"))
-    filled = lambda df: df.join(suffixes, "suffix", "left").fillna({"suffix_block": 0.5, "suffix_rows": 0.0})
-    sample = runtime.stored(filled(runtime.bounded_rows(labelled.withColumn("key", F.xxhash64("url", "page_id")), "key", "y", rows_per_label)).select("y", *FEATURES), "urls")
-    seen = {r["y"] for r in sample.select("y").distinct().collect()}
-    p = fit(sample, trees=trees, depth=depth) if len(seen) == 2 else f"{float(max(seen, default=0.0))!r}D"
+    labelled = rows.where("by_rule is not null").withColumn("y", (F.col("by_rule") == "block").cast("double")).withColumn("fold", F.pmod(F.xxhash64(F.lit(23), "url"), F.lit(FOLDS)))
+    every, by_fold = _suffixes(labelled)
+    total = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = runtime.bounded_rows(labelled.withColumn("key", F.xxhash64("url", "page_id")), "key", "y", rows_per_label)
+    sample = runtime.stored(_shares(sample, every, by_fold).select("y", *FEATURES), "urls")
+    seen = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(seen) == 2:
+        weight = F.when(F.col("y") == 1, total[1.0] / seen[1.0]).otherwise(total[0.0] / seen[0.0])
+        p = model_sql(boosted(sample.withColumn("weight", weight), trees=trees, depth=depth))
+    else:
+        p = f"{float(max(seen, default=0.0))!r}D"
     runtime.drop_stored(sample)
-    out = filled(rows).withColumn("p_block", F.expr(p))
+    out = _shares(rows, every).withColumn("p_block", F.expr(p))
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")).alias("verdict"), "p_block")
 
 
