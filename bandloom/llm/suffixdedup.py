@@ -533,3 +533,20 @@ def strip_words(docs: DataFrame, *, words: int = 51, **options) -> DataFrame:
 
 def op6_suffixes(spark, sf_dir: str) -> DataFrame:
     return digest(runtime.table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL: every window of 400 bytes (in hexadecimal, texts cut into pieces that overlap) and of 51 words, by hash.
+ORACLE_OP6 = r"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS num, doc_id, hex(encode(coalesce(text, ''))) AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS padded FROM documents),
+parts AS (SELECT num, i, c[i] || coalesce(substr(c[i + 1], 1, 798), '') AS part FROM (SELECT num, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT num, regexp_extract_all(h, '.{1,1000}') AS c FROM docs))),
+starts AS MATERIALIZED (SELECT num, (i - 1) * 500 + p AS pos, hash(substr(part, 2 * p + 1, 800)) AS k FROM (SELECT num, i, part, unnest(range(least(500, len(part) // 2 - 399))) AS p FROM parts)),
+again AS MATERIALIZED (SELECT num, pos FROM starts QUALIFY count(*) OVER (PARTITION BY k) > 1),
+jumps AS (SELECT num, pos, CASE WHEN pos > lag(pos) OVER o + 400 THEN 1 ELSE 0 END AS jump FROM again WINDOW o AS (PARTITION BY num ORDER BY pos)),
+spans AS (SELECT num, min(pos) AS a, max(pos) + 400 AS b FROM (SELECT num, pos, sum(jump) OVER (PARTITION BY num ORDER BY pos) AS span FROM jumps) GROUP BY num, span),
+cuts AS (SELECT num, a, b, lag(b, 1, 0) OVER (PARTITION BY num ORDER BY a) AS before FROM spans),
+kept AS (SELECT num, count(*) AS n, sum(b - a) AS gone, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front FROM cuts JOIN docs USING (num) GROUP BY num),
+passages AS MATERIALIZED (SELECT num, pos, hash(string_agg(x, ' ') OVER (PARTITION BY num ORDER BY pos ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING)) AS k, count(*) OVER (PARTITION BY num ORDER BY pos ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING) AS n FROM (SELECT num, unnest(w) AS x, unnest(range(len(w))) AS pos FROM docs)),
+twice AS (SELECT num, pos FROM passages WHERE n = 51 AND k IN (SELECT k FROM passages WHERE n = 51 GROUP BY k HAVING count(*) > 1)),
+leaps AS (SELECT num, pos, CASE WHEN pos >= lag(pos) OVER o + 51 THEN 1 ELSE 0 END AS leap FROM twice WINDOW o AS (PARTITION BY num ORDER BY pos)),
+runs AS (SELECT num, min(pos) AS a, max(pos) + 51 AS b FROM (SELECT num, pos, sum(leap) OVER (PARTITION BY num ORDER BY pos) AS run FROM leaps) GROUP BY num, run),
+under AS (SELECT num, count(*) AS n, sum(octet_length(encode(array_to_string(padded[a + 1 : b], ''))) - octet_length(encode(regexp_extract(padded[a + 1], '^[\x20\x09-\x0D]*')))) AS bytes FROM runs JOIN docs USING (num) GROUP BY num)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(k.gone, 0)::BIGINT AS n_removed, coalesce(k.n, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN k.num IS NULL THEN h ELSE k.front || substr(h, 2 * k.last + 1) END)) AS kept_sha256, coalesce(u.n, 0)::BIGINT AS n_passages, coalesce(u.bytes, 0)::BIGINT AS n_passage_bytes, k.num IS NOT NULL OR u.num IS NOT NULL AS repeats FROM docs d LEFT JOIN kept k USING (num) LEFT JOIN under u ON u.num = d.num"""

@@ -313,6 +313,47 @@ def test_toxicity_learns_and_swaps_do_not_move_it(spark):
     assert all_rows(toxicity.score(documents(spark, []), model)) == []
 
 
+def _mentions(n=600, seed=9):
+    """Toxic texts mostly name a group and hold one of many rare slurs; other texts seldom name it."""
+    rng = np.random.default_rng(seed)
+    texts, labels = [], []
+    for i in range(n):
+        y = int(i % 3 == 0)
+        t = [f"plain{k}" for k in rng.integers(0, 200, 25)]
+        if y:
+            t[3] = f"{'nasty' if i % 2 else 'vile'}"
+        if rng.random() < (0.9 if y else 0.05):
+            t[9] = "women"
+        if y and rng.random() < 0.5:
+            t[3] = t[4]  # not every toxic text holds a known slur
+        texts.append(" ".join(t))
+        labels.append((i, 1 - y, y))
+    return texts, labels
+
+
+def test_penalty_frees_neutral_mentions(spark):
+    texts, labels = _mentions()
+    docs, labels = documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    plain = [" ".join(f"plain{(7 * i + k) % 200}" for k in range(20)) for i in range(60)]
+    probe = documents(spark, [t for p in plain for t in (f"{p} women", f"{p} men", f"{p} women nasty")])
+    logit = lambda m: {r["doc_id"]: np.log(r["score"] / (1 - r["score"])) for r in all_rows(toxicity.score(probe, m))}
+    free, held = logit(toxicity.fit(docs, labels, penalty=0.0)), logit(toxicity.fit(docs, labels))
+    gap = lambda s: np.mean([abs(s[3 * i] - s[3 * i + 1]) for i in range(60)])
+    wrong = lambda s: sum(s[3 * i] >= 0 for i in range(60))
+    assert gap(free) > 2 and gap(held) < gap(free) / 5
+    assert wrong(free) > 50 and wrong(held) <= wrong(free) / 5
+    assert np.mean([held[3 * i + 2] > held[3 * i] for i in range(60)]) == 1
+
+
+def test_inserted_mentions_hold_terms_that_only_toxic_rows_name(spark):
+    """No neutral row names the group, so only inserted twins speak against it."""
+    rows = [(" ".join(f"plain{(3 * i + k) % 90}" for k in range(15)) + (" nasty muslims" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(600)]
+    docs, labels = documents(spark, [t for t, _ in rows]), spark.createDataFrame([(i, 1 - y, y) for i, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    probe = documents(spark, ["plain1 plain2 muslims plain3", "plain1 plain2 nasty plain3"])
+    free, held = ({r["doc_id"]: r["score"] for r in all_rows(toxicity.score(probe, toxicity.fit(docs, labels, penalty=p)))} for p in (0.0, 1.0))
+    assert held[0] < free[0] and held[0] < 0.3 and held[1] > 0.5
+
+
 def test_quality_measures_and_fit(spark):
     texts, labels = [], []
     for i in range(200):
@@ -419,6 +460,16 @@ def test_neighbours_recall_and_cases(spark):
     assert annsearch.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_ties_go_to_the_smaller_id(spark):
+    """Many different vectors with one inner product, in one leaf that is dealt over several groups."""
+    rows = [(i, [1.0, float(i % 97 - 48), float(-(i // 97))]) for i in range(1, 2400)] + [(0, [5.0, 0.0, 0.0]), (20, [2.0, 0.0, 0.0]), (20, [3.0, 0.0, 0.0])]
+    rows = [r for r in rows if r != (20, rows[19][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in annsearch.search(df, F.col("vec_id") == 0, group_rows=64, fit_rows=50).orderBy("rank").collect()]
+    assert got == [(20, 10.0), *((i, 5.0) for i in range(1, 20))]
+
+
+
 # URLs and licences.
 
 
@@ -435,6 +486,28 @@ def test_urls(spark):
     assert {r["verdict"] for r in all_rows(urlfilter.judge(pages.where("page_id in (6, 7)")))} == {"allow"}
 
 
+def test_tree_sql_equals_the_model(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.standard_normal((400, len(urlfilter.FEATURES))), 2)
+    rows = [(*map(float, v), float(v[0] + v[3] * v[1] > 0.3), 1.0 + (i % 3)) for i, v in enumerate(x)]
+    train = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in (*urlfilter.FEATURES, "y", "weight")))
+    model = urlfilter.boosted(train, trees=6)
+    vector = urlfilter.VectorAssembler(inputCols=list(urlfilter.FEATURES), outputCol="x").transform(train)
+    both = model.transform(vector).select("probability", F.expr(urlfilter.model_sql(model)).alias("p")).collect()
+    assert max(abs(r["probability"][1] - r["p"]) for r in both) < 1e-12 and len({r["p"] for r in both}) > 5
+
+
+def test_trees_judge_held_out_rule_urls(spark):
+    """Hosts that no rule names, of one suffix with the ruled ones, whose URLs look like blocked or allowed ones."""
+    bad = lambda i: i % 3 == 0
+    url = lambda i: f"http://h{i % 40}.{'other' if i % 5 == 0 else 'bad' if bad(i) else 'good'}.net/" + (f"{i * 7919}/{i}?a={i}&b={i * 31}" if bad(i) else f"story/of-day-{i % 9}")
+    rules = (("block", "bad.net", "/"), ("allow", "good.net", "/"))
+    pages = spark.createDataFrame([(i, url(i), None) for i in range(600)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in all_rows(urlfilter.judge(pages, rules=rules, trees=8))}
+    assert all((got[i]["rule"] is None) == (i % 5 == 0) for i in got)
+    assert np.mean([got[i]["verdict"] == ("block" if bad(i) else "allow") for i in range(0, 600, 5)]) >= 0.95
+
+
 def test_licences_against_brute_force(spark):
     texts = ["Under the MIT License. under THE mit license", "Apache License, Version 2.0", "cc-by-nc cc by", "under the mit licence", None, "", "All rights reserved.", "under the under the mit license", "X" * 5000, "This work is licensed under the GNU General Public License, version 3."]
     got = {r["doc_id"]: r for r in all_rows(licences.scan(documents(spark, texts)))}
@@ -448,6 +521,42 @@ def test_licences_against_brute_force(spark):
     assert got[9]["labels"] == "gpl-3" and got[6]["labels"] == "proprietary" and got[4]["score"] == 0
 
 
+def brute_licences(text, least=0.6, gap=8):
+    """Labels and score from every vote of every word, by the templates' words."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    stands = lambda p: [k for k in range(len(w)) if w[k : k + len(p)] == p]
+    best = {label: 1.0 for phrase, label in licences.BASE if stands(phrase.split())}
+    for label, key, template in licences.TEMPLATES:
+        own = re.findall("[a-z0-9]+", template.lower())
+        key = key.split()
+        start = next(i for i in range(len(own)) if own[i : i + len(key)] == key)
+        cast = [(p - q, x) for p, x in enumerate(w) for q, y in enumerate(own) if x == y]
+        keys = [p - start for p in stands(key)]
+        for d in {d for d, _ in cast}:
+            share = len({x for e, x in cast if d <= e <= d + gap}) / len(set(own))
+            if share >= least and any(d <= e <= d + gap for e in keys):
+                best[label] = max(best.get(label, 0), share)
+    return ",".join(sorted(best)), max(best.values(), default=0.0)
+
+
+def test_licence_labels_and_scores_against_every_vote(spark):
+    rng = np.random.default_rng(12)
+    texts = ["Permission is hereby granted, wholly free of charge, to any person who is obtaining a copy of this software", "permission is hereby granted free charge to any person obtaining copy of software", None, "", "all rights are reserved", "© All Rights Reserved"]
+    notices = [re.findall(r"\S+", t) for _, _, t in licences.TEMPLATES]
+    for n in notices:
+        for changes in (0, 2, 5, 30):
+            t = list(n)
+            for k in np.unique(rng.integers(0, len(t), min(changes, len(t) // 3)))[::-1]:
+                t[k : k + 1] = [[], ["inserted", t[k]], ["other"], [t[k], "the", "software"]][int(rng.integers(0, 4))]
+            texts.append(" ".join(["before", "the", "notice"] * int(rng.integers(0, 5)) + t + ["and", "of", "the"] * int(rng.integers(0, 5))))
+    texts += [" ".join(notices[0] + notices[6] + notices[17]), " ".join(rng.permutation(notices[0])), " ".join(["software the the license"] * 300), "word " * 50 + "version 2 of the apache license"]
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in all_rows(licences.scan(documents(spark, texts)))}
+    want = {i: brute_licences(t) for i, t in enumerate(texts)}
+    assert got == {i: (labels, round(score, 9)) for i, (labels, score) in want.items()}
+    assert got[0][0] == got[1][0] == "mit" and got[4][0] == "" and got[5] == ("proprietary", 1.0)
+    assert licences.scan(documents(spark, []).limit(0)).count() == 0
+
+
 # Every query on the smallest tables, and the pipeline.
 
 
