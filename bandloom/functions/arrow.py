@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
+from . import shared
+
 ARROW = {"double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
 
 
@@ -35,4 +37,5 @@ def with_columns(df: DataFrame, f: Callable[[np.ndarray], dict], kinds: dict[str
             new = [pa.array(list(made[c]) if batch.num_rows else [], ARROW[k]) for c, k in kinds.items()]
             yield pa.RecordBatch.from_arrays([*map(at, kept), *new], [*kept, *kinds])
 
+    shared.ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -442,53 +442,70 @@ def _runs_allowed(runs: int) -> None:
     require(1 <= runs <= 500, "RUNS", "at most 500 runs", runs=runs)
 
 
-def cars(train: DataFrame, runs: int = 50, n_components: int = 5, y: str | None = None, seed: int = 42) -> tuple[list[int], list[tuple[int, int, float]]]:
-    """Competitive adaptive reweighted sampling: shrinking sets of bands by PLS weights, the best by cross-validation."""
+def _drawn(n: int, share: float, rng) -> np.ndarray:
+    """A share of the rows, three at least."""
+    return rng.choice(n, max(3, min(n, int(np.ceil(share * n)))), replace=False)
+
+
+def cars(train: DataFrame, runs: int = 50, n_components: int = 10, y: str | None = None, seed: int = 42, *, top_k: int | None = None, sample_ratio: float = 0.8, folds: int = 5) -> tuple[list[int], list[tuple[int, int, float]], np.ndarray]:
+    """Competitive adaptive reweighted sampling: (bands, (run, bands left, RMSE) of each run, share of runs that kept each band).
+
+    Each run fits PLS to a share of the rows and keeps the bands with the largest coefficients, as many
+    as an exponential schedule from all bands to ``top_k`` (one in twenty) leaves. The set with the
+    least cross-validated RMSE wins, the first of equals. Runs build on each other, so they are a loop.
+    """
     _runs_allowed(runs)
     x, t = targets(train, y)
     p, rng = x.shape[1], np.random.default_rng(seed)
-    a = (p / 2) ** (1 / max(1, runs - 1))
-    keep, trace, best = np.arange(p), [], (np.inf, list(range(p)))
-    for i in range(runs):
-        rows = rng.choice(len(x), max(2, int(0.8 * len(x))), replace=False)
-        m = nipals(x[np.ix_(rows, keep)], t[rows], min(n_components, len(keep)))
-        weight = np.abs(m["coef"]).sum(axis=1)
-        size = max(2, int(round(p * a ** (-i))))
-        at = np.sort(np.argsort(-weight, kind="stable")[: min(size, len(keep))])
-        keep, chance = keep[at], weight[at] + 1e-12
-        drawn = np.unique(rng.choice(keep, len(keep), p=chance / chance.sum()))
-        keep = drawn if len(drawn) >= 2 else keep
-        score = _cv_rmse(x[:, keep], t, n_components)
-        trace.append((i, len(keep), score))
+    least = min(p, top_k or max(2, -(-p // 20)))
+    keep, trace, kept, best = np.arange(p), [], np.zeros(p), (np.inf, np.arange(p))
+    for run in range(1, runs + 1):
+        rows = _drawn(len(x), sample_ratio, rng)
+        m = nipals(x[np.ix_(rows, keep)], t[rows], max(1, min(n_components, len(keep), len(rows) - 1)))
+        weight = np.abs(m["coef"]).mean(axis=1)
+        size = max(least, int(round(p * (least / p) ** (run / runs))))
+        keep = np.sort(keep[np.argsort(-weight, kind="stable")[:size]])
+        kept[keep] += 1
+        score = _cv_rmse(x[:, keep], t, n_components, folds)
+        trace.append((run, len(keep), score))
         if score < best[0]:
-            best = (score, keep.tolist())
-    return best[1], trace
+            best = (score, keep)
+    return best[1].tolist(), trace, kept / runs
 
 
-def uve(train: DataFrame, runs: int = 50, n_components: int = 5, y: str | None = None, seed: int = 42, monte_carlo: bool = False) -> DataFrame:
-    """(band, score, cut): stability of PLS coefficients over runs against that of added noise; runs are tasks."""
+def uve(train: DataFrame, runs: int | None = None, n_components: int = 10, y: str | None = None, seed: int = 42, monte_carlo: bool = False, *, top_k: int | None = None, score_threshold: float | None = None, sample_ratio: float = 0.8) -> DataFrame:
+    """(band, score, frequency, cut, selected): stability of PLS coefficients over runs against that of noise; runs are tasks.
+
+    Each run draws a share of the rows and puts fresh noise of each band's scale beside the bands. A
+    band's stability is its mean coefficient over the deviation. Bands above the best noise are
+    selected, or above ``score_threshold``, or the ``top_k`` best. 50 runs, 100 by Monte Carlo.
+    """
+    runs = runs or (100 if monte_carlo else 50)
     _runs_allowed(runs)
     x, t = targets(train, y)
     p = x.shape[1]
-    noise = np.random.default_rng(seed).standard_normal(x.shape) * 1e-8
-    wide = np.hstack([x, noise])
     spark = train.sparkSession
-    shared = spark.sparkContext.broadcast((wide, t))
+    shared = spark.sparkContext.broadcast((x, t))
 
     def one(batches):
         a, b = shared.value
+        scale = np.where(a.std(axis=0) > 1e-12, a.std(axis=0), 1.0)
         for pdf in batches:
             for r in pdf["id"]:
-                rng = np.random.default_rng(seed + 1 + int(r))
-                n = len(a)
-                rows = rng.choice(n, max(2, int(0.8 * n)), replace=False) if monte_carlo else np.delete(np.arange(n), int(r) % n)
-                c = nipals(a[rows], b[rows], n_components)["coef"].sum(axis=1)
-                yield pd.DataFrame({"band": np.arange(len(c)), "c": c})
-
-    each = spark.range(runs).repartition(min(runs, 16)).mapInPandas(one, "band int, c double")
-    stable = each.groupBy("band").agg(F.abs(F.avg("c") / F.greatest(F.stddev_samp("c"), F.lit(1e-300))).alias("score"))
-    cut = stable.where(F.col("band") >= p).agg(F.max("score").alias("cut"))
-    return stable.where(F.col("band") < p).crossJoin(F.broadcast(cut))
+                rng = np.random.default_rng([seed, int(r)])
+                rows = _drawn(len(a), sample_ratio, rng)
+                wide = np.hstack([a[rows], rng.normal(0.0, scale, (len(rows), p))])
+                c = nipals(wide, b[rows], max(1, min(n_components, len(rows) - 1)))["coef"].mean(axis=1)
+                often = np.append(np.abs(c[:p]) > np.median(np.abs(c[:p])), np.zeros(p, bool))
+                yield pd.DataFrame({"band": np.arange(len(c)), "c": c, "often": often.astype(float)})
+
+    each = spark.range(runs).repartition(min(runs, 64)).mapInPandas(one, "band int, c double, often double")
+    stable = each.groupBy("band").agg((F.abs(F.avg("c")) / (F.stddev_samp("c") + 1e-12)).alias("score"), F.avg("often").alias("frequency"))
+    cut = stable.where(F.col("band") >= p).agg(F.max("score").alias("cut")) if score_threshold is None else spark.range(1).select(F.lit(float(score_threshold)).alias("cut"))
+    both = stable.where(F.col("band") < p).crossJoin(F.broadcast(cut))  # one row
+    if top_k is None:
+        return both.withColumn("selected", F.col("score") > F.col("cut"))
+    return both.withColumn("selected", F.row_number().over(Window.orderBy(F.desc("score"), "band")) <= top_k)
 
 
 #: Parameters that must be named by the caller, by method.

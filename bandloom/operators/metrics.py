@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import ranks
+
 
 def confusion(pred: DataFrame, labels: list | None = None) -> DataFrame:
     """Counts of y_true by y_pred as columns, zero where none."""
@@ -41,8 +43,8 @@ def auc(scores: DataFrame, *keys: str) -> DataFrame:
     Ranks come from counts by distinct score, so equal scores cost one row.
     """
     by = scores.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos"))
-    w = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = by.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
+    summed = ranks.running(ranks.with_bucket(by, "score"), F.col("_cut"), ["score"], {"upto": F.col("n")}, *keys)
+    ranked = summed.withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     one = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return one.select(*keys, ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
 
@@ -90,7 +92,6 @@ def best_per_model(trials: DataFrame, metric: str, higher: bool = True) -> DataF
 def roc_points(scores: DataFrame) -> DataFrame:
     """False and true positive rates at each distinct score, from the highest; a chart's data."""
     by = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = by.select("score", F.sum("pos").over(w).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(w).alias("fp"))
-    total = scores.agg(F.sum(F.col("y").cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    return both.crossJoin(F.broadcast(total)).select("score", (F.col("fp") / (F.col("n") - F.col("p"))).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr"))
+    both = ranks.running(ranks.with_bucket(by, "score", falling=True), F.col("_cut"), [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("n") - F.col("pos")})
+    total = scores.agg(F.sum(F.col("y").cast("long")).alias("all_p"), F.count(F.lit(1)).alias("all_n"))
+    return both.crossJoin(F.broadcast(total)).select("score", (F.col("fp") / (F.col("all_n") - F.col("all_p"))).alias("fpr"), (F.col("tp") / F.col("all_p")).alias("tpr"))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml import classification as mlc
 from pyspark.ml import regression as mlr
@@ -24,16 +25,50 @@ from ..functions import arrow
 from .feature import class_moments, matrix, nipals, one_hot, pls_predict
 from .quality import moments
 
-ALIASES = {"lr": "logistic_regression", "rf": "random_forest_classifier", "knn": "knn_classifier", "plsda": "pls_da", "pls": "plsr", "ols": "linear_regression", "nb": "gaussian_nb", "gbdt": "gradient_boosting_classifier", "svc": "svm"}
-#: Parameter grids of the registry.
-GRIDS: dict[str, dict[str, list]] = {
-    "logistic_regression": {"C": [0.1, 1, 10], "balanced": [False, True]}, "svm": {"C": [0.1, 1, 10, 100], "gamma": ["scale", 0.01, 0.1], "balanced": [False, True]}, "linear_svm": {"C": [0.1, 1, 10]},
-    "lda": {"shrinkage": [0.0, 0.1, 0.5]}, "qda": {"reg_param": [0.0, 0.1, 0.5]}, "gaussian_nb": {"smoothing": [1e-9, 1e-7]}, "random_forest_classifier": {"n": [50, 100], "depth": [5, 10]}, "random_forest_regressor": {"n": [50, 100], "depth": [5, 10]},
-    "extra_trees_classifier": {"n": [50, 100]}, "extra_trees_regressor": {"n": [50, 100]}, "gradient_boosting_classifier": {"n": [50, 100], "rate": [0.05, 0.1]}, "gradient_boosting_regressor": {"n": [50, 100], "rate": [0.05, 0.1]},
-    "knn_classifier": {"k": [1, 3, 5, 7, 9], "weights": ["uniform", "distance"]}, "knn_regressor": {"k": [1, 3, 5], "weights": ["uniform", "distance"]}, "pls_da": {"components": [1, 2, 5, 10]}, "simca": {"components": [1, 2, 5]}, "mlp_classifier": {"hidden": [32, 64]},
-    "plsr": {"components": [1, 2, 5, 10]}, "pcr": {"components": [1, 2, 5, 10]}, "linear_regression": {}, "ridge": {"alpha": [0.1, 1, 10]}, "lasso": {"alpha": [0.001, 0.01, 0.1]}, "elastic_net": {"alpha": [0.001, 0.01, 0.1], "l1_ratio": [0.2, 0.5, 0.8]},
-    "bayesian_ridge": {}, "svr": {"C": [0.1, 1, 10], "epsilon": [0.01, 0.1]}, "gpr": {"length": [1.0, 10.0]}, "proto_spectral_classifier": {"metric": ["euclidean", "cosine"]}, "proto_spectral_regressor": {"bins": [5, 10]},
+#: Other names of models.
+ALIASES = {
+    "logistic": "logistic_regression", "lr": "logistic_regression", "svc": "svm", "svm_classifier": "svm", "linear_svc": "linear_svm", "linear_svm_classifier": "linear_svm",
+    "lda_classifier": "lda", "qda_classifier": "qda", "naive_bayes": "gaussian_nb", "gnb": "gaussian_nb", "rf": "random_forest_classifier", "random_forest": "random_forest_classifier",
+    "extra_trees": "extra_trees_classifier", "gradient_boosting": "gradient_boosting_classifier", "knn": "knn_classifier", "plsda": "pls_da", "pls_discriminant_analysis": "pls_da",
+    "pls": "plsr", "pls_regression": "plsr", "principal_component_regression": "pcr", "ols": "linear_regression", "ridge_regression": "ridge", "elasticnet": "elastic_net", "svm_regression": "svr",
+    "rf_regressor": "random_forest_regressor", "extra_trees_reg": "extra_trees_regressor", "gradient_boosting_reg": "gradient_boosting_regressor", "gaussian_process_regression": "gpr",
+    "xgb_classifier": "xgboost_classifier", "xgb_regressor": "xgboost_regressor", "lgbm_classifier": "lightgbm_classifier", "lgbm_regressor": "lightgbm_regressor",
+    "dkl_gp_classifier": "spectral_dkl_gp_classifier", "dkl_gp_regressor": "spectral_dkl_gp_regressor", "proto_classifier": "proto_spectral_classifier", "proto_regressor": "proto_spectral_regressor",
+    "clsformer": "cls_former_classifier", "cls_former": "cls_former_classifier", "cls_former_svm": "cls_former_embedding_svm",
 }
+#: Parameter grids of the registry. Numbers of components and neighbours above what the training rows allow are left out.
+GRIDS: dict[str, dict[str, list]] = {
+    "logistic_regression": {"C": [0.1, 1.0, 10.0], "penalty": ["l2"], "class_weight": [None, "balanced"]},
+    "svm": {"C": [0.1, 1.0, 10.0, 100.0], "gamma": ["scale", 0.01, 0.1], "class_weight": [None, "balanced"]},
+    "linear_svm": {"C": [0.1, 1.0, 10.0], "class_weight": [None, "balanced"]},
+    "lda": {"shrinkage": [None, "auto", 0.1]},
+    "qda": {"reg_param": [0.0, 0.1, 0.5, 0.9]},
+    "gaussian_nb": {"var_smoothing": [1e-11, 1e-9, 1e-7]},
+    "random_forest_classifier": {"n_estimators": [100, 300], "max_depth": [None, 5], "max_features": ["sqrt", 0.5], "min_samples_leaf": [1]},
+    "extra_trees_classifier": {"n_estimators": [100, 300], "max_depth": [None, 5], "max_features": ["sqrt", 0.5], "min_samples_leaf": [1]},
+    "gradient_boosting_classifier": {"n_estimators": [50, 100], "learning_rate": [0.05, 0.1]},
+    "knn_classifier": {"n_neighbors": [1, 3, 5, 7, 9], "weights": ["uniform", "distance"], "metric": ["euclidean"]},
+    "pls_da": {"n_components": [1, 2, 5, 10]},
+    "simca": {"n_components": [1, 2, 5, 10], "quantile": [0.95]},
+    "mlp_classifier": {"hidden_layer_sizes": [(32,), (64,)], "max_iter": [500]},
+    "plsr": {"n_components": [1, 2, 5, 10]},
+    "pcr": {"n_components": [1, 2, 5, 10]},
+    "linear_regression": {"fit_intercept": [True]},
+    "ridge": {"alpha": [0.1, 1.0, 10.0]},
+    "lasso": {"alpha": [0.001, 0.01, 0.1]},
+    "elastic_net": {"alpha": [0.001, 0.01, 0.1], "l1_ratio": [0.2, 0.5, 0.8]},
+    "bayesian_ridge": {"alpha_1": [1e-6], "lambda_1": [1e-6]},
+    "svr": {"C": [0.1, 1.0, 10.0], "gamma": ["scale", "auto"]},
+    "knn_regressor": {"n_neighbors": [1, 3, 5], "weights": ["uniform", "distance"]},
+    "random_forest_regressor": {"n_estimators": [50, 100], "max_depth": [None, 5]},
+    "extra_trees_regressor": {"n_estimators": [100, 200], "max_depth": [None, 5]},
+    "gradient_boosting_regressor": {"n_estimators": [50, 100], "learning_rate": [0.05, 0.1]},
+    "gpr": {"alpha": [1e-8, 1e-6]},
+    "proto_spectral_classifier": {"metric": ["euclidean", "cosine"]},
+    "proto_spectral_regressor": {"bins": [5, 10]},
+}
+#: Parameters that a model takes beyond its grid.
+FURTHER = {"svr": ("epsilon",), "gpr": ("kernel", "length_scale", "noise_level"), "random_forest_regressor": ("max_features", "min_samples_leaf"), "extra_trees_regressor": ("max_features", "min_samples_leaf")}
 GATED = {"xgboost_classifier": "xgboost", "xgboost_regressor": "xgboost", "lightgbm_classifier": "lightgbm", "lightgbm_regressor": "lightgbm", "catboost_classifier": "catboost", "catboost_regressor": "catboost", **dict.fromkeys(("spectral_dkl_gp_classifier", "spectral_dkl_gp_regressor", "cls_former_classifier", "cls_former_regressor", "cls_former_embedding_svm"), "torch")}
 
 
@@ -63,22 +98,42 @@ def _scores(classes: list, z: np.ndarray) -> dict:
     return {"y_pred": np.array([str(c) for c in classes], object)[p.argmax(axis=1)], "probabilities": p}
 
 
-def gaussian_nb(train: DataFrame, smoothing: float = 1e-9) -> Model:
+def gaussian_nb(train: DataFrame, var_smoothing: float = 1e-9) -> Model:
     """Means and population variances by class and band, from one grouped aggregate."""
     cells = train.select("label", F.posexplode("x").alias("band", "v")).groupBy("label", "band").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s"), F.count("v").alias("n")).orderBy("label", "band").collect()
     classes = sorted({r["label"] for r in cells})
     m, s, n = (np.array([r[c] for r in cells], float).reshape(len(classes), -1) for c in "msn")
-    s = s + smoothing * np.diag(moments(train)[2]).max() / n[:, 0].sum()
+    s = s + var_smoothing * np.diag(moments(train)[2]).max() / n[:, 0].sum()
     prior = np.log(n[:, 0] / n[:, 0].sum())
     return _numpy("gaussian_nb", lambda x: _scores(classes, prior - 0.5 * (((x[:, None] - m) ** 2 / s + np.log(2 * np.pi * s)).sum(axis=2))), {"classes": classes, "mean": m, "var": s, "width": m.shape[1]})
 
 
-def lda(train: DataFrame, shrinkage: float = 0.0) -> Model:
+def _ledoit_wolf(x: np.ndarray) -> float:
+    """The shrinkage of the covariance of centred rows towards its mean variance that loses least (Ledoit and Wolf, 2004)."""
+    n, p = x.shape
+    cov = x.T @ x / n
+    far = ((cov - np.trace(cov) / p * np.eye(p)) ** 2).sum() / p
+    noise = (((x**2).sum(axis=1) ** 2).sum() / n - (cov**2).sum()) / (n * p)
+    return float(min(noise, far) / far) if far > 0 else 0.0
+
+
+def lda(train: DataFrame, shrinkage: float | str | None = None) -> Model:
+    """Discriminants on standardised bands; the covariance within classes is shrunk by a share, by ``auto`` (Ledoit-Wolf) or not."""
     classes, size, mean, within = class_moments(train)
     cov = within / size.sum()
-    cov = (1 - shrinkage) * cov + shrinkage * np.trace(cov) / len(cov) * np.eye(len(cov))
-    w = np.linalg.solve(cov + 1e-10 * np.trace(cov) * np.eye(len(cov)), mean.T)
-    b = np.log(size / size.sum()) - 0.5 * (mean.T * w).sum(axis=0)
+    total = cov + ((mean - size @ mean / size.sum()) ** 2 * size[:, None]).sum(axis=0) / size.sum() * np.eye(mean.shape[1])
+    s = np.sqrt(np.where(np.diag(total) > 0, np.diag(total), 1.0))
+    cov = cov / np.outer(s, s)
+    if shrinkage == "auto":
+        x, label = matrix(train, "label")
+        at = {c: i for i, c in enumerate(classes)}
+        shrinkage = _ledoit_wolf((x - mean[[at[v] for v in label]]) / s)
+    g = float(shrinkage or 0.0)
+    cov = (1 - g) * cov + g * np.trace(cov) / len(cov) * np.eye(len(cov))
+    m = mean / s
+    w = np.linalg.solve(cov + 1e-10 * np.trace(cov) * np.eye(len(cov)), m.T)
+    b = np.log(size / size.sum()) - 0.5 * (m.T * w).sum(axis=0)
+    w = w / s[:, None]
     return _numpy("lda", lambda x: _scores(classes, x @ w + b), {"classes": classes, "coef": w, "width": mean.shape[1]})
 
 
@@ -94,26 +149,26 @@ def qda(train: DataFrame, reg_param: float = 0.1) -> Model:
     return _numpy("qda", f, {"classes": classes, "width": len(parts[0][0])})
 
 
-def pls_da(train: DataFrame, components: int = 5) -> Model:
+def pls_da(train: DataFrame, n_components: int = 5) -> Model:
     x, label = matrix(train, "label")
     classes, hot = one_hot(label)
-    m = nipals(x, hot, min(components, len(x) - 1, x.shape[1]))
+    m = nipals(x, hot, min(n_components, len(x) - 1, x.shape[1]))
     return _numpy("pls_da", lambda a: _scores(classes, pls_predict(m, a)), {"classes": classes, "width": x.shape[1]})
 
 
-def simca(train: DataFrame, components: int = 2) -> Model:
-    """A PCA per class; a row goes to the class whose residual and score distances are least against their 95 % limits."""
+def simca(train: DataFrame, n_components: int = 5, quantile: float = 0.95) -> Model:
+    """A PCA per class; a row goes to the class whose residual and score distances are least against their limits."""
     classes = [r["label"] for r in train.select("label").distinct().orderBy("label").collect()]
     parts = []
     for c in classes:
         (x,) = matrix(train.where(F.col("label") == c))
         m = x.mean(axis=0)
         _, s, vt = np.linalg.svd(x - m, full_matrices=False)
-        v = vt[: max(1, min(components, len(x) - 1))]
+        v = vt[: max(1, min(n_components, len(x) - 1))]
         std = np.maximum(s[: len(v)] / np.sqrt(max(1, len(x) - 1)), 1e-12)
         parts.append([m, v, std, 1.0, 1.0])
         q, t = _simca_distance(parts[-1], x)
-        parts[-1][3:] = [max(np.quantile(q, 0.95), 1e-12), max(np.quantile(t, 0.95), 1e-12)]
+        parts[-1][3:] = [max(np.quantile(q, quantile), 1e-12), max(np.quantile(t, quantile), 1e-12)]
 
     def f(a):
         d = np.column_stack([(q := _simca_distance(p, a))[0] / p[3] + q[1] / p[4] for p in parts])
@@ -182,8 +237,9 @@ def knn(train: DataFrame, df: DataFrame, k: int = 5, weights: str = "uniform", y
     return arrow.with_columns(df, run, {"y_pred": "double" if y else "string"})
 
 
-def _knn_model(train: DataFrame, y: str | None = None, k: int = 5, weights: str = "uniform") -> Model:
-    return Model("knn", lambda df: knn(train, df, k, weights, y))
+def _knn_model(train: DataFrame, y: str | None = None, n_neighbors: int = 5, weights: str = "uniform", metric: str = "euclidean") -> Model:
+    require(metric == "euclidean", "METRIC", "neighbours are taken by Euclidean distance", metric=metric)
+    return Model("knn_regressor" if y else "knn_classifier", lambda df: knn(train, df, n_neighbors, weights, y))
 
 
 # Linear family: closed forms from moments with the target as one more band.
@@ -225,8 +281,8 @@ def elastic_net(train: DataFrame, alpha: float = 0.01, l1_ratio: float = 0.5, y:
     return _line("lasso" if l1_ratio == 1 else "elastic_net", w, my - mx @ w)
 
 
-def bayesian_ridge(train: DataFrame, y: str = "y", rounds: int = 300) -> Model:
-    """Evidence maximisation of noise and weight precision; predicts a deviation too."""
+def bayesian_ridge(train: DataFrame, alpha_1: float = 1e-6, lambda_1: float = 1e-6, y: str = "y", rounds: int = 300) -> Model:
+    """Evidence maximisation of noise and weight precision under Gamma priors; predicts a deviation too."""
     n, mx, my, sxx, sxy, syy = _linear_moments(train, y)
     value, vector = np.linalg.eigh(sxx)
     value = np.maximum(value, 0)
@@ -235,7 +291,7 @@ def bayesian_ridge(train: DataFrame, y: str = "y", rounds: int = 300) -> Model:
         w = vector @ (proj / (value + lam / a))
         gamma = (a * value / (lam + a * value)).sum()
         rest = max(syy - 2 * w @ sxy + w @ sxx @ w, 1e-12)
-        new_lam, new_a = gamma / max(w @ w, 1e-12), (n - gamma) / rest
+        new_lam, new_a = (gamma + 2 * lambda_1) / (max(w @ w, 1e-12) + 2e-6), (n - gamma + 2 * alpha_1) / (rest + 2e-6)
         done = abs(new_lam - lam) < 1e-6 * lam
         lam, a = new_lam, new_a
         if done:
@@ -244,16 +300,16 @@ def bayesian_ridge(train: DataFrame, y: str = "y", rounds: int = 300) -> Model:
     return _numpy("bayesian_ridge", lambda x: {"y_pred": (x - mx) @ w + my, "y_std": np.sqrt(1 / a + (((x - mx) @ cov) * (x - mx)).sum(axis=1))}, {"coef": w, "width": len(w)}, "double")
 
 
-def plsr(train: DataFrame, components: int = 5, y: str = "y") -> Model:
+def plsr(train: DataFrame, n_components: int = 5, y: str = "y") -> Model:
     x, t = matrix(train, y)
-    m = nipals(x, t.astype(float)[:, None], min(components, len(x) - 1, x.shape[1]))
+    m = nipals(x, t.astype(float)[:, None], min(n_components, len(x) - 1, x.shape[1]))
     return _line("plsr", m["coef"][:, 0], float(m["my"][0] - m["mx"] @ m["coef"][:, 0]))
 
 
-def pcr(train: DataFrame, components: int = 5, y: str = "y") -> Model:
+def pcr(train: DataFrame, n_components: int = 5, y: str = "y") -> Model:
     n, mx, my, sxx, sxy, _ = _linear_moments(train, y)
     value, vector = np.linalg.eigh(sxx)
-    v, s = vector[:, ::-1][:, :components], np.maximum(value[::-1][:components], 1e-12)
+    v, s = vector[:, ::-1][:, :n_components], np.maximum(value[::-1][:n_components], 1e-12)
     w = v @ (v.T @ sxy / s)
     return _line("pcr", w, my - mx @ w)
 
@@ -289,7 +345,7 @@ def _dual(k: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 100) -> np.
     return a * y
 
 
-def svm(train: DataFrame, C: float = 1.0, gamma: float | str = "scale", balanced: bool = False, max_train: int = 5000) -> Model:
+def svm(train: DataFrame, C: float = 1.0, gamma: float | str = "scale", class_weight: str | None = None, max_train: int = 5000) -> Model:
     """RBF kernel, one class against the rest, on standardised bands."""
     require(train.count() <= max_train, "SVM_ROWS", "a kernel SVM is quadratic in the training rows", bound=max_train)
     x, label = matrix(train, "label")
@@ -299,17 +355,17 @@ def svm(train: DataFrame, C: float = 1.0, gamma: float | str = "scale", balanced
     classes, hot = one_hot(label)
     k = _rbf(z, z, g)
     n_pos = hot.sum(axis=0)
-    coef = np.column_stack([_dual(k, 2 * hot[:, j] - 1, C * np.where(hot[:, j] == 1, len(z) / (2 * n_pos[j]), len(z) / (2 * (len(z) - n_pos[j]))) if balanced else np.full(len(z), float(C))) for j in range(len(classes))])
+    coef = np.column_stack([_dual(k, 2 * hot[:, j] - 1, C * np.where(hot[:, j] == 1, len(z) / (2 * n_pos[j]), len(z) / (2 * (len(z) - n_pos[j]))) if class_weight == "balanced" else np.full(len(z), float(C))) for j in range(len(classes))])
     return _numpy("svm", lambda a: _scores(classes, 2 * (_rbf(scale(a), z, g) + 1) @ coef), {"classes": classes, "width": x.shape[1]})
 
 
-def svr(train: DataFrame, C: float = 1.0, epsilon: float = 0.1, y: str = "y", max_train: int = 5000) -> Model:
+def svr(train: DataFrame, C: float = 1.0, gamma: float | str = "scale", epsilon: float = 0.1, y: str = "y", max_train: int = 5000) -> Model:
     """Epsilon-insensitive regression with an RBF kernel, by coordinate descent on the dual."""
     require(train.count() <= max_train, "SVR_ROWS", "a kernel regression is quadratic in the training rows", bound=max_train)
     x, t = matrix(train, y)
     scale, t = _standard(x), t.astype(float)
     z = scale(x)
-    g = 1 / z.shape[1]
+    g = 1 / (z.shape[1] * max(z.var(), 1e-12)) if gamma == "scale" else 1 / z.shape[1] if gamma == "auto" else float(gamma)
     k, mean = _rbf(z, z, g) + 1, t.mean()
     b, out = np.zeros(len(t)), np.zeros(len(t))
     for _ in range(200):
@@ -326,19 +382,26 @@ def svr(train: DataFrame, C: float = 1.0, epsilon: float = 0.1, y: str = "y", ma
     return _numpy("svr", lambda a: {"y_pred": (_rbf(scale(a), z, g) + 1) @ b + mean}, {"width": x.shape[1]}, "double")
 
 
-def gpr(train: DataFrame, length: float = 10.0, noise: float = 1e-2, y: str = "y", max_train: int = 4000) -> Model:
-    """Constant times RBF plus white noise; mean and deviation."""
+def gpr(train: DataFrame, alpha: float = 1e-6, kernel: str = "rbf", length_scale: float = 10.0, noise_level: float = 1e-2, y: str = "y", max_train: int = 4000) -> Model:
+    """RBF or Matern 3/2 kernel plus white noise and ``alpha``; mean and deviation."""
     require(train.count() <= max_train, "GPR_ROWS", "a Gaussian process is cubic in the training rows", bound=max_train)
     x, t = matrix(train, y)
     scale, t = _standard(x), t.astype(float)
     z, mean, var = scale(x), t.mean(), max(t.var(), 1e-12)
-    g = 1 / (2 * length**2)
-    root = np.linalg.cholesky(_rbf(z, z, g) + noise * np.eye(len(z)))
-    alpha = np.linalg.solve(root.T, np.linalg.solve(root, (t - mean) / np.sqrt(var)))
+    noise = noise_level + alpha
+
+    def near(a, b):
+        if kernel == "rbf":
+            return _rbf(a, b, 1 / (2 * length_scale**2))
+        d = np.sqrt(3 * np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T, 0)) / length_scale
+        return (1 + d) * np.exp(-d)
+
+    root = np.linalg.cholesky(near(z, z) + noise * np.eye(len(z)))
+    dual = np.linalg.solve(root.T, np.linalg.solve(root, (t - mean) / np.sqrt(var)))
 
     def f(a):
-        k = _rbf(scale(a), z, g)
-        return {"y_pred": k @ alpha * np.sqrt(var) + mean, "y_std": np.sqrt(var * np.maximum(1 + noise - (np.linalg.solve(root, k.T) ** 2).sum(axis=0), 1e-12))}
+        k = near(scale(a), z)
+        return {"y_pred": k @ dual * np.sqrt(var) + mean, "y_std": np.sqrt(var * np.maximum(1 + noise - (np.linalg.solve(root, k.T) ** 2).sum(axis=0), 1e-12))}
 
     return _numpy("gpr", f, {"width": x.shape[1]}, "double")
 
@@ -371,27 +434,108 @@ def _ovr(base):
     return mlc.OneVsRest(classifier=base)
 
 
+#: MLlib's deepest tree, for trees without a bound.
+DEEPEST = 30
+
+
+def _forest(kind, p: dict, n_estimators: int, features: str):
+    share = p.get("max_features", features)
+    return kind(numTrees=p.get("n_estimators", n_estimators), maxDepth=p.get("max_depth") or DEEPEST, seed=42, minInstancesPerNode=p.get("min_samples_leaf", 1), featureSubsetStrategy=share if isinstance(share, str) else str(float(share)))
+
+
 def _classifier(name: str, train: DataFrame, p: dict) -> Model:
     n = train.count()
+    weighted = lambda e: e.setWeightCol("_w") if p.get("class_weight") == "balanced" else e
     if name == "logistic_regression":
-        e = mlc.LogisticRegression(maxIter=200, regParam=1 / (p.get("C", 1) * n), standardization=False)
-        return _mllib(name, e.setWeightCol("_w") if p.get("balanced") else e, train, None)
+        require(p.get("penalty", "l2") == "l2", "PENALTY", "only l2 is offered", penalty=p.get("penalty"))
+        return _mllib(name, weighted(mlc.LogisticRegression(maxIter=200, regParam=1 / (p.get("C", 1) * n), standardization=False)), train, None)
     if name == "linear_svm":
-        return _mllib(name, _ovr(mlc.LinearSVC(maxIter=100, regParam=1 / (p.get("C", 1) * n), standardization=False)), train, None)
-    if name in ("random_forest_classifier", "extra_trees_classifier"):
-        # random thresholds: few, coarse bins stand in for them
-        return _mllib(name, mlc.RandomForestClassifier(numTrees=p.get("n", 50), maxDepth=p.get("depth", 5), seed=42, maxBins=32 if name[0] == "r" else 8), train, None)
+        return _mllib(name, weighted(_ovr(mlc.LinearSVC(maxIter=100, regParam=1 / (p.get("C", 1) * n), standardization=False))), train, None)
+    if name == "random_forest_classifier":
+        return _mllib(name, _forest(mlc.RandomForestClassifier, p, 100, "sqrt"), train, None)
     if name == "gradient_boosting_classifier":
-        return _mllib(name, _ovr(mlc.GBTClassifier(maxIter=p.get("n", 50), stepSize=p.get("rate", 0.1), maxDepth=3, seed=42)), train, None)
+        return _mllib(name, _ovr(mlc.GBTClassifier(maxIter=p.get("n_estimators", 100), stepSize=p.get("learning_rate", 0.1), maxDepth=3, seed=42)), train, None)
     width = train.select(F.size("x").alias("p")).first()["p"]
     k = train.select("label").distinct().count()
-    return _mllib(name, mlc.MultilayerPerceptronClassifier(layers=[width, p.get("hidden", 32), k], maxIter=200, seed=42), train, None)
+    return _mllib(name, mlc.MultilayerPerceptronClassifier(layers=[width, *p.get("hidden_layer_sizes", (32,)), k], maxIter=p.get("max_iter", 500), seed=42), train, None)
 
 
 def _regressor(name: str, train: DataFrame, p: dict, y: str) -> Model:
-    if name in ("random_forest_regressor", "extra_trees_regressor"):
-        return _mllib(name, mlr.RandomForestRegressor(numTrees=p.get("n", 50), maxDepth=p.get("depth", 5), seed=42, maxBins=32 if name[0] == "r" else 8), train, y)
-    return _mllib(name, mlr.GBTRegressor(maxIter=p.get("n", 50), stepSize=p.get("rate", 0.1), maxDepth=3, seed=42), train, y)
+    if name == "random_forest_regressor":
+        return _mllib(name, _forest(mlr.RandomForestRegressor, p, 100, "all"), train, y)
+    return _mllib(name, mlr.GBTRegressor(maxIter=p.get("n_estimators", 100), stepSize=p.get("learning_rate", 0.1), maxDepth=3, seed=42), train, y)
+
+
+# Extremely randomised trees: a tree a task, over the bounded training matrix.
+
+
+def _random_tree(x: np.ndarray, t: np.ndarray, rng, max_depth: int | None, tried: int, least: int) -> np.ndarray:
+    """Rows of (band or -1, threshold, left, right, *mean of t) by a random threshold in each of ``tried`` bands that vary; the least squared error wins."""
+    rows, todo = [], [(np.arange(len(x)), 0, -1, 0)]
+    while todo:
+        at, depth, parent, side = todo.pop()
+        me = len(rows)
+        if parent >= 0:
+            rows[parent][2 + side] = me
+        own = t[at]
+        rows.append([-1, 0.0, -1, -1, *own.mean(axis=0)])
+        if (max_depth is not None and depth >= max_depth) or len(at) < 2 * least or (own == own[0]).all():
+            continue
+        low, high = x[at].min(axis=0), x[at].max(axis=0)
+        vary = np.flatnonzero(high > low)
+        bands = rng.permutation(vary)[:tried]
+        if not len(bands):
+            continue
+        cut = rng.uniform(low[bands], high[bands])
+        left = x[np.ix_(at, bands)] <= cut
+        n = left.sum(axis=0)
+        a, whole = left.T @ own, own.sum(axis=0)
+        fine = (n >= least) & (len(at) - n >= least)
+        if not fine.any():
+            continue
+        gain = (a**2).sum(axis=1) / np.maximum(n, 1) + ((whole - a) ** 2).sum(axis=1) / np.maximum(len(at) - n, 1)
+        best = int(np.where(fine, gain, -np.inf).argmax())
+        rows[me][:2] = [int(bands[best]), float(cut[best])]
+        todo += [(at[left[:, best]], depth + 1, me, 0), (at[~left[:, best]], depth + 1, me, 1)]
+    return np.array(rows, float)
+
+
+def _tree_values(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
+    node = np.zeros(len(x), np.int64)
+    while (live := np.flatnonzero(tree[node, 0] >= 0)).size:
+        here = node[live]
+        right = x[live, tree[here, 0].astype(int)] > tree[here, 1]
+        node[live] = np.where(right, tree[here, 3], tree[here, 2]).astype(int)
+    return tree[node, 4:]
+
+
+def extra_trees(train: DataFrame, y: str | None = None, n_estimators: int = 100, max_depth: int | None = None, max_features: str | float | None = None, min_samples_leaf: int = 1, seed: int = 42) -> Model:
+    """Extremely randomised trees (Geurts and others, 2006) on all training rows; votes are mean class shares. Trees are tasks."""
+    x, target = matrix(train, y or "label")
+    classes, t = (None, target.astype(float)[:, None]) if y else one_hot(target)
+    share = max_features or (1.0 if y else "sqrt")
+    tried = max(1, int(np.sqrt(x.shape[1])) if share == "sqrt" else int(float(share) * x.shape[1]))
+    spark = train.sparkSession
+    shared = spark.sparkContext.broadcast((x, t))
+
+    def grow(batches):
+        a, b = shared.value
+        for pdf in batches:
+            for i in pdf["id"]:
+                tree = _random_tree(a, b, np.random.default_rng([seed, int(i)]), max_depth, tried, min_samples_leaf)
+                yield pd.DataFrame({"id": [i], "width": [tree.shape[1]], "tree": [tree.ravel()]})
+
+    grown = spark.range(n_estimators).repartition(min(n_estimators, 64)).mapInPandas(grow, "id long, width int, tree array<double>").orderBy("id").collect()
+    trees = [np.array(r["tree"]).reshape(-1, r["width"]) for r in grown]
+    mean = lambda a: sum(_tree_values(tree, a) for tree in trees) / len(trees)
+    if y:
+        return _numpy("extra_trees_regressor", lambda a: {"y_pred": mean(a)[:, 0]}, {"width": x.shape[1]}, "double")
+
+    def votes(a):
+        p = mean(a)
+        return {"y_pred": np.array([str(c) for c in classes], object)[p.argmax(axis=1)], "probabilities": p}
+
+    return _numpy("extra_trees_classifier", votes, {"classes": classes, "width": x.shape[1]})
 
 
 CLASSIFIERS = ("logistic_regression", "svm", "linear_svm", "lda", "qda", "gaussian_nb", "random_forest_classifier", "extra_trees_classifier", "gradient_boosting_classifier", "knn_classifier", "pls_da", "simca", "mlp_classifier", "proto_spectral_classifier")
@@ -411,9 +555,12 @@ def fit_model(train: DataFrame, name: str, y: str | None = None, **params) -> Mo
     if name in target:
         return target[name](train, y=y or "y", **p)
     if name == "linear_regression":
+        require(p.get("fit_intercept", True), "INTERCEPT", "a line without an intercept isn't offered")
         return ridge(train, alpha=0.0, y=y or "y")
     if name == "lasso":
         return elastic_net(train, l1_ratio=1.0, y=y or "y", **p)
+    if name in ("extra_trees_classifier", "extra_trees_regressor"):
+        return extra_trees(train, (y or "y") if name == "extra_trees_regressor" else None, **p)
     if name in ("knn_classifier", "knn_regressor"):
         return _knn_model(train, (y or "y") if name == "knn_regressor" else None, **p)
     if name in CLASSIFIERS:
@@ -424,19 +571,25 @@ def fit_model(train: DataFrame, name: str, y: str | None = None, **params) -> Mo
 
 
 def resolve_parameters(name: str, params: dict) -> dict:
-    known = set(GRIDS.get(name, {}))
+    """Parameters by plain name, or with the name of a step (``model__``, ``pca__``) or of the stage (``model_``) before it."""
+    known = {*GRIDS.get(name, {}), *FURTHER.get(name, ())}
     out = {}
     for key, value in params.items():
-        plain = key.removeprefix("model__").removeprefix("model_")
+        plain = key.split("__")[-1]
+        plain = plain if plain in known else plain.removeprefix("model_")
         require(plain in known, "UNKNOWN_PARAMETER", f"{name} has no parameter {key}", known=sorted(known))
         out[plain] = value
     return out
 
 
-def grid(name: str) -> list[dict]:
+def grid(name: str, rows: int | None = None, bands: int | None = None) -> list[dict]:
+    """Every point of a model's grid that so many training rows and bands allow, in the order of its lists."""
     out: list[dict] = [{}]
+    most = {"n_neighbors": rows, "n_components": min(rows - 1 if rows else 10, bands or 10, 10)}
     for key, values in GRIDS[ALIASES.get(name, name)].items():
-        out = [{**p, key: v} for p in out for v in values]
+        bound = most.get(key)
+        fit = list(dict.fromkeys(min(v, max(1, bound)) for v in values)) if bound and key == "n_components" else [v for v in values if not bound or v <= bound] or values[:1]
+        out = [{**p, key: v} for p in out for v in fit]
     return out
 
 
@@ -446,7 +599,8 @@ def select_candidate(df: DataFrame, name: str, y: str | None = None) -> tuple[di
 
     train, val = df.where("role = 'train'"), df.where("role = 'val'")
     best = None
-    for p in grid(name):
+    size = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p")).first()
+    for p in grid(name, size["n"], size["p"]):
         m = fit_model(train, name, y, **p)
         pred = m.predict(val)
         if y:

@@ -17,7 +17,15 @@ from ..errors import BandloomError, confirm, require
 from ..functions import kernels, spectral
 
 #: Other names of methods.
-ALIASES = {"standard_normal_variate": "snv", "autoscale": "standardization", "zscore": "standardization", "mean_center": "mean_centering", "minmax": "minmax_scaling", "robust": "robust_scaling", "pareto": "pareto_scaling", "multiplicative_scatter_correction": "msc", "l2": "l2_normalization", "sg": "sg_smoothing", "savgol": "sg_smoothing", "d1": "first_derivative", "d2": "second_derivative", "als": "als_baseline", "rubberband": "rubberband_baseline", "raw": "none"}
+ALIASES = {
+    "savitzky_golay": "sg_smoothing", "sg": "sg_smoothing", "savgol": "sg_smoothing", "1st_derivative": "first_derivative", "derivative_1": "first_derivative", "2nd_derivative": "second_derivative",
+    "derivative_2": "second_derivative", "mean_center": "mean_centering", "center": "mean_centering", "zscore": "standardization", "standardize": "standardization", "minmax": "minmax_scaling",
+    "min_max": "minmax_scaling", "robust": "robust_scaling", "pareto": "pareto_scaling", "l2": "l2_normalization", "area": "area_normalization", "max_abs": "max_abs_normalization",
+    "reflectance_absorbance": "reflectance_to_absorbance", "transmittance_absorbance": "transmittance_to_absorbance", "baseline_linear": "linear_baseline", "baseline_polynomial": "polynomial_baseline",
+    "poly_baseline": "polynomial_baseline", "rubberband": "rubberband_baseline", "als": "als_baseline", "band_select": "band_range_select", "select_band_range": "band_range_select", "remove_band_range": "remove_band_ranges",
+}
+#: Names that this engine takes besides.
+OWN_ALIASES = {"standard_normal_variate": "snv", "autoscale": "standardization", "multiplicative_scatter_correction": "msc", "d1": "first_derivative", "d2": "second_derivative", "raw": "none"}
 #: Known methods that are left out on purpose.
 ADVANCED = ("osc", "emsc", "wavelet", "airpls", "arpls", "opls", "epo", "glsw")
 
@@ -203,7 +211,8 @@ def apply_fitted(df: DataFrame, fit: DataFrame, method: str, *keys: str) -> Data
 
 def normalise(methods: list[str]) -> tuple[list[str], list[str]]:
     """Canonical method names with band methods first, and warnings; ``none`` stands alone."""
-    names = [ALIASES.get(m.strip().lower(), m.strip().lower()) for m in methods] or ["none"]
+    plain = [m.strip().lower().replace("-", "_").replace(" ", "_") for m in methods]
+    names = [ALIASES.get(m) or OWN_ALIASES.get(m, m) for m in plain] or ["none"]
     for m in names:
         require(m not in ADVANCED, "ADVANCED_METHOD", f"{m} isn't offered", method=m)
         require(m in METHODS, "UNKNOWN_METHOD", f"{m} isn't a preprocessing method", method=m)

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from ..errors import NeedsConfirmation, require
 from ..layout import number, unreadable
 
-#: Column names that suggest a role.
-ID_NAMES = ("sample_id", "sampleid", "sample", "id", "no.", "no", "编号", "样品编号", "样本编号")
-LABEL_NAMES = ("class", "label", "category", "group", "类别", "标签", "等级")
-TARGET_NAMES = ("target", "y", "value", "concentration", "moisture", "protein", "目标", "含量")
-METADATA_NAMES = ("batch", "origin", "year", "operator", "remark", "replicate_id", "date", "批次", "产地", "备注")
-BAND_HEADER = r"(?i)^(?:wl_|band_)?[-+]?\d+(?:\.\d+)?\s*(?:nm|cm-1)?$"
+#: Column names that suggest a role, parts of names that suggest a target, and headers of bands.
+ID_NAMES = ("sample_id", "sampleid", "sample", "id", "name", "unnamed: 0", "样本编号", "样品编号", "编号")
+ID_TOKENS = ("sample", "样本")
+LABEL_NAMES = ("label", "class", "category", "type", "group", "类别", "等级", "分类", "品种", "产地")
+TARGET_TOKENS = ("target", "value", "content", "concentration", "amount", "含量", "浓度", "指标")
+METADATA_NAMES = ("remark", "remarks", "note", "notes", "no.", "no", "index", "batch", "date", "operator", "备注", "序号", "批次", "日期", "仪器")
+BAND_HEADER = r"(?i)^\s*(?:wl_|band_)?\d+(?:\.\d+)?\s*(?:nm|cm-?1|cm⁻¹)?\s*$"
 
 
 @dataclass
@@ -38,7 +39,8 @@ def evidence(columns: list[str]) -> dict[str, list[str]]:
     """Columns by the role that their names suggest."""
     low = {c: c.strip().lower() for c in columns}
     return {
-        "id": [c for c in columns if low[c] in ID_NAMES], "label": [c for c in columns if low[c] in LABEL_NAMES], "target": [c for c in columns if low[c] in TARGET_NAMES],
+        "id": [c for c in columns if low[c] in ID_NAMES or any(t in low[c] for t in ID_TOKENS)], "label": [c for c in columns if low[c] in LABEL_NAMES],
+        "target": [c for c in columns if any(t in low[c] for t in TARGET_TOKENS)],
         "metadata": [c for c in columns if low[c] in METADATA_NAMES], "band": [c for c in columns if is_band(c)],
     }
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import confirm, require
-from ..functions import spectral
+from ..functions import arrow, shared, spectral
 
 #: Thresholds of the checks.
 ROBUST_Z, MAD_SCALE, SPIKE, SPIKE_CAP, LOW_VARIANCE = 3.5, 1.4826, 6.0, 999.0, 1e-12
@@ -180,6 +181,24 @@ def exact_duplicates(df: DataFrame) -> DataFrame:
     return df.join(groups, "x").select("sample_idx", "keep", (F.col("labels") > 1).alias("label_conflict"))
 
 
+def _signed_buckets(df: DataFrame, planes: np.ndarray) -> DataFrame:
+    """(sample_idx, bucket, signs): a row per table; the signs of all projections of the centred spectrum as one number a table."""
+    tables, bits, _ = planes.shape
+    flat, value = planes.reshape(tables * bits, -1).T, 1 << np.arange(bits)
+
+    def run(batches):
+        for batch in batches:
+            x = arrow.matrix_of(batch.column(batch.schema.get_field_index("x")))
+            if not len(x):
+                continue
+            signs = ((x - x.mean(axis=1, keepdims=True)) @ flat > 0).reshape(len(x), tables, bits) @ value
+            keys = signs + (np.arange(tables) << bits)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("sample_idx")).cast(pa.int64()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(signs), pa.list_(pa.int64()))], ["sample_idx", "keys", "signs"])
+
+    made = df.select("sample_idx", "x").mapInArrow(run, "sample_idx long, keys array<long>, signs array<long>")
+    return made.select("sample_idx", "signs", F.explode("keys").alias("bucket"))
+
+
 def near_duplicates(df: DataFrame, *, high: float = 0.999, tables: int = 12, bits: int = 10) -> DataFrame:
     """Pairs of high correlation with their measures and whether they are strict duplicates.
 
@@ -191,14 +210,14 @@ def near_duplicates(df: DataFrame, *, high: float = 0.999, tables: int = 12, bit
     width = df.select(F.size("x").alias("p")).first()
     if width is None:
         return df.select(F.col("sample_idx").alias("a"), F.col("sample_idx").alias("b")).limit(0)
-    rng = np.random.default_rng(97)
-    planes = rng.standard_normal((tables, bits, width.p))
+    planes = np.random.default_rng(97).standard_normal((tables, bits, width.p))
     distinct = df.groupBy("x").agg(F.min("sample_idx").alias("sample_idx"), F.min_by("label", "sample_idx").alias("label"))
-    centred = distinct.withColumn("c", spectral.let(lambda t: F.transform(t["x"], lambda v: v - t["m"]), x=F.col("x"), m=spectral.mean(F.col("x"))))
-    signs = [F.concat(F.lit(f"{t}:"), *(F.when(spectral.dot(F.col("c"), F.array(*(F.lit(float(w)) for w in p))) > 0, "1").otherwise("0") for p in planes[t])) for t in range(tables)]
-    dealt = centred.select("sample_idx", "label", "x", F.explode(F.array(*signs)).alias("bucket"))
-    a, b = (dealt.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("sample_idx", "label", "x"))) for s in "ab")
-    pairs = a.join(b, (a.bucket == b.bucket) & (F.col("sample_idx_a") < F.col("sample_idx_b"))).drop("bucket").dropDuplicates(["sample_idx_a", "sample_idx_b"])
+    a, b = (_signed_buckets(distinct, planes).select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("sample_idx", "signs"))) for s in "ab")
+    # of all signs of a pair at 0.999 about one in seventy differs; ten times as many are 1e-12 away
+    differ = F.aggregate(F.zip_with("signs_a", "signs_b", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+    ids = a.join(b, (a.bucket == b.bucket) & (F.col("sample_idx_a") < F.col("sample_idx_b"))).where(differ <= -(-tables * bits // 7)).select("sample_idx_a", "sample_idx_b").distinct()
+    side = lambda s: distinct.select(*(F.col(c).alias(f"{c}_{s}") for c in ("sample_idx", "label", "x")))
+    pairs = ids.join(side("a"), "sample_idx_a").join(side("b"), "sample_idx_b")
     x, y = F.col("x_a"), F.col("x_b")
     cosine = spectral.dot(x, y) / (spectral.norm(x) * spectral.norm(y))
     rmse = F.sqrt(spectral.mean(F.zip_with(x, y, lambda u, v: (u - v) * (u - v)))) / F.greatest(F.sqrt(spectral.mean(F.transform(x, lambda u: u * u))), F.lit(1e-12))
@@ -207,18 +226,27 @@ def near_duplicates(df: DataFrame, *, high: float = 0.999, tables: int = 12, bit
     return measured.where((F.col("corr") > high) | strict).withColumn("strict", strict)
 
 
-def duplicate_groups(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, component) by repeated least-neighbour labels: the true closure of the pairs (a, b)."""
-    edges = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().toDF("node", "to")
-    label = edges.select("node").distinct().withColumn("component", F.col("node"))
+def duplicate_groups(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+    """(node, component) of the pairs (a, b): their true closure, by joins and grouped minima, a written table a round.
+
+    Each round links every neighbour of a node to the least of them, then lets labels jump to their own
+    label's label, so the rounds are logarithmic in the longest chain.
+    """
+    edges = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    now, seen = shared.stored(edges, "edges"), None
     for _ in range(rounds):
-        least = edges.join(label.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("component").alias("c"))
-        new = label.join(least, "node").select("node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved"))
-        new = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new
-        moved = new.where("moved").limit(1).count()
-        label = new.drop("moved")
-        if not moved:
-            return label
+        both = now.union(now.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        then = shared.stored(moved.union(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        shared.drop(now)
+        now, was = then, seen
+        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if seen == was:
+            return nodes.join(now, nodes.node == now.a, "left").select("node", F.coalesce("b", "node").alias("component"))
     require(False, "GROUPS_UNSETTLED", "duplicate groups didn't settle", rounds=rounds)
 
 
@@ -381,7 +409,7 @@ def impute_along(long: DataFrame, how: str = "linear") -> DataFrame:
 def remove_samples(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Without the samples of ids (sample_idx); an unknown id, or nothing left, is an error."""
     require(not ids.join(df, "sample_idx", "left_anti").limit(1).count(), "UNKNOWN_SAMPLE", "a sample to remove doesn't exist")
-    out = df.join(F.broadcast(ids), "sample_idx", "left_anti")
+    out = df.join(ids, "sample_idx", "left_anti")
     require(bool(out.limit(1).count()), "ALL_REMOVED", "no sample would be left")
     return out
 

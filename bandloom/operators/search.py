@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -32,11 +33,9 @@ def expand(options: dict[str, list]) -> list[dict]:
 
 def trials(spark: SparkSession, space: dict[str, list[str]]) -> DataFrame:
     """trial_id, preprocess, feature and model of each combination, numbered in the order of the lists."""
-    cols = {k: list(dict.fromkeys(v)) for k, v in space.items()}
-    frames = [spark.createDataFrame([(i, v) for i, v in enumerate(cols[k])], f"{k}_i int, {k} string") for k in ("preprocess", "feature", "model")]
-    both = frames[0].crossJoin(frames[1]).crossJoin(frames[2])
-    place = (F.col("preprocess_i") * len(cols["feature"]) + F.col("feature_i")) * len(cols["model"]) + F.col("model_i") + 1
-    return both.select(F.format_string("trial_%04d", place).alias("trial_id"), "preprocess", "feature", "model")
+    cols = [list(dict.fromkeys(space[k])) for k in ("preprocess", "feature", "model")]
+    rows = [(f"trial_{i:04d}", *r) for i, r in enumerate(itertools.product(*cols), 1)]
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "trial_id string, preprocess string, feature string, model string")
 
 
 def audit_budget(rows: DataFrame, max_trials: int = 30, agreed: bool = False) -> int:

@@ -7,9 +7,9 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..errors import NeedsConfirmation, require
+from ..functions import ranks
 
 #: Other names of roles.
 ROLES = {"train": "train", "training": "train", "calibration": "train", "val": "val", "valid": "val", "validation": "val", "dev": "val", "test": "test", "testing": "test", "prediction": "test"}
@@ -40,10 +40,21 @@ def allocate(n: int, shares: list[float]) -> list[int]:
     return out
 
 
-def shuffled(seed, *keys: str, by: str = "sample_idx"):
-    """A window in pseudo-random order of ``by`` within the keys."""
-    order = F.md5(F.concat_ws(":", F.lit(seed) if not isinstance(seed, Column) else seed, F.col(by).cast("string")))
-    return Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(order, by)
+#: Groups or classes that a driver-side table may hold.
+MAX_GROUPS = 1_000_000
+
+
+def placed(df: DataFrame, seed, *keys: str, by: str = "sample_idx") -> DataFrame:
+    """df with ``place``, from 1, in pseudo-random order of ``by`` within the keys; no task holds a whole order."""
+    h = F.md5(F.concat_ws(":", F.lit(seed) if not isinstance(seed, Column) else seed, F.col(by).cast("string")))
+    return ranks.hash_places(df, h, by, *keys)
+
+
+def _counts(df: DataFrame, key: str) -> list:
+    """A row per class or group, refused above MAX_GROUPS."""
+    rows = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
+    require(len(rows) <= MAX_GROUPS, "TOO_MANY_GROUPS", f"{key} has too many different values for this split", bound=MAX_GROUPS)
+    return rows
 
 
 def _roles(place: Column, counts: list[int]) -> Column:
@@ -87,9 +98,22 @@ def _order_statistics(keyed: DataFrame, ranks: list[int]) -> list[tuple[str, int
     return out
 
 
+def _by_class(df: DataFrame, label: str, each: dict) -> tuple[DataFrame, Column]:
+    """A table of the ranks where each class's parts end, and the condition to join it on."""
+    kind = df.schema[label].dataType.simpleString()
+    rows = [(k, *(sum(c[: i + 1]) for i in range(len(c) - 1)), *[None] * (3 - len(c))) for k, c in each.items()]
+    edges = df.sparkSession.createDataFrame(rows, f"_class {kind}, first_edge long, second_edge long")
+    return edges, F.col(label).eqNullSafe(F.col("_class"))
+
+
+def _edge_role(parts: int) -> Column:
+    last = F.lit("test") if parts == 2 else F.when(F.col("place") <= F.col("second_edge"), "val").otherwise("test")
+    return F.when(F.col("place") <= F.col("first_edge"), "train").otherwise(last)
+
+
 def stratified_split(df: DataFrame, shares: list[float], seed: int = 42, label: str = "label") -> DataFrame:
     """Each class cut by its own counts, then single samples moved so that the totals are those of the whole."""
-    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per class
+    sizes = {r[label]: r["n"] for r in _counts(df, label)}
     small = [k for k, n in sizes.items() if n < len(shares)]
     require(not small, "CLASS_TOO_SMALL", "a class has fewer samples than parts", classes=small)
     want = allocate(sum(sizes.values()), shares)
@@ -103,11 +127,7 @@ def stratified_split(df: DataFrame, shares: list[float], seed: int = 42, label:
         k = max(able, key=lambda k: (each[k][over] - sizes[k] * shares[over], str(k)))
         each[k][over] -= 1
         each[k][under] += 1
-    place = F.row_number().over(shuffled(seed, label))
-    out = F.lit(None).cast("string")
-    for k, counts in each.items():
-        out = F.when(F.col(label).eqNullSafe(F.lit(k)), _roles(F.col("place"), counts)).otherwise(out)
-    return df.select("sample_idx", label, place.alias("place")).select("sample_idx", out.alias("role"))
+    return placed(df.select("sample_idx", label), seed, label).join(*_by_class(df, label, each)).select("sample_idx", _edge_role(len(shares)).alias("role"))
 
 
 def predefined(df: DataFrame, column: str) -> DataFrame:
@@ -132,54 +152,53 @@ def _as_folds(folds: DataFrame, k: int) -> DataFrame:
 
 
 def kfold(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    return _as_folds(df.select("sample_idx", _fold(F.row_number().over(shuffled(seed)), k).alias("fold")), k)
+    return _as_folds(placed(df.select("sample_idx"), seed).select("sample_idx", _fold(F.col("place"), k).alias("fold")), k)
 
 
 def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 42, label: str = "label") -> DataFrame:
     """Round robin inside each class; a class smaller than k is an error."""
     small = df.groupBy(label).count().where(F.col("count") < k).limit(1).collect()
     require(not small, "CLASS_TOO_SMALL", "a class has fewer samples than folds")
-    return _as_folds(df.select("sample_idx", _fold(F.row_number().over(shuffled(seed, label)), k).alias("fold")), k)
+    return _as_folds(placed(df.select("sample_idx", label), seed, label).select("sample_idx", _fold(F.col("place"), k).alias("fold")), k)
 
 
 def leave_one_out(df: DataFrame) -> DataFrame:
-    """n iterations of n rows by nature: a theta self-join on <>; for small tables."""
+    """n iterations of n rows by nature: a theta self-join on <>; refused above MAX_SEQUENTIAL rows."""
     ids = df.select("sample_idx")
+    require(ids.limit(MAX_SEQUENTIAL + 1).count() <= MAX_SEQUENTIAL, "TOO_MANY_ROWS", "leaving one out makes n * n rows and is refused above its bound", bound=MAX_SEQUENTIAL)
     test = ids.select(F.col("sample_idx").alias("iteration_id"))
     return test.crossJoin(ids).select("iteration_id", F.when(F.col("iteration_id") == F.col("sample_idx"), "val").otherwise("train").alias("role"), "sample_idx")
 
 
 def monte_carlo(df: DataFrame, repeats: int, shares: list[float], seed: int = 42, label: str | None = None) -> DataFrame:
     """Repeated random (or, by label, stratified) splits; repeat r uses seed + r - 1. All repeats in one job."""
-    keys = ["iteration_id"] + ([label] if label else [])
-    its = df.select("sample_idx", *([label] if label else []), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("iteration_id"))
-    place = F.row_number().over(shuffled((F.col("iteration_id") + (seed - 1)).cast("string"), *keys))
-    sizes = df.groupBy(label).count().collect() if label else [{"count": df.count()}]
-    out = F.lit(None).cast("string")
-    for r in sizes:
-        role = _roles(F.col("place"), allocate(r["count"], shares))
-        out = F.when(F.col(label).eqNullSafe(F.lit(r[label])), role).otherwise(out) if label else role
-    return its.withColumn("place", place).select("iteration_id", out.alias("role"), "sample_idx")
+    own = [label] if label else []
+    its = df.select("sample_idx", *own, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("iteration_id"))
+    rows = placed(its, (F.col("iteration_id") + (seed - 1)).cast("string"), "iteration_id", *own)
+    if not label:
+        return rows.select("iteration_id", _roles(F.col("place"), allocate(df.count(), shares)).alias("role"), "sample_idx")
+    each = {r[label]: allocate(r["n"], shares) for r in _counts(df, label)}
+    return rows.join(*_by_class(df, label, each)).select("iteration_id", _edge_role(len(shares)).alias("role"), "sample_idx")
 
 
 def y_bins(df: DataFrame, n: int, parts: int, y: str = "y") -> DataFrame:
     """Rank bins of a target, for stratifying regression: min(10, floor(sqrt(n)), floor(n / parts)) bins of equal rank width."""
     bins = max(1, min(10, int(n**0.5), n // parts))
-    rank = F.row_number().over(Window.orderBy(y, "sample_idx")) - 1
-    return df.select("sample_idx", y, (F.least(F.lit(bins - 1), F.floor(rank * bins / n)) + 1).cast("int").alias("bin"))
+    rows = ranks.running(ranks.with_bucket(df.select("sample_idx", y), y), F.col("_cut"), [y, "sample_idx"], {"rank": F.lit(1).cast("long")}, inclusive=False)
+    return rows.select("sample_idx", y, (F.least(F.lit(bins - 1), F.floor(F.col("rank") * bins / n)) + 1).cast("int").alias("bin"))
 
 
 def group_split(df: DataFrame, shares: list[float], group: str, seed: int = 42) -> DataFrame:
     """Whole groups by a random split of the group names."""
     names = df.select(F.col(group).alias("sample_idx")).distinct()
     counts = allocate(names.count(), shares)
-    roles = names.select("sample_idx", _roles(F.row_number().over(shuffled(seed)), counts).alias("role"))
+    roles = placed(names, seed).select("sample_idx", _roles(F.col("place"), counts).alias("role"))
     return df.select("sample_idx", group).join(roles.withColumnRenamed("sample_idx", group), group).select("sample_idx", "role")
 
 
 def balanced_groups(df: DataFrame, shares: list[float], group: str) -> DataFrame:
     """Whole groups, the largest first, each to the part that lacks most. The loop is over group counts only."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = _counts(df, group)
     total = sum(r["n"] for r in sizes)
     lack = [total * s for s in shares]
     names = ["train", "test"] if len(shares) == 2 else ["train", "val", "test"]
@@ -237,7 +256,7 @@ def kennard_stone(df: DataFrame, shares: list[float], y: str | None = None) -> D
     rest = df.select("sample_idx").join(train, "sample_idx", "left_anti")
     if len(counts) == 2:
         return train.unionByName(rest.withColumn("role", F.lit("test")))
-    return train.unionByName(rest.select("sample_idx", F.when(F.row_number().over(shuffled(42)) <= counts[1], "val").otherwise("test").alias("role")))
+    return train.unionByName(placed(rest, 42).select("sample_idx", F.when(F.col("place") <= counts[1], "val").otherwise("test").alias("role")))
 
 
 def duplex(df: DataFrame, shares: list[float]) -> DataFrame:

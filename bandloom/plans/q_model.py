@@ -83,7 +83,7 @@ _projection("pls", lambda spark, sf: X.pls_latent(_train(df := layout.spectra(sp
 _projection("kernel_pca", lambda spark, sf: X.kernel_pca(_train(df := layout.spectra(spark, sf)), 5).transform(df))
 _projection("sparse_pca", lambda spark, sf: X.sparse_pca(_train(df := layout.spectra(spark, sf)), 5).transform(df))
 _projection("ica", lambda spark, sf: X.ica(_train(df := layout.spectra(spark, sf)), 5).transform(df))
-_projection("nmf", lambda spark, sf: X.nmf(_train(df := layout.spectra(spark, sf).withColumn("x", F.transform("x", lambda v: v + 1))), 5, 50).transform(df))
+_projection("nmf", lambda spark, sf: X.nmf(_train(df := layout.spectra(spark, sf).withColumn("x", F.transform("x", lambda v: v + 1))), 5).transform(df))
 _projection("dictionary", lambda spark, sf: X.dictionary_learning(_train(df := layout.spectra(spark, sf)), 5).transform(df))
 _projection("isomap", lambda spark, sf: X.isomap(_train(df := layout.spectra(spark, sf))).transform(df))
 _projection("lle", lambda spark, sf: X.lle(_train(df := layout.spectra(spark, sf))).transform(df))
@@ -110,17 +110,17 @@ def spa(spark, sf):
 
 @query("feature_cars")
 def cars(spark, sf):
-    return spark.createDataFrame([(b,) for b in X.cars(_train(_with_y(spark, sf)), 20, y="y")[0]], "band int")
+    return spark.createDataFrame([(b,) for b in X.cars(_train(_with_y(spark, sf)), y="y")[0]], "band int")
 
 
 @query("feature_uve")
 def uve(spark, sf):
-    return X.uve(_train(_with_y(spark, sf)), 20, y="y").where("score > cut").select("band", "score")
+    return X.uve(_train(_with_y(spark, sf)), y="y").where("selected").select("band", "score")
 
 
 @query("feature_mcuve")
 def mcuve(spark, sf):
-    return X.uve(_train(_with_y(spark, sf)), 20, y="y", monte_carlo=True).where("score > cut").select("band", "score")
+    return X.uve(_train(_with_y(spark, sf)), y="y", monte_carlo=True).where("selected").select("band", "score")
 
 
 # Models.
@@ -160,14 +160,14 @@ def _classify(name, **p):
     query(f"model_{name}")(run)
 
 
-for _name, _p in (("lda", {}), ("qda", {"reg_param": 0.5}), ("pls_da", {}), ("simca", {}), ("svm", {}), ("logistic_regression", {}), ("linear_svm", {}), ("random_forest_classifier", {"n": 20}), ("extra_trees_classifier", {"n": 20}), ("mlp_classifier", {}), ("proto_spectral_classifier", {"metric": "cosine"})):
+for _name, _p in (("lda", {}), ("qda", {"reg_param": 0.5}), ("pls_da", {}), ("simca", {}), ("svm", {}), ("logistic_regression", {}), ("linear_svm", {}), ("random_forest_classifier", {}), ("extra_trees_classifier", {}), ("mlp_classifier", {}), ("proto_spectral_classifier", {"metric": "cosine"})):
     _classify(_name, **_p)
 
 
 @query("model_gradient_boosting_classifier")
 def model_gbt(spark, sf):
-    df = layout.spectra(spark, sf).where("label < 2")
-    return M.fit_model(_train(df), "gradient_boosting_classifier", n=10).predict(df.where("role = 'test'")).select("sample_idx", "y_pred")
+    df = layout.spectra(spark, sf)
+    return M.fit_model(_train(df), "gradient_boosting_classifier", n_estimators=50).predict(df.where("role = 'test'")).select("sample_idx", "y_pred")
 
 
 def _regress(name, **p):
@@ -178,7 +178,7 @@ def _regress(name, **p):
     query(f"model_{name}")(run)
 
 
-for _name, _p in (("plsr", {}), ("pcr", {}), ("linear_regression", {}), ("ridge", {}), ("lasso", {"alpha": 0.001}), ("elastic_net", {}), ("bayesian_ridge", {}), ("svr", {}), ("gpr", {}), ("random_forest_regressor", {"n": 20}), ("extra_trees_regressor", {"n": 20}), ("gradient_boosting_regressor", {"n": 10}), ("proto_spectral_regressor", {})):
+for _name, _p in (("plsr", {}), ("pcr", {}), ("linear_regression", {}), ("ridge", {}), ("lasso", {"alpha": 0.001}), ("elastic_net", {}), ("bayesian_ridge", {}), ("svr", {}), ("gpr", {}), ("random_forest_regressor", {}), ("extra_trees_regressor", {}), ("gradient_boosting_regressor", {}), ("proto_spectral_regressor", {})):
     _regress(_name, **_p)
 
 

@@ -57,7 +57,7 @@ _row("first_derivative", lambda x: P.smooth(x, WIDTH, 7, 2, 1), _applied(kernels
 _row("second_derivative", lambda x: P.smooth(x, WIDTH, 9, 3, 2), _applied(kernels.savgol(WIDTH, 9, 3, 2)))
 _row("gaussian", lambda x: P.gaussian_smoothing(x, WIDTH), _applied(kernels.gaussian(WIDTH)))
 _row("polynomial_baseline", lambda x: P.polynomial_baseline(x, WIDTH, 2), "WITH $LONG, t AS (SELECT *, band - 31.5e0 AS u, (band - 31.5e0) ** 2 - 341.25e0 AS q FROM cells), c AS (SELECT sample_idx, avg(v) AS a, sum(v * u) / sum(u * u) AS b, sum(v * q) / sum(q * q) AS d FROM t GROUP BY ALL) SELECT sample_idx, band, R(v - (a + b * u + d * q)) AS v FROM t JOIN c USING (sample_idx)")
-_row("rubberband", P.rubberband_baseline, None)
+_row("rubberband", P.rubberband_baseline, "WITH $LONG, h AS (SELECT a.sample_idx, m.band, min(a.v + (b.v - a.v) * (m.band - a.band) / (b.band - a.band)) AS h FROM cells a JOIN cells b ON a.sample_idx = b.sample_idx AND a.band < b.band JOIN (SELECT unnest(range(64)) AS band) m ON m.band BETWEEN a.band AND b.band GROUP BY ALL) SELECT sample_idx, c.band, R(v - h) AS v FROM cells c JOIN h USING (sample_idx, band)")
 _row("als", lambda x: P.als_baseline(x), None)
 _row("band_select", lambda x: P.take_bands(x, P.band_positions(list(range(900, 900 + 10 * WIDTH, 10)), P.parse_ranges("1000:950,1400:1450"))), "WITH $LONG, k AS (SELECT *, 900 + 10 * band AS nm FROM cells), s AS (SELECT *, row_number() OVER (PARTITION BY sample_idx ORDER BY band) - 1 AS pos FROM k WHERE nm BETWEEN 950 AND 1000 OR nm BETWEEN 1400 AND 1450) SELECT sample_idx, pos::INT AS band, R(v) AS v FROM s")
 _row("band_remove", lambda x: P.take_bands(x, P.band_positions(list(range(900, 900 + 10 * WIDTH, 10)), P.parse_ranges("1000:1400"), keep=False)), "WITH $LONG, k AS (SELECT *, 900 + 10 * band AS nm FROM cells), s AS (SELECT *, row_number() OVER (PARTITION BY sample_idx ORDER BY band) - 1 AS pos FROM k WHERE nm NOT BETWEEN 1000 AND 1400) SELECT sample_idx, pos::INT AS band, R(v) AS v FROM s")

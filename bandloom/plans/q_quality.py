@@ -131,9 +131,9 @@ def drop_duplicates(spark, sf):
     return Q.drop_duplicates(_with_copies(spark, sf)).select("sample_idx")
 
 
-@query("qc_duplicate_groups", "WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_custkey AS b FROM orders WHERE o_orderkey < 400 AND o_orderkey <> o_custkey), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.other) SELECT node, min(other) AS component FROM r GROUP BY node")
+@query("qc_duplicate_groups", "WITH RECURSIVE e AS MATERIALIZED (SELECT o_orderkey AS a, o_custkey AS b FROM orders WHERE o_orderkey <> o_custkey UNION SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey <> o_custkey), c(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION (SELECT e.b, min(c.component) FROM c JOIN e ON e.a = c.node JOIN recurring.c AS old ON old.node = e.b WHERE c.component < old.component GROUP BY e.b)) SELECT node, component FROM c")
 def duplicate_groups(spark, sf):
-    pairs = layout.table(spark, sf, "orders").where("o_orderkey < 400 AND o_orderkey <> o_custkey").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
+    pairs = layout.table(spark, sf, "orders").where("o_orderkey <> o_custkey").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
     return Q.duplicate_groups(pairs)
 
 
@@ -149,7 +149,7 @@ def mahalanobis(spark, sf):
 
 @query("qc_resampled_outliers")
 def resampled(spark, sf):
-    return Q.resampled_outliers(layout.spectra(spark, sf), runs=20)
+    return Q.resampled_outliers(layout.spectra(spark, sf))
 
 
 @query("qc_intensity_mad", "WITH m AS (SELECT vec_id AS sample_idx, list_sum(list_transform(embedding, lambda v: v::DOUBLE)) / 64 AS v FROM embeddings), a AS (SELECT median(v) AS med FROM m), b AS (SELECT median(abs(v - med)) AS mad FROM m, a) SELECT sample_idx, R((v - med) / (1.4826 * mad)) AS score, abs((v - med) / (1.4826 * mad)) > 3.5 AS flag FROM m, a, b")

@@ -3,24 +3,17 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from .. import layout
+from ..functions.shared import scratch
 from ..functions.spectral import r6
 from ..operators import project as P
 from ..registry import query
 from ..sources import containers, package, text
 
 
-def scratch(spark) -> str:
-    """A new path in the shared folder; one of our own only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="bandloom-read-")
-    return f"{base.rstrip('/')}/read-{uuid.uuid4().hex}"
-
-
 def put(spark, path: str, content: bytes) -> str:
     hadoop = spark._jvm.org.apache.hadoop.fs
     p = hadoop.Path(path)
@@ -30,25 +23,34 @@ def put(spark, path: str, content: bytes) -> str:
     return path
 
 
-def _wide(spark, sf, n=64):
-    """The first spectra as wide rows of texts; a small test file."""
-    rows = layout.table(spark, sf, "embeddings").where("vec_id < 40").orderBy("vec_id").collect()
-    return [[f"s{r['vec_id']}", str(r["label"]), *(f"{v:.5f}" for v in r["embedding"][:n])] for r in rows]
+BANDS = 64
+
+
+def _rows(spark, sf):
+    """The embeddings as vec_id, sample_id, label and an array of texts."""
+    return layout.table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("s"), F.col("vec_id")).alias("sample_id"), F.col("label").cast("string").alias("label"), F.transform("embedding", lambda v: F.format_string("%.5f", v.cast("double"))).alias("t"))
+
+
+def _written(spark, path, head, lines):
+    """A folder with one text file: the head, then the values of (k, value) in order."""
+    top = spark.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "k long, value string")
+    lines.select(F.col("k").cast("long").alias("k"), "value").unionByName(top).repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    return path
 
 
 def _cells(df, key="sample_id"):
     return df.select(key, F.posexplode("x").alias("band", "v")).select(key, "band", r6(F.col("v")).alias("v"))
 
 
-_WIDE = "w AS (SELECT vec_id, 's' || vec_id AS sample_id, label::VARCHAR AS label, embedding FROM embeddings WHERE vec_id < 40), c AS (SELECT sample_id, label, unnest(range(64))::INT AS band, round(unnest(embedding)::DOUBLE, 5) AS v FROM w)"
+_WIDE = f"w AS (SELECT vec_id, 's' || vec_id AS sample_id, label::VARCHAR AS label, embedding FROM embeddings), c AS (SELECT vec_id, sample_id, label, unnest(range({BANDS}))::INT AS band, round(unnest(embedding)::DOUBLE, 5) AS v FROM w)"
 
 
 @query("read_delimited", f"WITH {_WIDE} SELECT sample_id, label, band, R(v) AS v FROM c")
 def read_delimited(spark, sf):
     """Preamble, header with units, semicolons and decimal commas."""
-    head = ["sample_id", "class", *(f"{900 + 10 * i} nm" for i in range(64))]
-    body = ["# instrument x", "# operator y", ";".join(head), *(";".join(r[:2] + [v.replace(".", ",") for v in r[2:]]) for r in _wide(spark, sf))]
-    path = put(spark, scratch(spark) + "/data.csv", "\n".join(body).encode())
+    head = ["# instrument x", "# operator y", ";".join(["sample_id", "class", *(f"{900 + 10 * i} nm" for i in range(BANDS))])]
+    cells = F.transform("t", lambda v: F.replace(v, F.lit("."), F.lit(",")))
+    path = _written(spark, scratch(spark) + "/data.csv", head, _rows(spark, sf).select(F.col("vec_id").alias("k"), F.concat_ws(";", "sample_id", "label", cells).alias("value")))
     sample = text.preview(spark, path)
     d = text.sniff_delimiter(sample[2:])
     df = text.read_delimited(spark, path, delimiter=d, header_rows=[text.header_row(sample, d)])
@@ -58,64 +60,69 @@ def read_delimited(spark, sf):
 
 @query("read_whitespace", f"WITH {_WIDE} SELECT sample_id, label AS class, R(v) AS v FROM c WHERE band = 0")
 def read_whitespace(spark, sf):
-    path = put(spark, scratch(spark) + "/data.txt", "\n".join(["sample_id  class   v", *(f"{r[0]}   {r[1]} {r[2]}" for r in _wide(spark, sf, 1))]).encode())
+    path = _written(spark, scratch(spark) + "/data.txt", ["sample_id  class   v"], _rows(spark, sf).select(F.col("vec_id").alias("k"), F.concat(F.col("sample_id"), F.lit("   "), F.col("label"), F.lit(" "), F.col("t")[0]).alias("value")))
     return text.read_whitespace(spark, path).select("sample_id", "class", r6(layout.number(F.col("v"))).alias("v"))
 
 
 @query("read_multirow_header", f"WITH {_WIDE} SELECT sample_id, label AS class, R(max(v) FILTER (band = 0)) AS b0, R(max(v) FILTER (band = 1)) AS b1 FROM c GROUP BY ALL")
 def read_multirow(spark, sf):
-    body = ["meta,meta,spectra,spectra", "sample_id,class,band_0,band_1", *(",".join(r) for r in _wide(spark, sf, 2))]
-    path = put(spark, scratch(spark) + "/data.csv", "\n".join(body).encode())
+    path = _written(spark, scratch(spark) + "/data.csv", ["meta,meta,spectra,spectra", "sample_id,class,band_0,band_1"], _rows(spark, sf).select(F.col("vec_id").alias("k"), F.concat_ws(",", "sample_id", "label", F.slice("t", 1, 2)).alias("value")))
     df = text.read_delimited(spark, path, delimiter=",", header_rows=[0, 1])
     return df.select("sample_id", "class", r6(layout.number(F.col("band_0"))).alias("b0"), r6(layout.number(F.col("band_1"))).alias("b1"))
 
 
-@query("read_row_range", f"WITH {_WIDE} SELECT sample_id, R(v) AS v FROM c WHERE band = 0 AND substr(sample_id, 2)::INT BETWEEN 5 AND 20")
+def _short(spark, sf):
+    return _rows(spark, sf).select(F.col("vec_id").alias("k"), "sample_id", "label", F.col("t")[0].alias("v"))
+
+
+@query("read_row_range", f"WITH {_WIDE} SELECT sample_id, R(v) AS v FROM c WHERE band = 0 AND vec_id BETWEEN 5 AND 20")
 def read_row_range(spark, sf):
-    path = put(spark, scratch(spark) + "/data.csv", "\n".join(["sample_id,class,v", *(",".join(r) for r in _wide(spark, sf, 1))]).encode())
+    path = _written(spark, scratch(spark) + "/data.csv", ["sample_id,class,v"], _short(spark, sf).select("k", F.concat_ws(",", "sample_id", "label", "v").alias("value")))
     df = text.read_delimited(spark, path, delimiter=",", header_rows=[0], data_start=6, data_end=21)
     return df.select("sample_id", r6(layout.number(F.col("v"))).alias("v"))
 
 
-@query("read_headerless", f"WITH {_WIDE} SELECT substr(sample_id, 2)::BIGINT AS row_number, sample_id, R(v) AS v FROM c WHERE band = 0")
+@query("read_headerless", f"WITH {_WIDE} SELECT vec_id AS row_number, sample_id, R(v) AS v FROM c WHERE band = 0")
 def read_headerless(spark, sf):
-    path = put(spark, scratch(spark) + "/data.tsv", "\n".join("\t".join(r) for r in _wide(spark, sf, 1)).encode())
+    path = _written(spark, scratch(spark) + "/data.tsv", [], _short(spark, sf).select("k", F.concat_ws("\t", "sample_id", "label", "v").alias("value")))
     df = text.read_delimited(spark, path, header_rows=[])
     return df.select(F.col("_row").cast("long").alias("row_number"), F.col("column_0").alias("sample_id"), r6(layout.number(F.col("column_2"))).alias("v"))
 
 
 @query("read_transposed", f"WITH {_WIDE} SELECT sample_id, band, R(v) AS v FROM c")
 def read_transposed(spark, sf):
-    rows = _wide(spark, sf)
-    body = [",".join(["band", *(r[0] for r in rows)]), *(",".join([str(900 + 10 * i), *(r[2 + i] for r in rows)]) for i in range(64))]
-    df = text.read_delimited(spark, put(spark, scratch(spark) + "/data.csv", "\n".join(body).encode()), delimiter=",")
+    cells = _rows(spark, sf).select("vec_id", "sample_id", F.posexplode("t").alias("band", "v"))
+    line = lambda own: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", own))), lambda c: c[own]), ",")
+    head = cells.where("band = 0").agg(line("sample_id").alias("ids")).first()["ids"]
+    body = cells.groupBy("band").agg(line("v").alias("v")).select(F.col("band").alias("k"), F.concat_ws(",", (900 + 10 * F.col("band")).cast("string"), "v").alias("value"))
+    df = text.read_delimited(spark, _written(spark, scratch(spark) + "/data.csv", [f"band,{head}"], body), delimiter=",")
     return _cells(text.read_transposed(df, "band"))
 
 
-@query("read_folder", f"WITH {_WIDE} SELECT 'class_' || label AS label, sample_id, band, R(v) AS v FROM c WHERE substr(sample_id, 2)::INT < 12")
+@query("read_folder", f"WITH {_WIDE} SELECT 'class_' || label AS label, sample_id, band, R(v) AS v FROM c")
 def read_folder(spark, sf):
     base = scratch(spark)
-    for r in _wide(spark, sf)[:12]:
-        put(spark, f"{base}/class_{r[1]}/{r[0]}.csv", "\n".join(["wavelength,intensity", *(f"{900 + 10 * i},{v}" for i, v in enumerate(r[2:]))]).encode())
+    for r in _rows(spark, sf).toLocalIterator():
+        put(spark, f"{base}/class_{r['label']}/{r['sample_id']}.csv", "\n".join(["wavelength,intensity", *(f"{900 + 10 * i},{v}" for i, v in enumerate(r["t"]))]).encode())
     df = text.read_folder(spark, base, label="folder")
     return df.select("label", "sample_id", F.posexplode("x").alias("band", "v")).select("label", "sample_id", "band", r6(F.col("v")).alias("v"))
 
 
-@query("read_axis_and_ids", "SELECT i::BIGINT AS position, 's' || i AS sample_id, 900e0 + 10 * i AS axis FROM (SELECT unnest(range(40)) AS i)")
+@query("read_axis_and_ids", f"SELECT vec_id AS position, 's' || vec_id AS sample_id, 900e0 + 10 * (vec_id % {BANDS}) AS axis FROM embeddings")
 def read_axis_and_ids(spark, sf):
     base = scratch(spark)
-    values = text.read_axis(spark, put(spark, base + "/bands.csv", "\n".join(["band", *(str(900 + 10 * i) for i in range(40))]).encode()), 40)
-    ids = text.read_ids(spark, put(spark, base + "/ids.csv", "\n".join(["sample_id", *(f"s{i}" for i in range(40))]).encode()))
-    return ids.select(F.col("_row").cast("long").alias("position"), "sample_id", F.array(*(F.lit(v) for v in values))[F.col("_row")].alias("axis"))
+    values = text.read_axis(spark, put(spark, base + "/bands.csv", "\n".join(["band", *(str(900 + 10 * i) for i in range(BANDS))]).encode()), BANDS)
+    ids = text.read_ids(spark, _written(spark, base + "/ids.csv", ["sample_id"], _short(spark, sf).select("k", F.col("sample_id").alias("value"))))
+    return ids.select(F.col("_row").cast("long").alias("position"), "sample_id", F.array(*(F.lit(v) for v in values))[(F.col("_row") % BANDS).cast("int")].alias("axis"))
 
 
-@query("read_npz", "SELECT vec_id AS sample_idx, R(embedding[3]::DOUBLE) AS v FROM embeddings WHERE vec_id < 40")
+@query("read_npz", "SELECT vec_id AS sample_idx, R(embedding[3]::DOUBLE) AS v FROM embeddings")
 def read_npz(spark, sf):
     import io
 
     import numpy as np
 
-    rows = layout.table(spark, sf, "embeddings").where("vec_id < 40").orderBy("vec_id").collect()
+    rows = layout.table(spark, sf, "embeddings").orderBy("vec_id").collect()  # a container is one array
     buffer = io.BytesIO()
     np.savez(buffer, X=np.array([r["embedding"] for r in rows], np.float32), wavelength=np.arange(64.0))
     df = containers.read_matrix(spark, put(spark, scratch(spark) + "/data.npz", buffer.getvalue()))
@@ -174,13 +181,16 @@ def column_summary(spark, sf):
     return P.column_summary(layout.table(spark, sf, "events"), ["value", "event_type"])
 
 
-@query("header_evidence", "SELECT * FROM (VALUES ('id', 'No.'), ('label', 'Class'), ('metadata', 'batch'), ('band', '900 nm'), ('band', 'wl_1000.5'), ('band', '-3'), ('band', 'band_7')) t(role, \"column\")")
+_EVIDENCE = {
+    "id": ["Sample_ID", "Unnamed: 0", "样品编号", "my sample", "name"], "label": ["Class", "type", "产地", "等级"], "target": ["Target_1", "protein content", "value", "水分含量"],
+    "metadata": ["No.", "batch", "仪器", "Notes"], "band": ["900 nm", "wl_1000.5", "band_7", "4000cm-1", "1200 cm⁻¹", "850 cm1"],
+}
+
+
+@query("header_evidence", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{c}')" for r, cs in _EVIDENCE.items() for c in cs) + ") t(role, \"column\")")
 def header_evidence(spark, sf):
-    """Header predicates as SQL expressions over a table of names."""
-    names = spark.createDataFrame([(c,) for c in ("No.", "Class", "batch", "900 nm", "wl_1000.5", "-3", "band_7", "remarks", "9a")], "column string")
-    low = F.lower(F.trim("column"))
-    role = F.when(low.isin(*P.ID_NAMES), "id").when(low.isin(*P.LABEL_NAMES), "label").when(low.isin(*P.METADATA_NAMES), "metadata").when(F.trim("column").rlike(P.BAND_HEADER), "band")
-    return names.select(role.alias("role"), "column").where("role is not null")
+    found = P.evidence([*(c for cs in _EVIDENCE.values() for c in cs), "-3", "9a", "Remark 2", "typ"])
+    return spark.createDataFrame([(r, c) for r, cs in found.items() for c in cs], "role string, column string")
 
 
 @query("feature_band_indices", "WITH $LONG, s(k, band) AS (VALUES (0, 1), (1, 3), (2, 4), (3, 5), (4, 7), (5, 6)) SELECT sample_idx, k::INT AS band, R(v) AS v FROM cells JOIN s USING (band)")
@@ -191,10 +201,10 @@ def band_indices(spark, sf):
     return _cells(df.withColumn("x", take_bands(F.col("x"), P.band_indices("1,3:5,7-6", 64))), "sample_idx")
 
 
-@query("pivot_measurements", "SELECT l_orderkey AS sample_idx, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1)::INT AS band, R(l_quantity) AS v FROM lineitem WHERE l_orderkey % 10 = 1")
+@query("pivot_measurements", "SELECT l_orderkey AS sample_idx, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1)::INT AS band, R(l_quantity) AS v FROM lineitem")
 def pivot_measurements(spark, sf):
     """Long measurements to arrays and back: a ragged table keeps its rows."""
-    long = layout.table(spark, sf, "lineitem").where("l_orderkey % 10 = 1").select(F.col("l_orderkey").alias("sample_idx"), (F.col("l_linenumber") - 1).alias("band"), F.col("l_quantity").alias("v"))
+    long = layout.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample_idx"), (F.col("l_linenumber") - 1).alias("band"), F.col("l_quantity").alias("v"))
     arrays = layout.to_array(long, "sample_idx")
     return layout.to_long(arrays, "sample_idx").select("sample_idx", "band", r6(F.col("v")).alias("v"))
 

@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import layout
+from ..functions.shared import scratch
 from ..functions.spectral import r6
 from ..operators import search as S
 from ..registry import query
 from ..streaming import inference
 from . import workflow
-from .q_read import scratch
 
 _SPACE = S.SPACES["pipeline"]
 _UNNEST = ", ".join(f"(SELECT unnest({v!r}) AS {k}, unnest(range({len(v)})) AS {k}_i)" for k, v in _SPACE.items())

@@ -8,7 +8,7 @@ from .. import layout
 from ..functions.spectral import r6
 from ..operators import joins as J
 from ..operators import split as D
-from ..registry import query
+from ..registry import LONG, query
 
 
 def _h(seed: str, key: str = "vec_id") -> str:
@@ -24,7 +24,18 @@ def split_random(spark, sf):
     return D.random_split(layout.spectra(spark, sf), D.parse_ratio("6:2:2"))
 
 
-@query("split_stratified")
+def _by_class(train: float, seed: str, repeats: str = "(SELECT 0 AS it)", total: bool = True) -> str:
+    """DuckDB: two parts cut in each class by its own counts; single samples then move so that the totals are those of the whole."""
+    cut = lambda n: f"(greatest(1, floor({n} * {train} + 1e-9)) + CASE WHEN greatest(1, floor({n} * {train} + 1e-9)) + greatest(1, floor({n} * (1 - {train}) + 1e-9)) < {n} AND {n} * {train} - greatest(1, floor({n} * {train} + 1e-9)) >= {n} * (1 - {train}) - greatest(1, floor({n} * (1 - {train}) + 1e-9)) THEN 1 ELSE 0 END)::INT"
+    return f"""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), b AS (SELECT label, n, {cut("n")} AS t FROM c),
+        w AS (SELECT sum(t) - {cut("sum(n)")} AS d FROM b),
+        m AS (SELECT label, t, d, row_number() OVER (ORDER BY CASE WHEN d > 0 THEN t - n * {train} ELSE n - t - n * (1 - {train}) END DESC, label::VARCHAR DESC) AS k FROM b, w),
+        e AS (SELECT label, t - CASE WHEN {total} AND k <= abs(d) THEN sign(d) ELSE 0 END AS t FROM m),
+        r AS (SELECT it, label, vec_id, row_number() OVER (PARTITION BY it, label ORDER BY {_h(seed)}, vec_id) AS place FROM embeddings, {repeats})
+        """
+
+
+@query("split_stratified", _by_class(0.7, "'42'") + "SELECT vec_id AS sample_idx, CASE WHEN place <= t THEN 'train' ELSE 'test' END AS role FROM r JOIN e USING (label)")
 def split_stratified(spark, sf):
     return D.stratified_split(layout.spectra(spark, sf), D.parse_ratio("7:3"))
 
@@ -55,7 +66,7 @@ def split_monte_carlo(spark, sf):
     return D.monte_carlo(layout.spectra(spark, sf), 4, D.parse_ratio("8:2"))
 
 
-@query("split_stratified_monte_carlo")
+@query("split_stratified_monte_carlo", _by_class(0.8, "(it + 41)::VARCHAR", "(SELECT unnest(range(1, 4)) AS it)", False) + "SELECT it::INT AS iteration_id, CASE WHEN place <= t THEN 'train' ELSE 'test' END AS role, vec_id AS sample_idx FROM r JOIN e USING (label)")
 def split_stratified_monte_carlo(spark, sf):
     return D.monte_carlo(layout.spectra(spark, sf), 3, D.parse_ratio("8:2"), label="label")
 
@@ -72,17 +83,34 @@ def split_group(spark, sf):
     return D.group_split(df, D.parse_ratio("7:3"), "batch")
 
 
-@query("split_balanced_groups")
+@query("split_balanced_groups", """WITH RECURSIVE g AS MATERIALIZED (SELECT vec_id % 23 AS g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, (vec_id % 23)::VARCHAR) AS k FROM embeddings GROUP BY 1),
+    r AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS g, NULL::VARCHAR AS role, sum(n) * 0.6e0 AS a, sum(n) * 0.2e0 AS b, sum(n) * 0.2e0 AS c FROM g
+        UNION ALL SELECT g.k, g.g, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'val' ELSE 'test' END, a - CASE WHEN a >= b AND a >= c THEN n ELSE 0 END, b - CASE WHEN NOT (a >= b AND a >= c) AND b >= c THEN n ELSE 0 END, c - CASE WHEN NOT (a >= b AND a >= c) AND b < c THEN n ELSE 0 END FROM r JOIN g ON g.k = r.k + 1)
+    SELECT vec_id AS sample_idx, role FROM embeddings JOIN r ON r.g = vec_id % 23""")
 def split_balanced_groups(spark, sf):
     return D.balanced_groups(layout.spectra(spark, sf).withColumn("batch", F.col("sample_idx") % 23), D.parse_ratio("6:2:2"), "batch")
 
 
-@query("split_kennard_stone")
+def _sequential(away: str, more: str = "") -> str:
+    """DuckDB: the max-min selection as a recursion over a list of least distances; chosen samples have -1."""
+    return f"""WITH RECURSIVE {LONG}, s AS (SELECT band, avg(v) AS m, CASE WHEN stddev_samp(v) > 0 THEN stddev_samp(v) ELSE 1 END AS s FROM cells GROUP BY band),
+        z AS (SELECT sample_idx, list((v - m) / s ORDER BY band) AS z FROM cells JOIN s USING (band) GROUP BY sample_idx), o AS MATERIALIZED (SELECT sample_idx, z, row_number() OVER (ORDER BY sample_idx) AS i FROM z){more},
+        p AS MATERIALIZED (SELECT a.i AS i, b.i AS j, sqrt(list_sum(list_transform(list_zip(a.z, b.z), lambda t: (t[1] - t[2]) ** 2))) AS x, a.sample_idx AS ia, b.sample_idx AS ib FROM o a, o b),
+        d AS MATERIALIZED (SELECT i, list({away} ORDER BY j) AS d FROM p GROUP BY i), m AS MATERIALIZED (SELECT list(d ORDER BY i) AS m FROM d),
+        f AS (SELECT i AS a, list_position(d, list_max(d)) AS b, list_max(d) AS far FROM d ORDER BY far DESC, i LIMIT 1),
+        r AS (SELECT 2 AS k, a AS pick, list_transform(range(1, len(m) + 1), lambda j: CASE WHEN j = a OR j = b THEN -1e0 ELSE least(m[a][j], m[b][j]) END) AS near, b AS other FROM f, m
+            UNION ALL SELECT k + 1, list_position(near, list_max(near)), list_transform(range(1, len(near) + 1), lambda j: CASE WHEN near[j] < 0 OR near[j] = list_max(near) AND j = list_position(near, list_max(near)) THEN -1e0 ELSE least(near[j], m[list_position(near, list_max(near))][j]) END), NULL
+            FROM r, m WHERE k < floor(len(near) * 0.7 + 1e-9)),
+        t AS (SELECT pick AS i FROM r UNION SELECT other FROM r WHERE other IS NOT NULL)
+        SELECT sample_idx, CASE WHEN t.i IS NULL THEN 'test' ELSE 'train' END AS role FROM o LEFT JOIN t USING (i)"""
+
+
+@query("split_kennard_stone", _sequential("x"))
 def split_kennard_stone(spark, sf):
     return D.kennard_stone(layout.spectra(spark, sf), D.parse_ratio("7:3"))
 
 
-@query("split_spxy")
+@query("split_spxy", _sequential("x / (SELECT max(x) FROM p) + abs(ya.y - yb.y) / (SELECT max(y) - min(y) FROM y)", ", y AS (SELECT vec_id, embedding[1]::DOUBLE * 2 + embedding[5]::DOUBLE AS y FROM embeddings)").replace("FROM p GROUP BY i)", "FROM p JOIN y ya ON ya.vec_id = ia JOIN y yb ON yb.vec_id = ib GROUP BY i)"))
 def split_spxy(spark, sf):
     return D.kennard_stone(layout.spectra(spark, sf).withColumn("y", F.col("x")[0] * 2 + F.col("x")[4]), D.parse_ratio("7:3"), y="y")
 
@@ -161,9 +189,9 @@ def join_class_means(spark, sf):
     return J.class_distances(df.where("role = 'train'"), df.where("role = 'test'")).withColumn("distance", r6(F.col("distance")))
 
 
-@query("join_distance_matrix", "WITH u AS (SELECT vec_id AS i, unnest(range(64)) AS band, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE label = 3) SELECT a.i AS a, b.i AS b, R(sqrt(sum((a.v - b.v) ** 2))) AS distance FROM u a JOIN u b ON a.band = b.band AND a.i < b.i GROUP BY ALL")
+@query("join_distance_matrix", "WITH u AS (SELECT vec_id AS i, unnest(range(64)) AS band, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT a.i AS a, b.i AS b, R(sqrt(sum((a.v - b.v) ** 2))) AS distance FROM u a JOIN u b ON a.band = b.band AND a.i < b.i GROUP BY ALL")
 def join_distance_matrix(spark, sf):
-    return J.distance_matrix(layout.spectra(spark, sf).where("label = 3")).withColumn("distance", r6(F.col("distance")))
+    return J.distance_matrix(layout.spectra(spark, sf)).withColumn("distance", r6(F.col("distance")))
 
 
 @query("join_grid", "SELECT r_name, n_name, part_kind FROM region, nation, (SELECT unnest(['x', 'y']) AS part_kind)")

@@ -1,7 +1,8 @@
 """Delimited text, whitespace tables, transposed tables and folders with one file per sample.
 
-Line numbers come from Spark's reading order of a single file, so a preamble, a header row or a
-row range can be cut by number; files are read by Spark alone, never by open().
+Lines are numbered over the splits of a file: each line's place in its split plus the lines of the
+splits before it, so a preamble, a header row or a row range can be cut by number while a large file is
+read by many tasks. Files are read by Spark alone, never by open().
 """
 
 from __future__ import annotations
@@ -19,12 +20,24 @@ from ..layout import number
 
 
 def lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """(n, value): the lines of one file with their number from 0."""
-    raw = spark.read.text(path, wholetext=True) if encoding.lower() in ("utf-8", "utf8") else None
-    if raw is None:
+    """(n, value): the lines of one file with their number from 0. Encodings other than UTF-8 are read as a whole."""
+    if encoding.lower() not in ("utf-8", "utf8"):
         raw = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("value"))
-    body = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
-    return raw.select(F.posexplode(F.split(F.regexp_replace(body, "\n$", ""), "\n")).alias("n", "value"))
+        body = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "\r\n?", "\n")
+        return raw.select(F.posexplode(F.split(F.regexp_replace(body, "\n$", ""), "\n")).alias("n", "value"))
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    # a row per split of the file
+    splits = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("lines")).orderBy("file", "block").collect()
+    shift, before = [], 0
+    for r in splits:
+        shift.append((r["file"], r["block"], before - r["first"]))
+        before += r["lines"]
+    if len(shift) < 2:
+        numbered = raw.select((F.col("id") + (shift[0][2] if shift else 0)).alias("n"), "value")
+    else:
+        known = spark.createDataFrame(shift, "file string, block long, shift long")
+        numbered = raw.join(F.broadcast(known), ["file", "block"]).select((F.col("id") + F.col("shift")).alias("n"), "value")
+    return numbered.select("n", F.when(F.col("n") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("value"))
 
 
 def preview(spark: SparkSession, path: str, limit: int = 30, encoding: str = "utf-8") -> list[str]:
