@@ -10,6 +10,7 @@ from ..operators import feature as X
 from ..operators import metrics as E
 from ..operators import model as M
 from ..registry import query
+from .sqlkit import solved
 
 
 def _train(df):
@@ -77,14 +78,64 @@ def _projection(name, f):
     query(f"feature_{name}")(lambda spark, sf: _cells(f(spark, sf)))
 
 
-_projection("pca", lambda spark, sf: X.pca(_train(df := layout.spectra(spark, sf))).transform(df))
-_projection("lda", lambda spark, sf: X.lda_projection(_train(df := layout.spectra(spark, sf))).transform(df))
-_projection("pls", lambda spark, sf: X.pls_latent(_train(df := layout.spectra(spark, sf)), 5).transform(df))
-_projection("kernel_pca", lambda spark, sf: X.kernel_pca(_train(df := layout.spectra(spark, sf)), 5).transform(df))
-_projection("sparse_pca", lambda spark, sf: X.sparse_pca(_train(df := layout.spectra(spark, sf)), 5).transform(df))
-_projection("ica", lambda spark, sf: X.ica(_train(df := layout.spectra(spark, sf)), 5).transform(df))
-_projection("nmf", lambda spark, sf: X.nmf(_train(df := layout.spectra(spark, sf).withColumn("x", F.transform("x", lambda v: v + 1))), 5).transform(df))
-_projection("dictionary", lambda spark, sf: X.dictionary_learning(_train(df := layout.spectra(spark, sf)), 5).transform(df))
+def _scores(projection, df):
+    """Long scores of the training rows by a projection that was fitted on them."""
+    return layout.to_long(_train(projection.transform(df)), "sample_idx", "label")
+
+
+def _covariances(long, *keys):
+    """(keys, i, j, v): population covariances of the scores for i <= j."""
+    a, b = (long.select("sample_idx", *keys, F.col("band").alias(c), F.col("v").alias(f"v_{c}")) for c in "ij")
+    both = a.join(b, ["sample_idx", *keys]).where("i <= j")
+    return both.groupBy(*keys, "i", "j").agg((F.avg(F.col("v_i") * F.col("v_j")) - F.avg("v_i") * F.avg("v_j")).alias("v"), F.count(F.lit(1)).alias("n"))
+
+
+@query("feature_pca", "WITH $LONG, m AS (SELECT band, avg(v) AS m FROM cells WHERE role = 'train' GROUP BY band) SELECT 'norm' AS what, sample_idx AS i, 0::BIGINT AS j, R(sum((v - m) ** 2)) AS v FROM cells JOIN m USING (band) GROUP BY ALL UNION ALL SELECT 'covariance', a.i, b.i, 0e0 FROM (SELECT unnest(range(64)) AS i) a JOIN (SELECT unnest(range(64)) AS i) b ON a.i < b.i")
+def feature_pca(spark, sf):
+    """All components of the whole table: lengths stay as they are (the components are orthonormal), and training scores are uncorrelated."""
+    df = layout.spectra(spark, sf)
+    fitted = X.pca(_train(df), 64)
+    norms = layout.to_long(fitted.transform(df), "sample_idx").groupBy("sample_idx").agg(F.sum(F.col("v") * F.col("v")).alias("v")).select(F.lit("norm").alias("what"), F.col("sample_idx").alias("i"), F.lit(0).cast("long").alias("j"), r6(F.col("v")).alias("v"))
+    apart = _covariances(_scores(fitted, df)).where("i < j").select(F.lit("covariance").alias("what"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6(F.col("v")).alias("v"))
+    return norms.unionByName(apart)
+
+
+def _apart(k, same="0e0"):
+    """DuckDB: covariances of k uncorrelated scores."""
+    return f"SELECT a.i::INT AS i, b.i::INT AS j, CASE WHEN a.i = b.i THEN {same} ELSE 0e0 END AS v FROM (SELECT unnest(range({k})) AS i) a JOIN (SELECT unnest(range({k})) AS i) b ON a.i <= b.i"
+
+
+@query("feature_lda", _apart(9, "1e0"))
+def feature_lda(spark, sf):
+    """Scores are uncorrelated with unit variance within the classes, pooled over them."""
+    df = layout.spectra(spark, sf)
+    within = _covariances(_scores(X.lda_projection(_train(df)), df), "label").groupBy("i", "j").agg((F.sum(F.col("v") * F.col("n")) / (F.sum("n") - F.count(F.lit(1)))).alias("v"))
+    return within.select("i", "j", r6(F.col("v")).alias("v"))
+
+
+@query("feature_pls", _apart(10) + " AND a.i < b.i")
+def feature_pls(spark, sf):
+    """The latent scores of the training rows are uncorrelated."""
+    df = layout.spectra(spark, sf)
+    return _covariances(_scores(X.pls_latent(_train(df)), df)).where("i < j").select("i", "j", r6(F.col("v")).alias("v"))
+
+
+@query("feature_kernel_pca", _apart(10) + " AND a.i < b.i")
+def feature_kernel_pca(spark, sf):
+    df = layout.spectra(spark, sf)
+    return _covariances(_scores(X.kernel_pca(_train(df)), df)).where("i < j").select("i", "j", r6(F.col("v")).alias("v"))
+
+
+@query("feature_ica", _apart(10, "1e0"))
+def feature_ica(spark, sf):
+    """Sources of the training rows are uncorrelated with unit variance."""
+    df = layout.spectra(spark, sf)
+    return _covariances(_scores(X.ica(_train(df)), df)).select("i", "j", r6(F.col("v")).alias("v"))
+
+
+_projection("sparse_pca", lambda spark, sf: X.sparse_pca(_train(df := layout.spectra(spark, sf))).transform(df))
+_projection("nmf", lambda spark, sf: X.nmf(_train(df := layout.spectra(spark, sf).withColumn("x", F.transform("x", lambda v: v + 1)))).transform(df))
+_projection("dictionary", lambda spark, sf: X.dictionary_learning(_train(df := layout.spectra(spark, sf))).transform(df))
 _projection("isomap", lambda spark, sf: X.isomap(_train(df := layout.spectra(spark, sf))).transform(df))
 _projection("lle", lambda spark, sf: X.lle(_train(df := layout.spectra(spark, sf))).transform(df))
 
@@ -152,15 +203,24 @@ def model_prototypes(spark, sf):
     return M.prototype_votes(_train(df), df.where("role = 'test'"))
 
 
-def _classify(name, **p):
+def _classify(name, sql=None, **p):
     def run(spark, sf):
         df = layout.spectra(spark, sf)
         return M.fit_model(_train(df), name, **p).predict(df.where("role = 'test'")).select("sample_idx", "y_pred")
 
-    query(f"model_{name}")(run)
+    query(f"model_{name}", sql)(run)
 
 
-for _name, _p in (("lda", {}), ("qda", {"reg_param": 0.5}), ("pls_da", {}), ("simca", {}), ("svm", {}), ("logistic_regression", {}), ("linear_svm", {}), ("random_forest_classifier", {}), ("extra_trees_classifier", {}), ("mlp_classifier", {}), ("proto_spectral_classifier", {"metric": "cosine"})):
+_CLASSES = "t AS (SELECT * FROM cells WHERE role = 'train'), mu AS MATERIALIZED (SELECT label, band, avg(v) AS m, count(*) AS n FROM t GROUP BY ALL), z AS MATERIALIZED (SELECT sample_idx, label, band, v - m AS v FROM t JOIN mu USING (label, band)), total AS (SELECT count(DISTINCT sample_idx)::DOUBLE AS total FROM t)"
+_classify("lda", f"""WITH RECURSIVE $LONG, {_CLASSES}, a AS MATERIALIZED (SELECT 0 AS c, a.band::BIGINT AS i, b.band::BIGINT AS j, sum(a.v * b.v) / any_value(total) AS v FROM z a JOIN z b USING (sample_idx), total GROUP BY ALL
+    UNION ALL SELECT 0, band, 64 + label, m FROM mu), {solved("a", 64)}, w AS (SELECT i AS band, (j - 64)::INT AS label, v AS w FROM g WHERE k = 64 AND j >= 64), b AS (SELECT label, ln(any_value(n) / any_value(total)) - 0.5 * sum(m * w) AS b FROM mu JOIN w USING (label, band), total GROUP BY label),
+    s AS (SELECT sample_idx, w.label, sum(v * w) + any_value(b) AS s FROM cells JOIN w USING (band) JOIN b ON b.label = w.label WHERE role = 'test' GROUP BY ALL) SELECT sample_idx, arg_max(label, s)::VARCHAR AS y_pred FROM s GROUP BY sample_idx""")
+_classify("qda", f"""WITH RECURSIVE $LONG, {_CLASSES}, a AS MATERIALIZED (SELECT a.label AS c, a.band::BIGINT AS i, b.band::BIGINT AS j, 0.5e0 * sum(a.v * b.v) / (count(*) - 1) + any_value(CASE WHEN a.band = b.band THEN 0.5e0 ELSE 0e0 END) AS v FROM z a JOIN z b USING (sample_idx) GROUP BY ALL
+    UNION ALL SELECT m.label, m.band, 64 + sample_idx, v - m FROM mu m JOIN cells c USING (band) WHERE role = 'test'), {solved("a", 64)},
+    d AS (SELECT c AS label, sum(ln(v)) AS d FROM g WHERE k < 64 AND i = k AND j = k GROUP BY c), x AS (SELECT g.c AS label, j - 64 AS sample_idx, sum(g.v * (e.v - m)) AS q FROM g JOIN mu m ON m.label = c AND m.band = i JOIN cells e ON e.sample_idx = j - 64 AND e.band = i WHERE k = 64 AND j >= 64 GROUP BY ALL),
+    p AS (SELECT label, ln(any_value(n) / any_value(total)) AS p FROM mu, total GROUP BY label) SELECT sample_idx, arg_max(label, p - 0.5 * d - 0.5 * q)::VARCHAR AS y_pred FROM x JOIN d USING (label) JOIN p USING (label) GROUP BY sample_idx""", reg_param=0.5)
+_classify("proto_spectral_classifier", "WITH $LONG, m AS (SELECT label AS c, band, avg(v) AS m FROM cells WHERE role = 'train' GROUP BY ALL), d AS (SELECT sample_idx, c, sum(v * m) / sqrt(sum(v * v) * sum(m * m)) AS s FROM cells JOIN m USING (band) WHERE role = 'test' GROUP BY ALL) SELECT sample_idx, arg_max(c, s)::VARCHAR AS y_pred FROM d GROUP BY sample_idx", metric="cosine")
+for _name, _p in (("pls_da", {}), ("simca", {}), ("svm", {}), ("logistic_regression", {}), ("linear_svm", {}), ("random_forest_classifier", {}), ("extra_trees_classifier", {}), ("mlp_classifier", {})):
     _classify(_name, **_p)
 
 
@@ -170,15 +230,64 @@ def model_gbt(spark, sf):
     return M.fit_model(_train(df), "gradient_boosting_classifier", n_estimators=50).predict(df.where("role = 'test'")).select("sample_idx", "y_pred")
 
 
-def _regress(name, **p):
+def _regress(name, sql=None, **p):
     def run(spark, sf):
         df = _with_y(spark, sf)
         return M.fit_model(_train(df), name, "y", **p).predict(df.where("role = 'test'")).select("sample_idx", r6(F.col("y_pred")).alias("y_pred"))
 
-    query(f"model_{name}")(run)
+    query(f"model_{name}", sql)(run)
+
+
+_MOMENTS = f"{_Y}, t AS MATERIALIZED (SELECT sample_idx, band, v, y FROM cells JOIN yy USING (sample_idx) WHERE role = 'train'), mu AS MATERIALIZED (SELECT band, avg(v) AS m, stddev_pop(v) AS s, count(*) AS n, avg(y) AS my FROM t GROUP BY band), z AS MATERIALIZED (SELECT sample_idx, band, (v - m) / s AS v, y - my AS y FROM t JOIN mu USING (band))"
+
+
+def _line_sql(alpha):
+    """DuckDB: least squares on standardised bands with a penalty, solved by elimination."""
+    return f"""WITH RECURSIVE $LONG, {_MOMENTS}, a AS MATERIALIZED (SELECT 0 AS c, a.band::BIGINT AS i, b.band::BIGINT AS j, sum(a.v * b.v) + any_value(CASE WHEN a.band = b.band THEN {alpha} ELSE 0e0 END) AS v FROM z a JOIN z b USING (sample_idx) GROUP BY ALL
+        UNION ALL SELECT 0, band, 64, sum(v * y) FROM z GROUP BY band), {solved("a", 64)}, w AS (SELECT i AS band, v AS w FROM g WHERE k = 64 AND j = 64)
+        SELECT sample_idx, R(any_value(my) + sum((v - m) / s * w)) AS y_pred FROM cells JOIN mu USING (band) JOIN w USING (band) WHERE role = 'test' GROUP BY sample_idx"""
+
+
+_regress("linear_regression", _line_sql("0e0"))
+_regress("ridge", _line_sql("1e0"))
+_regress("proto_spectral_regressor", f"WITH $LONG, {_Y}, tr AS (SELECT DISTINCT sample_idx, y FROM cells JOIN yy USING (sample_idx) WHERE role = 'train'), e AS (SELECT quantile_cont(y, [0.2e0, 0.4e0, 0.6e0, 0.8e0]) AS e FROM tr), k AS (SELECT sample_idx, y, len(list_filter(e, lambda q: q <= y)) AS c FROM tr, e), m AS (SELECT c, band, avg(v) AS m FROM cells JOIN k USING (sample_idx) GROUP BY ALL), u AS (SELECT c, avg(y) AS u FROM k GROUP BY c), d AS (SELECT sample_idx, c, exp(-sqrt(sum((v - m) ** 2))) AS w FROM cells JOIN m USING (band) WHERE role = 'test' GROUP BY ALL) SELECT sample_idx, R(sum(w * u) / sum(w)) AS y_pred FROM d JOIN u USING (c) GROUP BY sample_idx")
+
+
+def _penalised(name, alpha, l1):
+    """A penalised line is right if each band's gradient meets the optimality conditions; ``off`` is by how much it doesn't."""
+
+    def run(spark, sf):
+        df = _train(_with_y(spark, sf))
+        fitted = M.fit_model(df, name, "y", alpha=alpha, **({"l1_ratio": l1} if name == "elastic_net" else {}))
+        rest = fitted.predict(df).withColumn("r", F.col("y") - F.col("y_pred"))
+        sums = layout.to_long(rest, "r").groupBy("band").agg((F.avg(F.col("v") * F.col("r")) - F.avg("v") * F.avg("r")).alias("g"), F.stddev_pop("v").alias("s"))
+        w = F.get(F.array(*(F.lit(float(c)) for c in fitted.state["coef"])), F.col("band")) * F.col("s")
+        pull = F.col("g") / F.col("s") - alpha * (1 - l1) * w
+        off = F.when(w != 0, F.abs(pull - alpha * l1 * F.signum(w))).otherwise(F.greatest(F.abs(pull) - alpha * l1, F.lit(0.0)))
+        return sums.select("band", r6(off).alias("off"))
+
+    query(f"model_{name}", "SELECT unnest(range(64))::INT AS band, 0e0 AS off")(run)
+
+
+_penalised("lasso", 0.01, 1.0)
+_penalised("elastic_net", 0.01, 0.5)
+
+
+def _scored(name, projection):
+    """Residuals of the training rows are uncorrelated with the components that the fit regresses on, and mean zero."""
+
+    def run(spark, sf):
+        df = _train(_with_y(spark, sf))
+        rest = M.fit_model(df, name, "y").predict(df).withColumn("r", F.col("y") - F.col("y_pred"))
+        long = layout.to_long(projection(df).transform(rest), "r")
+        return long.groupBy(F.col("band").alias("component")).agg(r6(F.avg(F.col("v") * F.col("r"))).alias("with_scores"), r6(F.avg("r")).alias("mean"))
+
+    query(f"model_{name}", "SELECT unnest(range(5))::INT AS component, 0e0 AS with_scores, 0e0 AS mean")(run)
 
 
-for _name, _p in (("plsr", {}), ("pcr", {}), ("linear_regression", {}), ("ridge", {}), ("lasso", {"alpha": 0.001}), ("elastic_net", {}), ("bayesian_ridge", {}), ("svr", {}), ("gpr", {}), ("random_forest_regressor", {}), ("extra_trees_regressor", {}), ("gradient_boosting_regressor", {}), ("proto_spectral_regressor", {})):
+_scored("plsr", lambda df: X.pls_latent(df, 5, "y"))
+_scored("pcr", lambda df: X.pca(df, 5))
+for _name, _p in (("bayesian_ridge", {}), ("svr", {}), ("gpr", {}), ("random_forest_regressor", {}), ("extra_trees_regressor", {}), ("gradient_boosting_regressor", {})):
     _regress(_name, **_p)
 
 

@@ -8,6 +8,7 @@ from .. import layout
 from ..functions.spectral import r6
 from ..operators import quality as Q
 from ..registry import query
+from .sqlkit import solved
 
 #: Cells with gaps: every 37th cell (counted along a sample by a fixed rule) is missing.
 GAPS = "gaps AS (SELECT sample_idx, label, role, band, CASE WHEN (sample_idx * 7 + band * 5) % 37 = 0 THEN NULL ELSE v END AS v FROM cells)"
@@ -142,9 +143,11 @@ def pca_distances(spark, sf):
     return Q.pca_distances(layout.spectra(spark, sf))
 
 
-@query("qc_mahalanobis")
+@query("qc_mahalanobis", f"""WITH RECURSIVE $LONG, mu AS (SELECT band, avg(v) AS m FROM cells GROUP BY band), z AS MATERIALIZED (SELECT sample_idx, band, v - m AS v FROM cells JOIN mu USING (band)),
+    a AS MATERIALIZED (SELECT 0 AS c, a.band::BIGINT AS i, b.band::BIGINT AS j, sum(a.v * b.v) / (count(*) - 1) + any_value(CASE WHEN a.band = b.band THEN 1e-9 ELSE 0e0 END) AS v FROM z a JOIN z b USING (sample_idx) GROUP BY ALL UNION ALL SELECT 0, band, 64 + sample_idx, v FROM z), {solved("a", 64)},
+    d AS (SELECT sample_idx, sqrt(sum(g.v * z.v)) AS d FROM g JOIN z ON z.band = i AND z.sample_idx = j - 64 WHERE k = 64 AND j >= 64 GROUP BY sample_idx) SELECT sample_idx, R(d) AS distance, d > (SELECT quantile_cont(d, 0.975) FROM d) AS flag FROM d""")
 def mahalanobis(spark, sf):
-    return Q.mahalanobis(layout.spectra(spark, sf))
+    return Q.mahalanobis(layout.spectra(spark, sf)).withColumn("distance", r6(F.col("distance")))
 
 
 @query("qc_resampled_outliers")
