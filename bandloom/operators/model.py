@@ -79,6 +79,8 @@ class Model:
     name: str
     predict: Callable[[DataFrame], DataFrame]
     state: dict = field(default_factory=dict)
+    kernel: Callable | None = None  #: the NumPy function behind predict, where there is one
+    label: str = "string"
 
 
 def _numpy(name: str, f: Callable[[np.ndarray], dict[str, np.ndarray]], state: dict | None = None, label: str = "string") -> Model:
@@ -89,7 +91,7 @@ def _numpy(name: str, f: Callable[[np.ndarray], dict[str, np.ndarray]], state: d
         probe = f(np.zeros((1, state["width"])))
         return arrow.with_columns(df, f, {c: kinds[c] for c in probe})
 
-    return Model(name, predict, state or {})
+    return Model(name, predict, state or {}, f, label)
 
 
 def _scores(classes: list, z: np.ndarray) -> dict:
@@ -239,7 +241,8 @@ def knn(train: DataFrame, df: DataFrame, k: int = 5, weights: str = "uniform", y
 
 def _knn_model(train: DataFrame, y: str | None = None, n_neighbors: int = 5, weights: str = "uniform", metric: str = "euclidean") -> Model:
     require(metric == "euclidean", "METRIC", "neighbours are taken by Euclidean distance", metric=metric)
-    return Model("knn_regressor" if y else "knn_classifier", lambda df: knn(train, df, n_neighbors, weights, y))
+    kept = train.select("sample_idx", "x", y or "label")
+    return Model("knn_regressor" if y else "knn_classifier", lambda df: knn(kept, df, n_neighbors, weights, y), {"train": kept, "parameters": {"y": y, "n_neighbors": n_neighbors, "weights": weights}})
 
 
 # Linear family: closed forms from moments with the target as one more band.
@@ -414,20 +417,30 @@ def _mllib(name: str, estimator, train: DataFrame, y: str | None) -> Model:
     from .preprocess import fit_bands
 
     fit = fit_bands(train).select("mean", "std").first()
-    safe = [s if s else 1.0 for s in fit["std"]]
-    mean, std = (F.array(*(F.lit(float(v)) for v in values)) for values in (fit["mean"], safe))
-    scaled = lambda df: df.withColumn("_x", array_to_vector(F.zip_with(F.zip_with("x", mean, lambda v, m: v - m), std, lambda v, s: v / s)))
+    mean, std = [float(v) for v in fit["mean"]], [float(s) if s else 1.0 for s in fit["std"]]
+    scaled = _scaled(mean, std)
     estimator = estimator.setFeaturesCol("_x").setPredictionCol("_pred")
     if y:
         fitted = Pipeline(stages=[estimator.setLabelCol("_y")]).fit(scaled(train).withColumn("_y", F.col(y).cast("double")).select("_x", "_y"))
-        return Model(name, lambda df: fitted.transform(scaled(df)).withColumn("y_pred", F.col("_pred")).select(*df.columns, "y_pred"), {"model": fitted})
+        return _mllib_model(name, fitted, mean, std, None)
     classes = sorted(str(r["label"]) for r in train.select("label").distinct().collect())
     order = F.array(*(F.lit(c) for c in classes))
     coded = scaled(train).withColumn("_y", (F.array_position(order, F.col("label").cast("string")) - 1).cast("double"))
     weights = coded.groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
     coded = coded.join(F.broadcast(weights), "_y").withColumn("_w", coded.count() / (len(classes) * F.col("_n")))
-    fitted = estimator.setLabelCol("_y").fit(coded.select("_x", "_y", "_w"))
-    return Model(name, lambda df: fitted.transform(scaled(df)).withColumn("y_pred", F.get(order, F.col("_pred").cast("int"))).select(*df.columns, "y_pred"), {"classes": classes, "model": fitted})
+    return _mllib_model(name, estimator.setLabelCol("_y").fit(coded.select("_x", "_y", "_w")), mean, std, classes)
+
+
+def _scaled(mean: list[float], std: list[float]) -> Callable[[DataFrame], DataFrame]:
+    m, s = (F.array(*(F.lit(v) for v in values)) for values in (mean, std))
+    return lambda df: df.withColumn("_x", array_to_vector(F.zip_with(F.zip_with("x", m, lambda v, a: v - a), s, lambda v, a: v / a)))
+
+
+def _mllib_model(name: str, fitted, mean: list[float], std: list[float], classes: list[str] | None) -> Model:
+    """A fitted MLlib model over standardised bands; with classes, predictions are their names."""
+    scaled = _scaled(mean, std)
+    said = F.get(F.array(*(F.lit(c) for c in classes)), F.col("_pred").cast("int")) if classes else F.col("_pred")
+    return Model(name, lambda df: fitted.transform(scaled(df)).withColumn("y_pred", said).select(*df.columns, "y_pred"), {"model": fitted, "mean": mean, "std": std, "classes": classes})
 
 
 def _ovr(base):

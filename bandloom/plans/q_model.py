@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import layout
+from ..functions.shared import scratch
 from ..functions.spectral import r6
+from ..operators import evaluate as V
 from ..operators import feature as X
 from ..operators import metrics as E
 from ..operators import model as M
+from ..operators import split as D
 from ..registry import query
+from ..sources import bundle as B
+from ..sources import package
 from .sqlkit import solved
 
 
@@ -352,3 +357,51 @@ def metric_entropy(spark, sf):
     d = F.col("event_id") % 5 / 40.0
     df = layout.table(spark, sf, "events").select("event_id", F.array(F.lit(0.5), 0.25 + d, 0.25 - d).alias("probabilities"))
     return E.with_entropy(df).select("event_id", r6(F.col("confidence")).alias("confidence"), r6(F.col("entropy")).alias("entropy"))
+
+
+# Evaluation over folds, and saved bundles.
+
+
+def _nb_sql(cells, part, where, out):
+    """DuckDB: Gaussian naive Bayes of the training cells of each ``part``, and a prediction for its rows that fit ``where``."""
+    return f"""e AS (SELECT {part}, 1e-9 * max(s) AS e FROM (SELECT {part}, band, var_pop(v) AS s FROM {cells} WHERE role = 'train' GROUP BY ALL) GROUP BY {part}), m AS (SELECT {part}, label AS c, band, avg(v) AS m, var_pop(v) + any_value(e) AS s, count(*) AS n FROM {cells} JOIN e USING ({part}) WHERE role = 'train' GROUP BY ALL),
+        l AS (SELECT {part}, sample_idx, any_value(label) AS truth, c, ln(any_value(n)) - 0.5 * sum((v - m) ** 2 / s + ln(2 * pi() * s)) AS l FROM {cells} JOIN m USING ({part}, band) WHERE {where} GROUP BY ALL), {out} AS (SELECT {part}, sample_idx, any_value(truth) AS truth, arg_max(c, l) AS y_pred FROM l GROUP BY ALL)"""
+
+
+_FOLDS = "f AS (SELECT vec_id AS sample_idx, (row_number() OVER (ORDER BY md5(concat('42', ':', vec_id::VARCHAR)), vec_id) - 1) % 5 AS fold FROM embeddings), fc AS (SELECT i AS it, sample_idx, label, band, v, CASE WHEN fold = i THEN 'val' ELSE 'train' END AS role FROM (SELECT sample_idx, label, band, v FROM cells) JOIN f USING (sample_idx), (SELECT unnest(range(5)) AS i))"
+
+
+@query("model_cross_validation", f"WITH $LONG, {_FOLDS}, {_nb_sql('fc', 'it', chr(39).join(['role = ', 'val', '']), 'p')} SELECT 'gaussian_nb' AS model, it::INT AS iteration_id, R(avg((truth = y_pred)::INT)) AS accuracy FROM p GROUP BY it")
+def model_cross_validation(spark, sf):
+    """Five folds, a model fitted in each, scores of all in one aggregate."""
+    df = layout.spectra(spark, sf)
+    _, scores = V.cross_validate(df, D.kfold(df), ["gaussian_nb"])
+    return scores.select("model", "iteration_id", r6(F.col("accuracy")).alias("accuracy"))
+
+
+@query("model_comparison", f"WITH $LONG, {_FOLDS}, {_nb_sql('fc', 'it', chr(39).join(['role = ', 'val', '']), 'p')}, a AS (SELECT it, avg((truth = y_pred)::INT) AS a FROM p GROUP BY it) SELECT 'gaussian_nb' AS model, R(avg(a)) AS mean, R(stddev_samp(a)) AS std, 1 AS rank FROM a")
+def model_comparison(spark, sf):
+    df = layout.spectra(spark, sf)
+    _, scores = V.cross_validate(df, D.kfold(df), ["gaussian_nb"])
+    return V.compare(scores).select("model", r6(F.col("accuracy_mean")).alias("mean"), r6(F.col("accuracy_std")).alias("std"), "rank")
+
+
+@query("bundle_round_trip", f"WITH $LONG, s AS (SELECT sample_idx, label, role, band, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS v, 0 AS it FROM cells WINDOW w AS (PARTITION BY sample_idx)), {_nb_sql('s', 'it', chr(39).join(['role = ', 'test', '']), 'p')} SELECT sample_idx, y_pred::VARCHAR AS y_pred FROM p")
+def bundle_round_trip(spark, sf):
+    """Fitted, saved, loaded, applied."""
+    df = layout.spectra(spark, sf)
+    path = scratch(spark, "bundle")
+    B.save(spark, B.fit_bundle(df, chain=["snv", "mean_centering"], model="gaussian_nb"), path)
+    return B.load(spark, path).predict(df.where("role = 'test'")).select("sample_idx", "y_pred")
+
+
+@query("iteration_round_trip", "SELECT i::INT AS iteration_id, role, count(*) AS n FROM (SELECT i, CASE WHEN fold = i THEN 'val' ELSE 'train' END AS role FROM (SELECT (row_number() OVER (ORDER BY md5(concat('42', ':', vec_id::VARCHAR)), vec_id) - 1) % 5 AS fold FROM embeddings), (SELECT unnest(range(5)) AS i)) WHERE i = 2 GROUP BY ALL")
+def iteration_round_trip(spark, sf):
+    """Rows of all folds written, one fold read back."""
+    df = layout.spectra(spark, sf)
+    splits = D.kfold(df)
+    path = scratch(spark, "iterations")
+    data = df.drop("role").join(splits, "sample_idx")
+    package.write_iterations(data, path)
+    V.match_iterations(package.read_iterations(spark, path), splits)
+    return package.read_iterations(spark, path, 2).groupBy("iteration_id", "role").agg(F.count(F.lit(1)).alias("n"))

@@ -105,6 +105,36 @@ def write_iterations(df: DataFrame, path: str, *, overwrite: bool = False) -> No
     df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("iteration_id", "role").parquet(path)
 
 
+def read_iterations(spark: SparkSession, path: str, iteration_id=None, role: str | None = None) -> DataFrame:
+    """Rows that write_iterations wrote, of one iteration or role if named: partitions prune the rest."""
+    df = spark.read.parquet(path)
+    require({"iteration_id", "role", "sample_idx"} <= set(df.columns), "ITERATION_PACKAGE", "this isn't a package of iterations", columns=df.columns)
+    for name, value in (("iteration_id", iteration_id), ("role", role)):
+        if value is not None:
+            df = df.where(F.col(name) == F.lit(value))
+            require(bool(df.limit(1).count()), "NO_SUCH_PART", f"the package has no rows of this {name}", value=value)
+    return df
+
+
+def write_split(df: DataFrame, path: str, *, overwrite: bool = False) -> dict:
+    """A split (iteration_id, role, sample_idx) as a table, with a contract that counts its roles."""
+    spark = df.sparkSession
+    require(overwrite or not exists(spark, path), "EXISTS", "the folder exists", path=path)
+    df.select("iteration_id", "role", "sample_idx").write.mode("overwrite").parquet(f"{path}/split")
+    roles = spark.read.parquet(f"{path}/split").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("iteration_id").alias("iterations")).collect()
+    contract = {"roles": {r["role"]: r["n"] for r in roles}, "iterations": max((r["iterations"] for r in roles), default=0)}
+    write_json(spark, f"{path}/split_contract.json", contract)
+    return contract
+
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """A split whose counts still agree with its contract."""
+    df, contract = spark.read.parquet(f"{path}/split"), read_json(spark, f"{path}/split_contract.json")
+    have = {r["role"]: r["n"] for r in df.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
+    require(have == contract["roles"], "SPLIT_CONTRACT", "the split differs from its contract", have=have, contract=contract["roles"])
+    return df
+
+
 def upsert_run(index: DataFrame, row: DataFrame, key: str = "run_id") -> DataFrame:
     """The run index with the row put in place of the one with its key, or added."""
     return index.join(row.select(key), key, "left_anti").unionByName(row)
