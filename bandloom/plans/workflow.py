@@ -11,10 +11,12 @@ from ..errors import confirm, require
 from ..operators import metrics, quality, split
 from ..operators.model import fit_model
 from ..operators.preprocess import preprocess
-from ..operators.search import _feature
+from ..operators.evaluate import auto_model
+from ..operators.search import _feature, recommend
 
 #: Names of goals.
 GOALS = {"qc": "quality", "quality": "quality", "check": "quality", "split": "split", "preprocess": "preprocess", "feature": "feature", "model": "model", "modeling": "model", "train": "model", "classification": "model", "regression": "model"}
+AUTO_REGRESSION = ("plsr", "ridge", "pcr")
 STAGES = ("quality", "split", "preprocess", "feature", "model")
 
 
@@ -27,16 +29,23 @@ class Analysis:
     decisions: dict[str, object] = field(default_factory=dict)
 
 
-def run(df: DataFrame, goal: str = "model", *, y: str | None = None, ratio: str = "7:1:2", method: str = "random", chain: tuple[str, ...] = ("snv",), feature: str = "none", model: str = "pls_da", evaluate_test: bool = False, clean_ok: bool = False, **options) -> Analysis:
-    """Stages in order, up to the goal. Test rows are scored only if that is confirmed."""
+def run(df: DataFrame, goal: str = "model", *, y: str | None = None, ratio: str = "7:1:2", method: str = "random", chain: tuple[str, ...] = ("snv",), feature: str = "none", model: str = "pls_da", evaluate_test: bool = False, clean_ok: bool = False, conflict_ok: bool = False, **options) -> Analysis:
+    """Stages in order, up to the goal. Test rows are scored only if that is confirmed.
+
+    Equal spectra with different labels block the stages after quality until that is accepted. With the
+    model ``auto``, the models that suit the table's size are searched on validation rows.
+    """
     goal = GOALS.get(goal.lower(), goal.lower())
     require(goal in STAGES, "GOAL", "an unknown goal", goal=goal)
     shares = split.parse_ratio(ratio)
     out = Analysis(decisions={"goal": goal, "ratio": ratio, "evaluate_test": evaluate_test})
     found = quality.exact_duplicates(df)
     out.frames["duplicates"] = found
+    conflict = bool(found.where("label_conflict").limit(1).count())
+    out.decisions["qc_status"] = "blocked" if conflict else "warning" if found.limit(1).count() else "passed"
+    confirm(goal == "quality" or not conflict or conflict_ok, "QC_BLOCKED", "equal spectra have different labels; later stages wait for a decision")
     if clean_ok:
-        df = quality.drop_duplicates(df)
+        df = quality.drop_duplicates(df, conflict_ok=conflict_ok)
     out.frames["outliers"] = quality.intensity_outliers(df, "ROBUST_ZSCORE")
     if goal == "quality":
         return out
@@ -56,7 +65,13 @@ def run(df: DataFrame, goal: str = "model", *, y: str | None = None, ratio: str
     out.frames["features"] = df
     if goal == "feature":
         return out
-    fitted = fit_model(df.where("role = 'train'"), model, y)
+    if model == "auto":
+        size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p")).first()
+        names = list(AUTO_REGRESSION) if y else recommend(size["n"], size["p"])["models"]
+        model, fitted = auto_model(df, names, y)
+    else:
+        fitted = fit_model(df.where("role = 'train'"), model, y)
+    out.decisions["model"] = model
     truth = (lambda d: d.withColumn("y_true", F.col(y))) if y else (lambda d: d.withColumn("y_true", F.col("label").cast("string")))
     measure = metrics.regression if y else metrics.classification
     out.frames["predictions"] = truth(fitted.predict(df.where("role = 'val'")))

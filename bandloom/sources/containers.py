@@ -1,4 +1,4 @@
-"""NumPy containers through Spark's binary file source; other containers behind their libraries."""
+"""NumPy containers through Spark's binary file source; other containers behind their libraries. Workbooks are in ``workbook``."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import io
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..errors import BandloomError, needs, require
 
@@ -70,20 +69,3 @@ def read_matrix(spark: SparkSession, path: str, variable: str | None = None) ->
                     yield pd.DataFrame({"sample_idx": np.arange(lo, lo + len(part)), "x": list(part)})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "sample_idx long, x array<double>")
-
-
-def read_workbook(spark: SparkSession, path: str, sheet: str | int | None = None) -> DataFrame:
-    """A worksheet as a table of texts with ``_row``: by name, by position, or the only one; empty rows and columns go."""
-    engine = {"xlsx": "openpyxl", "xlsm": "openpyxl", "xls": "xlrd", "ods": "odf"}[path.rsplit(".", 1)[-1].lower()]
-    needs(engine, "workbooks of this kind")
-    import pandas as pd
-
-    content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    book = pd.ExcelFile(io.BytesIO(content))
-    if sheet is None:
-        require(len(book.sheet_names) == 1, "SHEET", "which sheet?", sheets=book.sheet_names)
-        sheet = 0
-    frame = book.parse(sheet, dtype=object).dropna(how="all").dropna(how="all", axis=1)
-    text = frame.map(lambda v: None if pd.isna(v) else str(int(v)) if isinstance(v, float) and v == int(v) else str(v))
-    text.columns = [str(c) for c in text.columns]
-    return spark.createDataFrame(text.assign(_row=range(len(text)))).withColumn("_row", F.col("_row").cast("long"))
