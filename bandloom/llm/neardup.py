@@ -129,8 +129,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     spark = docs.sparkSession
     made = runtime.stored(signatures(docs, width=width, bands=bands, band_rows=band_rows), "signatures")
     full = made.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    reps = runtime.stored(full.join(classes, ["n_shingles", "s1", "s2"]).where("doc_id = rep").dropDuplicates(["n_shingles", "s1", "s2"]).select("rep", F.col("n_shingles").alias("n"), "band_keys", "sig"), "classes")
+    same = ["n_shingles", "s1", "s2"]
+    # combined before the shuffle, so a class with a third of all rows costs a row a task
+    classes = runtime.stored(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.min_by(F.struct("band_keys", "sig"), "doc_id").alias("m")), "classes")
+    reps = classes.select("rep", F.col("n_shingles").alias("n"), "m.band_keys", "m.sig")
     members = reps.select("rep", "n", F.explode("band_keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     buckets = runtime.stored(members.join(shared, "key"), "buckets")
@@ -149,22 +151,42 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     linked = F.col("i") * 100 >= F.col("u") * percent
     edges = star.where(linked).select("a", "b").distinct()
     found = runtime.stored(components(edges), "components")
+    temporary = [found]
     for turn in range(pivots):
         mixed = _mixed(buckets, found)
+        temporary.append(mixed)
         more = _similar(_agree(_turned(mixed, turn, percent), sig, need), sets).where(linked).select("a", "b").distinct()
         more = runtime.stored(more, "more")
+        temporary.append(more)
         if not more.limit(1).count():
             break
         found = _joined(found, more)
+        temporary.append(found)
     mixed = _mixed(buckets, found)
+    temporary.append(mixed)
     rest = runtime.stored(_unresolved(mixed, reps.join(_sketches(mixed, sets), "rep"), star, percent, need), "rest")
     more = runtime.stored(_similar(rest, sets).where(linked).select("a", "b").distinct(), "more")
+    temporary += [rest, more]
     if more.limit(1).count():
         found = _joined(found, more)
-    of_class = classes.join(found, classes.rep == found.node, "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("_c"))
-    out = made.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["n_shingles", "s1", "s2"], "left")
+        temporary.append(found)
+    of_class = runtime.stored(classes.select(*same, "rep", "size").join(found, F.col("rep") == found.node, "left").select(*same, "size", F.coalesce("component", "rep").alias("_c")), "of_class")
+    out = _back(made.select("doc_id", *same), of_class, same)
     own = F.coalesce(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_c")), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    out = runtime.stored(out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")), "neardup")
+    runtime.drop_stored(made, classes, buckets, pairs, sets, star, of_class, *temporary)
+    return out
+
+
+#: Rows of a class from which on it is looked up by a broadcast table, at least; and how many such classes there are at most.
+HOT_ROWS, HOT_CLASSES = 1000, 10000
+
+
+def _back(rows: DataFrame, of_class: DataFrame, same: list[str]) -> DataFrame:
+    """rows with the component of their class. Large classes, of which there can be no more than HOT_CLASSES, are broadcast; the rest is joined."""
+    large = F.col("size") > max(HOT_ROWS, rows.count() // HOT_CLASSES)
+    hot, rest = F.broadcast(of_class.where(large).drop("size")), of_class.where(~large).drop("size")
+    return rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(rest, same, "left"))
 
 
 def _equal_bytes(a, b):
@@ -278,7 +300,7 @@ def dedupe(docs: DataFrame, **options) -> DataFrame:
         alone = rows.where(F.col(key).isNull()).select(*docs.columns, F.col("doc_id").alias(key))
         once = alone.unionByName(rows.where(F.col(key)).select(*docs.columns, made.alias(key)).dropDuplicates([key]))
     gone = near_duplicates(once.select(F.col(key).alias("doc_id"), "text"), **options).where("not kept").select(F.col("doc_id").alias(gone_key))
-    gone = runtime.stored(gone, "gone")
+    gone = runtime.stored(gone, "gone")  # its size is known then
     return once.join(gone, once[key] == gone[gone_key], "left_anti").select(*docs.columns)
 
 
