@@ -253,7 +253,9 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, group_rows: int = 16384
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     nearest = found.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
     lists = asked.join(nearest, asked.h == nearest.q).select(F.col("vec_id").alias("query_id"), F.expr(f"slice(filter(near, x -> x.vec_id <> vec_id), 1, {k})").alias("near"))
-    return lists.select("query_id", F.posexplode("near").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    out = runtime.stored(lists.select("query_id", F.posexplode("near").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score")), "nearest")
+    runtime.drop_stored(rows, placed, questions, blocks)
+    return out
 
 
 def op9_ann(spark, sf_dir: str) -> DataFrame:

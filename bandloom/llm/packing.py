@@ -251,12 +251,14 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 6)
 
 
-def assign(parts: DataFrame, *, capacity: int = 4096, salts: int = 256) -> DataFrame:
+def assign(parts: DataFrame, *, capacity: int = 4096, salts: int | None = None) -> DataFrame:
     """``parts`` (stored; with doc_id, piece and length) and for each piece its sequence_id and offset.
 
-    The driver gets the histogram by (salt, length): salts x capacity small rows at most.
+    The driver gets the histogram by (salt, length): salts x capacity small rows at most. There is a salt
+    for every four million pieces, from 256 to 2048, so that numbering a length's pieces stays a small task.
     """
     spark = parts.sparkSession
+    salts = salts or max(256, min(2048, parts.count() >> 22))
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
     parts = parts.withColumn("_salt", salt)
     sizes = parts.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).toArrow()

@@ -32,12 +32,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; one of our own only where that is unset and all runs on this machine."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bandloom-shared-"))
         own = spark.sparkContext.getCheckpointDir()
     return own
@@ -81,9 +83,15 @@ def crc_mod(column, modulus: int):
     return F.crc32(column.cast("string")) % modulus
 
 
+#: Strata of a labelled sample: labels, verdicts or languages.
+MAX_STRATA = 1000
+
+
 def bounded_rows(df: DataFrame, key: str, strata: str, bound: int, seed: int = 17) -> DataFrame:
     """About ``bound`` rows at most of each stratum, chosen by a hash of the key (the same rows at each run)."""
-    counts = {r[strata]: r["n"] for r in df.groupBy(strata).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[strata]: r["n"] for r in df.groupBy(strata).agg(F.count(F.lit(1)).alias("n")).limit(MAX_STRATA + 1).collect()}
+    if len(counts) > MAX_STRATA:
+        raise ValueError(f"{strata} has over {MAX_STRATA} different values; a model of so many classes isn't meant")
     if not counts:
         return df
     space = 1 << 20

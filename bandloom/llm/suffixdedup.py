@@ -327,7 +327,7 @@ def _candidates(whole: DataFrame) -> DataFrame:
     return whole.repartition("gram").sortWithinPartitions("gram").mapInArrow(textkit.tidied(run), whole.schema)
 
 
-def repeated_spans(docs: DataFrame, *, length: int = 400, step: int = 1, split: int = 20000, block_bytes: int = 1 << 19) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, length: int = 400, step: int = 1, split: int = 4096, block_bytes: int = 1 << 19) -> DataFrame:
     """``kid``, ``kh`` (id and text hash of a document) and ``spans``: places of contexts with the ranges of their windows that repeat.
 
     With a step of CODE, length and places count bytes of codes.
