@@ -54,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of what every stage kept of the documents."""
+    """The packed pieces of what every stage kept of the documents. A stage's table goes when the next one is written."""
     docs = runtime.table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = runtime.stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            runtime.drop_stored(before)
+        before = docs
     return docs
