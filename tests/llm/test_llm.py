@@ -599,3 +599,143 @@ def test_token_kernels():
     assert [(int(r), data[s:e].tobytes().decode()) for s, e, r in zip(start, end, row)] == [(0, "ab"), (0, "c"), (3, "d"), (4, "é"), (4, "f")]
     h = textkit.span_hashes(data, start, end)
     assert len(set(h.tolist())) == 5
+
+
+# Models and searches end to end against plain versions, and the awkward cases of every operator.
+
+
+def test_bayes_against_a_plain_version(spark):
+    """Counts and log-probabilities of n-grams in dictionaries, without hashing."""
+    rng = np.random.default_rng(3)
+    words = {"en": "the cat and dog with house".split(), "fr": "le chat et chien avec été".split(), "de": "die katze und über haus".split()}
+    langs, texts = {}, []
+    for i in range(90):
+        langs[i] = ("en", "fr", "de")[i % 3]
+        texts.append(" ".join(rng.choice(words[langs[i]], 8)))
+
+    def grams(t):
+        low = "".join(c.lower() if c.isalpha() else " " for c in t)
+        return [low[i : i + k] for k in (1, 2, 3) for i in range(len(low) - k + 1)]
+
+    counts = {x: collections.Counter(g for i, t in enumerate(texts) if langs[i] == x for g in grams(t)) for x in words}
+    score = lambda t, x: sum(np.log((counts[x][g] + 0.5) / (sum(counts[x].values()) + 0.5 * (1 << 15))) for g in grams(t))
+    probe = texts[:9] + ["the chat", "über", "le dog", "ça et là", "a", "and und et", "HOUSE haus"]
+    got = {r["doc_id"]: r["lang_pred"] for r in all_rows(langid.predict(documents(spark, probe), langid.fit(documents(spark, texts, langs))))}
+    assert [got[i] for i in range(len(probe))] == [max(sorted(words), key=lambda x: score(t, x)) for t in probe]
+
+
+def test_leaks_end_to_end_against_every_pair(spark):
+    rng = np.random.default_rng(21)
+    items = [" ".join(f"q{k}" for k in rng.integers(0, 300, n)) + ". " + " ".join(f"a{k}" for k in rng.integers(0, 300, 6)) + "." for n in (8, 20, 45, 90, 140)]
+    filler = lambda n: " ".join(f"f{k}" for k in rng.integers(0, 200, n))
+    texts = []
+    for t in items:
+        w = t.split()
+        for changes in (0, 2, 8, len(w) // 2):
+            v = list(w)
+            for k in rng.integers(0, len(v), changes):
+                v[k] = "changed"
+            texts.append(f"{filler(int(rng.integers(0, 200)))} {' '.join(v)} {filler(int(rng.integers(0, 200)))}")
+        texts.append(f"{filler(30)} {' '.join(w[: len(w) // 3])} {filler(30)}")
+    got = {(r["doc_id"], r["item_id"]) for r in all_rows(contamination.leaks(documents(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")))}
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    clean = lambda t: re.findall("[a-z0-9]+", t.lower())
+    want = set()
+    for i, t in enumerate(texts):
+        there = shingles(clean(t))
+        for j, item in enumerate(items):
+            share = lambda part: len(shingles(clean(part)) & there) / len(shingles(clean(part)))  # noqa: B023, E731
+            if share(item) >= 0.8 or min(map(share, contamination.question_answer(item))) >= 0.8:
+                want.add((i, j))
+    assert got == want and len(want) >= 8
+
+
+def test_rows_that_share_an_id(spark):
+    """Near-duplicates take them for one document; leaks report the pair once."""
+    item = "what is the name of the tall red tower near the old harbour"
+    docs = documents(spark, [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g"), (3, "h i j k l m n"), (4, f"x {item}"), (4, f"{item} y")])
+    got = {r["doc_id"]: r["component_id"] for r in all_rows(neardup.near_duplicates(docs, width=2))}
+    assert got[1] == got[2] == got[3] == 1
+    assert [r["doc_id"] for r in all_rows(contamination.leaks(docs, spark.createDataFrame([(9, item)], "item_id long, text string")))] == [4]
+
+
+LABELS = "doc_id long, quality int, toxic int"
+OPERATORS = {
+    "langid": lambda s, d: langid.predict(d, langid.fit(d)),
+    "neardup": lambda s, d: neardup.near_duplicates(d),
+    "leaks": lambda s, d: contamination.leaks(d, s.createDataFrame([(1, "some item text here now"), (2, None), (3, "")], "item_id long, text string")),
+    "clean": lambda s, d: contamination.clean(d, s.createDataFrame([], "item_id long, text string")),
+    "toxicity": lambda s, d: toxicity.score(d, toxicity.fit(d, s.createDataFrame([(0, 1, 0), (3, 0, 1), (3, 0, 1), (None, 1, 1), (77, 1, 1), (4, None, None)], LABELS))),
+    "suffixes": lambda s, d: suffixdedup.digest(d),
+    "strip": lambda s, d: suffixdedup.strip(d, words=51),
+    "licences": lambda s, d: licences.scan(d),
+    "packing": lambda s, d: packing.pack(d, public_tokenizers.path("word_bpe_49k.json")),
+    "quality": lambda s, d: quality.score(d, quality.fit(d, s.createDataFrame([(0, 1, 0), (3, 0, 1), (3, 0, 1), (None, 1, 1), (77, 1, 1), (4, None, None)], LABELS))),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_awkward_rows_and_clashing_names(spark, name):
+    """Nulls everywhere, empty and very long texts (2.4 MB), repeated rows, an empty table, and columns named like the operators' own."""
+    long = "".join(f"{k} word " for k in range(200_000))
+    rows = [*AWKWARD, (50, long), (50, long), (51, long[: len(long) // 2] + "é" * 1000)]
+    docs = documents(spark, rows).select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHING))
+    out = OPERATORS[name](spark, docs)
+    n = out.count()
+    assert n >= len(rows) or name in ("leaks", "clean") and n in (0, len(rows))
+    if name in ("clean", "strip"):
+        assert out.columns == docs.columns
+    assert OPERATORS[name](spark, docs.limit(0)).count() == 0
+
+
+def test_awkward_urls_and_vectors(spark):
+    extra = [F.lit(f"own {c}").alias(c) for c in CLASHING if c not in ("host", "path")]
+    pages = spark.createDataFrame([(1, None, None), (1, None, None), (None, "http://" + "x" * 3_000_000 + ".org/", None), (2, "", None), (3, "http://a.com/de/1", None)], "page_id long, url string, html string").select("*", *extra)
+    got = urlfilter.judge(pages)
+    assert got.count() == 5 and got.where("verdict is null").count() == 0 and urlfilter.judge(pages.limit(0)).count() == 0
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (20, [2.0, 1.0]), (None, [1.0, 1.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>").select("*", *extra)
+    found = {(r["query_id"], r["rank"]): r["vec_id"] for r in annsearch.search(vectors, F.col("vec_id") % 20 == 0).collect()}
+    assert found == {(0, 1): 20, (0, 2): 3, (20, 1): 0, (20, 2): 3}
+
+
+def test_run_of_the_pipeline_against_stages_by_hand(spark):
+    """run() packs exactly what brute force leaves of the smallest documents after the classifier."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r["doc_id"]: r["text"] or "" for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()}
+    groups = brute_components(sorted(kept.items()), 5)
+    kept = {i: t for i, t in kept.items() if groups[i] == i}
+    kept = dict(zip(sorted(kept), brute_strip([kept[i].encode() for i in sorted(kept)])))
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    found = contamination.Scanner(contamination.Index(bench, 48, 0.6), 0.6, 0.8)(pa.array([kept[i] for i in sorted(kept)]))
+    left = [i for k, i in enumerate(sorted(kept)) if k not in {row for row, _ in found}]
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: len(tokenizer.encode(kept[i], add_special_tokens=False).ids) + 1 for i in left}
+    rows = corpus_pipeline.run(spark, SF).collect()
+    got = collections.Counter()
+    for r in rows:
+        got[r["doc_id"]] += r["length"]
+    assert dict(got) == want
+    used = collections.defaultdict(list)
+    for r in rows:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in used.values():
+        pieces.sort()
+        assert pieces[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:])) and sum(n for _, n in pieces) <= 4096
+    assert len(used) <= -(-sum(want.values()) // 4096) * 1.05 + 1
+
+
+def test_quality_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(8)
+    x = np.round(rng.standard_normal((400, len(quality.MEASURES))), 1)
+    model = quality.train(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.4).astype(float), np.ones(400))
+    for row, score in zip(x, quality.additive(model, x)):
+        z = model["bias"] + sum(t[sum(c <= v for c in cuts)] for t, cuts, v in zip(model["tables"], model["cuts"], row))
+        z += sum(g[sum(c <= row[a] for c in model["small"][a])][sum(c <= row[b] for c in model["small"][b])] for (a, b), g in zip(model["pairs"], model["grids"]))
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-12
+    data, off = textkit.column_bytes(pa.array(["One two two TWO.\nx", "", None, "é"]))
+    got = quality.measures(data, off)
+    assert got[1].tolist() == got[2].tolist() and len(set(map(tuple, got.tolist()))) == 3
