@@ -420,13 +420,14 @@ def interval_pls(train: DataFrame, intervals: int | None = None, n_components: i
 
 
 def spa(train: DataFrame, k: int | None = None, start: int | None = None) -> list[int]:
-    """Successive projections on standardised bands: each next band is the one farthest from the span, from the Gram matrix."""
+    """Successive projections on standardised bands: each next band is the one farthest from the span, from the Gram matrix; ties go to the lower band."""
     n, mean, scatter = moments(train)
     std = np.sqrt(np.diag(scatter) / n)
     std = np.where(std > 1e-12, std, 1.0)
     gram = scatter / np.outer(std, std)
     k = k or min(30, max(5, -(-3 * len(mean) // 100)), len(mean))
-    out = [int(np.diag(gram).argmax()) if start is None else start]
+    first = np.diag(gram)
+    out = [int(np.round(first / max(first.max(), 1e-300), 9).argmax()) if start is None else start]  # scaled bands are equally long but for rounding
     while len(out) < k:
         v = gram[:, out[-1]] / max(np.sqrt(max(gram[out[-1], out[-1]], 0)), 1e-12)
         gram = gram - np.outer(v, v)

@@ -159,7 +159,9 @@ def interval_pls(spark, sf):
     return X.interval_pls(_train(_with_y(spark, sf)), y="y")
 
 
-@query("feature_spa")
+@query("feature_spa", """WITH RECURSIVE $LONG, m AS (SELECT band, avg(v) AS m, stddev_pop(v) AS s FROM cells WHERE role = 'train' GROUP BY band), z AS MATERIALIZED (SELECT sample_idx, band, (v - m) / s AS v FROM cells JOIN m USING (band) WHERE role = 'train'),
+    r AS (SELECT 1 AS k, a.band::BIGINT AS i, b.band::BIGINT AS j, sum(a.v * b.v) AS v, 0::BIGINT AS pick FROM z a JOIN z b USING (sample_idx) GROUP BY ALL UNION ALL SELECT k + 1, i, j, v, arg_max(i, CASE WHEN i = j THEN v ELSE -1e0 END) OVER () FROM (SELECT k, i, j,
+        v - max(v) FILTER (WHERE j = pick) OVER (PARTITION BY i) * max(v) FILTER (WHERE i = pick) OVER (PARTITION BY j) / max(v) FILTER (WHERE i = pick AND j = pick) OVER () AS v FROM r WHERE k < 5)) SELECT DISTINCT pick::INT AS band FROM r""")
 def spa(spark, sf):
     return spark.createDataFrame([(b,) for b in X.spa(_train(layout.spectra(spark, sf)))], "band int")
 

@@ -115,7 +115,22 @@ def split_spxy(spark, sf):
     return D.kennard_stone(layout.spectra(spark, sf).withColumn("y", F.col("x")[0] * 2 + F.col("x")[4]), D.parse_ratio("7:3"), y="y")
 
 
-@query("split_duplex")
+def _duplex() -> str:
+    """DuckDB: both parts by turns, a round a step; chosen samples have -1 in both lists."""
+    start = _sequential("x")
+    start = start[: start.index("f AS (")]
+    mask = lambda near, k, row: f"list_transform(range(1, len({near}) + 1), lambda i: CASE WHEN {near}[i] < 0 OR i = {k} THEN -1e0 ELSE {row} END)"
+    return f"""{start} f AS (SELECT i AS a, list_position(d, list_max(d)) AS b FROM d ORDER BY list_max(d) DESC, i LIMIT 1),
+        h AS (SELECT i AS c, min(j) AS e FROM (SELECT i, j, x, max(x) OVER () AS far FROM p, f WHERE i NOT IN (a, b) AND j NOT IN (a, b)) WHERE x = far GROUP BY i ORDER BY i LIMIT 1),
+        r AS (SELECT 2 AS n, a AS k0, c AS k1, b AS b0, e AS b1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i IN (a, b, c, e) THEN -1e0 ELSE least(m[a][i], m[b][i]) END) AS near0, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i IN (a, b, c, e) THEN -1e0 ELSE least(m[c][i], m[e][i]) END) AS near1 FROM f, h, m
+            UNION ALL SELECT n + 1, k0, k1, NULL, NULL, {mask("near0", "k1", "near0[i]")}, CASE WHEN k1 = 0 THEN near1 ELSE {mask("near1", "k1", "least(near1[i], m[k1][i])")} END
+            FROM (SELECT n, m, k0, near0, near1, CASE WHEN n < len(m) - floor(len(m) * 0.7 + 1e-9) THEN list_position(near1, list_max(near1)) ELSE 0 END AS k1
+                FROM (SELECT n, m, k AS k0, {mask("near0", "k", "least(near0[i], m[k][i])")} AS near0, {mask("near1", "k", "near1[i]")} AS near1 FROM (SELECT n, m, near0, near1, list_position(near0, list_max(near0)) AS k FROM r, m WHERE n < floor(len(m) * 0.7 + 1e-9))))),
+        t AS (SELECT k0 AS i FROM r UNION SELECT b0 FROM r WHERE b0 IS NOT NULL)
+        SELECT sample_idx, CASE WHEN t.i IS NULL THEN 'test' ELSE 'train' END AS role FROM o LEFT JOIN t USING (i)"""
+
+
+@query("split_duplex", _duplex())
 def split_duplex(spark, sf):
     return D.duplex(layout.spectra(spark, sf), D.parse_ratio("7:3"))
 
