@@ -60,9 +60,9 @@ def lexical(pages: DataFrame) -> DataFrame:
     return pages.select(
         "*", size.alias("length"), F.length(host).cast("double").alias("host_length"), F.length(path).cast("double").alias("path_length"), _count(path, "/").alias("depth"),
         _count(host, r"\.").alias("labels"), F.when(size > 0, _count(url, "[0-9]") / size).otherwise(0.0).alias("digits"), _count(host, "[0-9]").alias("host_digits"), _count(host, "-").alias("hyphens"),
-        F.when(size > 0, entropy).otherwise(0.0).alias("entropy"), _count(url, "[?&][^=&#]+=").alias("params"), F.contains(url, F.lit("?")).cast("double").alias("has_query"), F.contains(url, F.lit("#")).cast("double").alias("has_fragment"),
+        F.when(size > 0, entropy).otherwise(0.0).alias("entropy"), _count(url, "[?&][^=&#?]+=").alias("params"), F.contains(url, F.lit("?")).cast("double").alias("has_query"), F.contains(url, F.lit("#")).cast("double").alias("has_fragment"),
         F.startswith(url, F.lit("https://")).cast("double").alias("secure"), F.coalesce(F.array_max(F.transform(F.split(url, r"[^A-Za-z0-9]+"), F.length)), F.lit(0)).cast("double").alias("longest"),
-        F.regexp_extract(host, r"([^.]*)$", 1).alias("suffix"),
+        F.substring_index(host, ".", -1).alias("suffix"),
     )
 
 
