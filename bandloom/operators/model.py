@@ -444,7 +444,7 @@ def _mllib_model(name: str, fitted, mean: list[float], std: list[float], classes
 
 
 def _ovr(base):
-    return mlc.OneVsRest(classifier=base)
+    return mlc.OneVsRest(classifier=base, parallelism=4)
 
 
 #: MLlib's deepest tree, for trees without a bound.

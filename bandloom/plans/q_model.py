@@ -234,7 +234,7 @@ for _name, _p in (("pls_da", {}), ("simca", {}), ("svm", {}), ("logistic_regress
 @query("model_gradient_boosting_classifier")
 def model_gbt(spark, sf):
     df = layout.spectra(spark, sf)
-    return M.fit_model(_train(df), "gradient_boosting_classifier", n_estimators=50).predict(df.where("role = 'test'")).select("sample_idx", "y_pred")
+    return M.fit_model(_train(df), "gradient_boosting_classifier", n_estimators=20).predict(df.where("role = 'test'")).select("sample_idx", "y_pred")
 
 
 def _regress(name, sql=None, **p):
