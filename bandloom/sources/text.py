@@ -71,15 +71,15 @@ def header_row(sample: list[str], delimiter: str) -> int:
 
 def flatten_header(rows: list[list[str]], join: bool = False) -> list[str]:
     """One name per column from several header rows: the last non-empty part, or all joined; repeats are numbered."""
-    out: list[str] = []
+    out: dict[str, None] = {}
     for i in range(max(map(len, rows))):
         parts = [r[i].strip() for r in rows if i < len(r) and r[i].strip()]
         name = ("_".join(parts) if join else parts[-1]) if parts else f"column_{i}"
         k, base = 2, name
         while name in out:
             name, k = f"{base}_{k}", k + 1
-        out.append(name)
-    return out
+        out[name] = None
+    return list(out)
 
 
 def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, encoding: str = "utf-8", skiprows: int = 0, header_rows: list[int] | None = None, data_start: int | None = None, data_end: int | None = None, join_header: bool = False) -> DataFrame:
@@ -101,7 +101,8 @@ def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = No
         line = rows.where(keep).orderBy("n").limit(1).collect()
         names = [f"column_{i}" for i in range(len(next(csv.reader([line[0]["value"]], delimiter=delimiter))) if line else 0)]
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    parsed = F.from_csv("value", F.lit(schema), {"sep": delimiter, "mode": "PERMISSIVE"})
+    # guarded by keep: a later check that raises may be moved before the filter, and must not meet the header there
+    parsed = F.when(keep, F.from_csv("value", F.lit(schema), {"sep": delimiter, "mode": "PERMISSIVE"}))
     return rows.where(keep).select((F.col("n") - first).alias("_row"), parsed.alias("r")).select("_row", "r.*")
 
 
