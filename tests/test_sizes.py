@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bandloom.operators import project
+from bandloom.operators import project, quality
 from bandloom.sources import text
 
 
@@ -33,3 +33,9 @@ def test_a_header_before_several_splits_is_no_cell(spark, tmp_path, small_splits
     got = project.project(df, project.infer([c for c in df.columns if c != "_row"]))
     cells = got.select("sample_id", F.posexplode("x").alias("band", "v")).where("band = 0").collect()
     assert {r["sample_id"]: r["v"] for r in cells} == {f"s{i}": i + 0.5 for i in range(3000)}
+
+
+def test_a_duplicate_does_not_take_another_sample_of_its_id_along(spark):
+    rows = [(0, [1.0, 2.0], "a"), (5, [3.0, 4.0], "a"), (5, [1.0, 2.0], "a"), (5, [1.0, 2.0], "a"), (7, [9.0, 9.0], "a"), (7, [9.0, 9.0], "a")]
+    left = quality.drop_duplicates(spark.createDataFrame(rows, "sample_idx long, x array<double>, label string"))
+    assert left.columns == ["sample_idx", "x", "label"] and sorted((r["sample_idx"], r["x"]) for r in left.collect()) == [(0, [1.0, 2.0]), (5, [3.0, 4.0]), (7, [9.0, 9.0])]
