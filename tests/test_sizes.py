@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bandloom.operators import project, quality
+from bandloom.functions import blocks
+from bandloom.operators import joins, model, project, quality
 from bandloom.sources import text
 
 
@@ -39,3 +40,26 @@ def test_a_duplicate_does_not_take_another_sample_of_its_id_along(spark):
     rows = [(0, [1.0, 2.0], "a"), (5, [3.0, 4.0], "a"), (5, [1.0, 2.0], "a"), (5, [1.0, 2.0], "a"), (7, [9.0, 9.0], "a"), (7, [9.0, 9.0], "a")]
     left = quality.drop_duplicates(spark.createDataFrame(rows, "sample_idx long, x array<double>, label string"))
     assert left.columns == ["sample_idx", "x", "label"] and sorted((r["sample_idx"], r["x"]) for r in left.collect()) == [(0, [1.0, 2.0]), (5, [3.0, 4.0]), (7, [9.0, 9.0])]
+
+
+def test_neighbours_in_blocks_are_those_of_the_whole_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.standard_normal((300, 3)), 1)  # with ties
+    df = frame(spark, x, label=np.array([f"c{v}" for v in rng.integers(0, 3, 300)]), y=rng.standard_normal(300))
+    train, rest = df.where("sample_idx < 200"), df.where("sample_idx >= 200")
+    monkeypatch.setattr(model, "KNN_BLOCK", 64)
+    for y in (None, "y"):
+        whole, cut = ({r["sample_idx"]: r["y_pred"] for r in model.knn(train, rest, 4, "distance", y, bound).collect()} for bound in (1000, 10))
+        assert len(whole) == 100 and whole == cut
+    near = np.sqrt(((x[200:, None] - x[None, :200]) ** 2).sum(axis=2))
+    want = [np.lexsort((np.arange(200), d))[:4] for d in near]
+    assert (blocks.nearest(x[200:], x[:200], 4)[0] == want).all()
+
+
+def test_distances_in_blocks_have_every_pair_once(spark, monkeypatch):
+    x = np.random.default_rng(4).standard_normal((50, 3))
+    monkeypatch.setattr(joins, "PAIR_BLOCK", 16)
+    monkeypatch.setattr(joins, "MAX_PAIRS_ROWS", 10, raising=False)
+    got = joins.distance_matrix(frame(spark, x)).collect()
+    assert len(got) == 50 * 49 // 2 and {(r["a"], r["b"]) for r in got} == {(a, b) for b in range(50) for a in range(b)}
+    assert all(abs(r["distance"] - np.linalg.norm(x[r["a"]] - x[r["b"]])) < 1e-12 for r in got)
