@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NeedsConfirmation, require
-from ..functions import ranks
+from ..functions import arrow, blocks, ranks
 
 #: Other names of roles.
 ROLES = {"train": "train", "training": "train", "calibration": "train", "val": "val", "valid": "val", "validation": "val", "dev": "val", "test": "test", "testing": "test", "prediction": "test"}
@@ -211,82 +214,169 @@ def balanced_groups(df: DataFrame, shares: list[float], group: str) -> DataFrame
     return df.select("sample_idx", group).join(roles, group).select("sample_idx", "role")
 
 
-# Representative selection: sequential by nature; refused above a bound.
+# Representative selection: sequential by nature, one row after the other on the driver.
 
+#: The most rows that are left out one by one.
 MAX_SEQUENTIAL = 20_000
 
 
 def _distance_sample(df: DataFrame, y: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    n = df.count()
-    require(n <= MAX_SEQUENTIAL, "TOO_MANY_ROWS", "representative selection is sequential and refused above its bound", rows=n, bound=MAX_SEQUENTIAL)
-    rows = df.select("sample_idx", "x", *([y] if y else [])).orderBy("sample_idx").collect()
-    x = np.array([r["x"] for r in rows], float)
+    ids, x, *target = arrow.collected(df, *([y] if y else []))
     std = x.std(axis=0, ddof=1) if len(x) > 1 else np.ones(x.shape[1])
     x = (x - x.mean(axis=0)) / np.where(std > 0, std, 1.0)
-    return np.array([r["sample_idx"] for r in rows]), x, np.array([r[y] for r in rows], float) if y else None
-
-
-def _from(x: np.ndarray, i: int) -> np.ndarray:
-    return np.sqrt(((x - x[i]) ** 2).sum(axis=1))
-
+    return ids, x, target[0].astype(float) if y else None
+
+
+class _Away:
+    """Distances between rows of x, with y as a share of two scaled parts; exact term by term, or a lower or upper bound by a matrix product."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray | None = None, scale: float = 1.0, spread: float = 1.0):
+        self.x, self.y, self.scale, self.spread = x, y, scale, spread
+        self.spare = 2 * blocks.slack(x, x[:0])
+
+    def exact(self, i, j) -> np.ndarray:
+        d = np.sqrt(((self.x[i] - self.x[j]) ** 2).sum(axis=1))
+        return d if self.y is None else d / self.scale + np.abs(self.y[i] - self.y[j]) / self.spread
+
+    def bound(self, i, j, side: int) -> np.ndarray:
+        """A bound of every pair of i and j: from above with side 1, from below with -1."""
+        d = np.sqrt(np.maximum(blocks.squares(self.x[i], self.x[j]) + side * self.spare, 0))
+        if self.y is not None:
+            d = d / self.scale + np.abs(self.y[i][:, None] - self.y[j]) / self.spread
+        return d * (1 + side * 1e-14)
+
+
+def _farthest(spark, away: _Away, rows: np.ndarray) -> tuple[float, int, int]:
+    """The farthest pair i < j of these rows with its distance, the first of equals; stripes of rows are tasks."""
+    shared = spark.sparkContext.broadcast((away, rows))
+    stripe, width = 512, 4096
+
+    def run(batches):
+        away, rows = shared.value
+        for pdf in batches:
+            for s in pdf["id"]:
+                i, best = rows[s * stripe : (s + 1) * stripe], (-1.0, 0, 0)
+                for at in range(s * stripe, len(rows), width):
+                    j = rows[at : at + width]
+                    high = np.where(i[:, None] < j, away.bound(i, j, 1), -1.0)
+                    a, b = np.unravel_index(high.argmax(), high.shape)
+                    if high[a, b] < max(best[0], 0.0):
+                        continue
+                    a, b = np.nonzero(high >= max(best[0], away.exact(i[a : a + 1], j[b : b + 1])[0]))
+                    d = away.exact(i[a], j[b])
+                    for k in np.flatnonzero(d == d.max()):
+                        best = max(best, (float(d[k]), -int(i[a[k]]), -int(j[b[k]])))
+                yield pd.DataFrame({"d": [best[0]], "i": [best[1]], "j": [best[2]]})
+
+    parts = blocks.count(len(rows), stripe)
+    arrow.shared.ship(spark)
+    found = spark.range(parts).repartition(min(parts, 200)).mapInPandas(run, "d double, i long, j long").collect()
+    d, i, j = max((r["d"], r["i"], r["j"]) for r in found)
+    shared.destroy()
+    return d, -i, -j
+
+
+class _Part:
+    """A part that grows by the free row farthest from its own.
+
+    Distances to the part only fall. So the rows that lead are kept up to date at every step, and the
+    others, in one matrix product, only when the best of the leaders no longer beats what they had.
+    Bounds tell which distances can lower a row's least one; those are measured term by term.
+    """
 
-def _largest(x: np.ndarray) -> float:
-    return max(_from(x, i).max() for i in range(len(x))) or 1.0
+    LEADERS = 2048
+
+    def __init__(self, away: _Away, n: int):
+        self.away, self.near, self.rows, self.late = away, np.full(n, np.inf), [], []
+        self.lead, self.other = np.zeros(0, np.int64), np.inf
+
+    def add(self, k: int) -> None:
+        self.rows.append(k)
+        self.late.append(k)
+        self.near[self.lead] = np.minimum(self.near[self.lead], self.away.exact(self.lead, np.full(len(self.lead), k)))
+
+    def _refresh(self, free: np.ndarray) -> None:
+        led = np.zeros(len(free), bool)
+        led[self.lead] = True
+        rest, late = np.flatnonzero(free & ~led), np.array(self.late, np.int64)
+        for at in range(0, len(rest), 2048):
+            i = rest[at : at + 2048]
+            for c in range(0, len(late), 2048):
+                j = late[c : c + 2048]
+                a, b = np.nonzero(self.away.bound(i, j, -1) <= self.near[i][:, None])
+                for e in range(0, len(a), 100_000):
+                    np.minimum.at(self.near, i[a[e : e + 100_000]], self.away.exact(i[a[e : e + 100_000]], j[b[e : e + 100_000]]))
+        self.late = []
+        at = np.flatnonzero(free)
+        near = self.near[at]
+        edge = np.partition(near, -self.LEADERS)[-self.LEADERS] if len(at) > self.LEADERS else -np.inf
+        self.lead = at[near >= edge]
+        self.other = near[near < edge].max(initial=-1.0)
+
+    def best(self, free: np.ndarray) -> int:
+        """The free row farthest from the part, the first of equals."""
+        while True:
+            near = np.where(free[self.lead], self.near[self.lead], -1.0)
+            if len(near) and near.max() > self.other:
+                return int(self.lead[near.argmax()])
+            self._refresh(free)
 
 
 def kennard_stone(df: DataFrame, shares: list[float], y: str | None = None) -> DataFrame:
     """Training rows by max-min distance from the farthest pair on (with y: SPXY); the rest is dealt in hash order."""
-    ids, x, target = _distance_sample(df, y)
-    counts = allocate(len(ids), shares)
-    scale = _largest(x) if y else 1.0
-    spread = (target.max() - target.min() or 1.0) if y else 1.0
-    away = (lambda i: _from(x, i) / scale + np.abs(target - target[i]) / spread) if y else (lambda i: _from(x, i))
-    far = [(d.max(), -i, int(d.argmax())) for i in range(len(ids)) for d in [away(i)]]
-    _, i, j = max(far)
-    chosen = [-i, j][: counts[0]]
-    near = np.minimum.reduce([away(c) for c in chosen])
-    near[chosen] = -1
-    while len(chosen) < counts[0]:
-        k = int(near.argmax())
-        chosen.append(k)
-        near = np.minimum(near, away(k))
-        near[chosen] = -1
     spark = df.sparkSession
-    train = spark.createDataFrame([(int(ids[k]),) for k in chosen], "sample_idx long").withColumn("role", F.lit("train"))
+    ids, x, target = _distance_sample(df, y)
+    counts, every = allocate(len(ids), shares), np.arange(len(ids))
+    away = _Away(x)
+    if y:
+        away = _Away(x, target, _farthest(spark, away, every)[0] if len(ids) > 1 else 1.0, target.max() - target.min() or 1.0)
+        away.scale = away.scale if away.scale > 0 else 1.0
+    part, free = _Part(away, len(ids)), np.ones(len(ids), bool)
+    for k in _farthest(spark, away, every)[1:][: counts[0]]:
+        part.add(k)
+        free[k] = False
+    while len(part.rows) < counts[0]:
+        k = part.best(free)
+        part.add(k)
+        free[k] = False
+    train = _as_rows(spark, ids[part.rows], "train")
     rest = df.select("sample_idx").join(train, "sample_idx", "left_anti")
     if len(counts) == 2:
         return train.unionByName(rest.withColumn("role", F.lit("test")))
     return train.unionByName(placed(rest, 42).select("sample_idx", F.when(F.col("place") <= counts[1], "val").otherwise("test").alias("role")))
 
 
+def _as_rows(spark, ids: np.ndarray, role: str) -> DataFrame:
+    return spark.createDataFrame(pa.table({"sample_idx": ids.astype(np.int64)})).withColumn("role", F.lit(role))
+
+
 def duplex(df: DataFrame, shares: list[float]) -> DataFrame:
     """Parts take turns: each starts with the farthest free pair and goes on with the free sample farthest from its own."""
+    spark = df.sparkSession
     ids, x, _ = _distance_sample(df, None)
     counts = allocate(len(ids), shares)
     names = ["train", "test"] if len(shares) == 2 else ["train", "val", "test"]
-    free = np.ones(len(ids), bool)
-    parts: list[list[int]] = [[] for _ in shares]
-    near = [np.full(len(ids), np.inf) for _ in shares]
-
-    def put(p: int, k: int) -> None:
-        parts[p].append(k)
-        free[k] = False
-        near[p] = np.minimum(near[p], _from(x, k))
-
-    while free.any():
-        for p in range(len(shares)):
-            room = counts[p] - len(parts[p])
-            if not room or not free.any():
+    free, left = np.ones(len(ids), bool), len(ids)
+    away = _Away(x)
+    parts = [_Part(away, len(ids)) for _ in shares]
+
+    while left:
+        for p, part in enumerate(parts):
+            room = counts[p] - len(part.rows)
+            if not room or not left:
                 continue
-            if not parts[p] and room > 1 and free.sum() > 1:
-                at = np.flatnonzero(free)
-                _, i, j = max((d.max(), -k, int(at[d.argmax()])) for k in at for d in [_from(x, k)[at]])
-                put(p, -i)
-                put(p, j)
+            if not part.rows and room > 1 and left > 1:
+                picked = _farthest(spark, away, np.flatnonzero(free))[1:]
+            elif part.rows:
+                picked = [part.best(free)]
             else:
-                put(p, int(np.where(free, near[p] if parts[p] else _from(x, int(np.flatnonzero(free)[0])), -1).argmax()))
-    rows = [(int(ids[k]), names[p]) for p, part in enumerate(parts) for k in part]
-    return df.sparkSession.createDataFrame(rows, "sample_idx long, role string")
+                at = np.flatnonzero(free)
+                picked = [int(at[away.exact(at, np.full(len(at), at[0])).argmax()])]
+            for k in picked:
+                part.add(k)
+                free[k] = False
+                left -= 1
+    return reduce(DataFrame.unionByName, (_as_rows(spark, ids[part.rows], name) for part, name in zip(parts, names)))
 
 
 # Reports.

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandloom.functions import blocks
-from bandloom.operators import joins, model, project, quality
+from bandloom.operators import joins, model, project, quality, split
 from bandloom.sources import text
 
 
@@ -63,3 +63,51 @@ def test_distances_in_blocks_have_every_pair_once(spark, monkeypatch):
     got = joins.distance_matrix(frame(spark, x)).collect()
     assert len(got) == 50 * 49 // 2 and {(r["a"], r["b"]) for r in got} == {(a, b) for b in range(50) for a in range(b)}
     assert all(abs(r["distance"] - np.linalg.norm(x[r["a"]] - x[r["b"]])) < 1e-12 for r in got)
+
+
+def _selected(x, counts, y=None):
+    """Max-min selection by the definition: each pick looks at all distances."""
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    d = np.array([np.sqrt(((z - v) ** 2).sum(axis=1)) for v in z])
+    if y is not None:
+        d = d / d.max() + np.abs(y[:, None] - y) / (y.max() - y.min())
+    i, j = np.unravel_index(d.argmax(), d.shape)
+    chosen = [int(i), int(j)]
+    while len(chosen) < counts[0]:
+        near = d[chosen].min(axis=0)
+        near[chosen] = -1
+        chosen.append(int(near.argmax()))
+    return set(chosen)
+
+
+def _turns(x, counts):
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    d = np.array([np.sqrt(((z - v) ** 2).sum(axis=1)) for v in z])
+    free, parts = np.ones(len(x), bool), [[] for _ in counts]
+    while free.any():
+        for p, n in enumerate(counts):
+            if len(parts[p]) == n or not free.any():
+                continue
+            if not parts[p]:
+                picked = np.unravel_index(np.where(free[:, None] & free, d, -1).argmax(), d.shape)
+            else:
+                picked = [np.where(free, d[parts[p]].min(axis=0), -1).argmax()]
+            for k in picked:
+                parts[p].append(int(k))
+                free[k] = False
+    return [set(p) for p in parts]
+
+
+def test_sequential_selection_is_that_of_the_definition_at_any_size(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((90, 3)), np.round(rng.standard_normal((60, 3)))])
+    x = np.concatenate([x, x[:50]])  # equal rows
+    y = rng.standard_normal(200)
+    monkeypatch.setattr(split, "MAX_SEQUENTIAL", 100)
+    monkeypatch.setattr(split._Part if hasattr(split, "_Part") else split, "LEADERS", 8, raising=False)
+    df = frame(spark, x, y=y)
+    role = lambda made, name: {r["sample_idx"] for r in made.where(F.col("role") == name).collect()}
+    assert role(split.kennard_stone(df, [0.9, 0.1]), "train") == _selected(x, [180])
+    assert role(split.kennard_stone(df, [0.7, 0.3], "y"), "train") == _selected(x, [140], y)
+    made = split.duplex(df, [0.6, 0.4])
+    assert [role(made, "train"), role(made, "test")] == _turns(x, [120, 80])
