@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import urlsplit
 
 from pyspark.sql import functions as F
 
@@ -23,6 +24,28 @@ def put(spark, path: str, content: bytes) -> str:
     return path
 
 
+def _put_all(spark, files, base: str) -> None:
+    """A file per (name, content) under base: written by tasks where the shared folder is a plain path, else one by one."""
+    if urlsplit(base).scheme not in ("", "file"):
+        for r in files.toLocalIterator():
+            put(spark, f"{base}/{r['name']}", r["content"].encode())
+        return
+    root = urlsplit(base).path
+
+    def write(batches):
+        import os
+
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"]):
+                path = f"{root}/{name}"
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as f:
+                    f.write(content.encode())
+            yield pdf[["name"]].iloc[:0]
+
+    files.repartition(24).mapInPandas(write, "name string").count()
+
+
 BANDS = 64
 
 
@@ -95,15 +118,14 @@ def read_transposed(spark, sf):
     line = lambda own: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", own))), lambda c: c[own]), ",")
     head = cells.where("band = 0").agg(line("sample_id").alias("ids")).first()["ids"]
     body = cells.groupBy("band").agg(line("v").alias("v")).select(F.col("band").alias("k"), F.concat_ws(",", (900 + 10 * F.col("band")).cast("string"), "v").alias("value"))
-    df = text.read_delimited(spark, _written(spark, scratch(spark) + "/data.csv", [f"band,{head}"], body), delimiter=",")
-    return _cells(text.read_transposed(df, "band"))
+    return _cells(text.read_transposed_text(spark, _written(spark, scratch(spark) + "/data.csv", [f"band,{head}"], body)))
 
 
 @query("read_folder", f"WITH {_WIDE} SELECT 'class_' || label AS label, sample_id, band, R(v) AS v FROM c")
 def read_folder(spark, sf):
     base = scratch(spark)
-    for r in _rows(spark, sf).toLocalIterator():
-        put(spark, f"{base}/class_{r['label']}/{r['sample_id']}.csv", "\n".join(["wavelength,intensity", *(f"{900 + 10 * i},{v}" for i, v in enumerate(r["t"]))]).encode())
+    lines = F.concat(F.array(F.lit("wavelength,intensity")), F.transform("t", lambda v, i: F.concat((900 + 10 * i).cast("string"), F.lit(","), v)))
+    _put_all(spark, _rows(spark, sf).select(F.concat(F.lit("class_"), "label", F.lit("/"), "sample_id", F.lit(".csv")).alias("name"), F.array_join(lines, "\n").alias("content")), base)
     df = text.read_folder(spark, base, label="folder")
     return df.select("label", "sample_id", F.posexplode("x").alias("band", "v")).select("label", "sample_id", "band", r6(F.col("v")).alias("v"))
 

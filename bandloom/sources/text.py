@@ -12,6 +12,7 @@ import io
 import re
 import statistics
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +124,30 @@ def read_transposed(df: DataFrame, axis: str) -> DataFrame:
     return long.groupBy("sample_id").agg(F.transform(cells, lambda c: c["v"]).alias("x"), F.transform(cells, lambda c: c["axis"]).alias("axis"))
 
 
+def read_transposed_text(spark: SparkSession, path: str, *, delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
+    """A text file with samples as columns -> (sample_id, x, axis); the first line names the samples, the first column is the axis.
+
+    Samples are rows of a table of cells here, not columns of a frame, so there may be any number of them.
+    """
+    def parse(batches):
+        for batch in batches:
+            cells = [next(csv.reader([v], delimiter=delimiter), []) for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(pa.string()))], ["n", "cells"])
+
+    rows = lines(spark, path, encoding)
+    head = rows.where("n = 0").first()
+    names = flatten_header([next(csv.reader([head["value"]], delimiter=delimiter))])[1:]
+    samples = spark.createDataFrame(pa.table({"at": pa.array(range(len(names)), pa.int64()), "sample_id": pa.array(names, pa.string())}))
+    body = rows.where((F.col("n") > 0) & (F.trim("value") != "")).mapInArrow(parse, "n long, cells array<string>")
+    count = F.lit(len(names))
+    # a short line lacks its last cells; they are missing, as in a table of columns
+    full = F.transform(F.sequence(F.lit(1), count), lambda i: F.get("cells", i.cast("int"))) if names else F.array().cast("array<string>")
+    long = body.select(F.get("cells", F.lit(0)).cast("double").alias("axis"), F.posexplode(full).alias("at", "v")).select("at", "axis", number(F.col("v")).alias("v"))
+    cells = F.array_sort(F.collect_list(F.struct("axis", "v")))
+    got = long.groupBy("at").agg(F.transform(cells, lambda c: c["v"]).alias("x"), F.transform(cells, lambda c: c["axis"]).alias("axis"))
+    return samples.join(got, "at").select("sample_id", "x", "axis")
+
+
 def read_folder(spark: SparkSession, path: str, *, pattern: str = "*.csv", delimiter: str = ",", label: str | None = None) -> DataFrame:
     """One two-column file per sample -> (sample_id, label, x, axis); all files must share the axis.
 

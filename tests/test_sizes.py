@@ -111,3 +111,12 @@ def test_sequential_selection_is_that_of_the_definition_at_any_size(spark, monke
     assert role(split.kennard_stone(df, [0.7, 0.3], "y"), "train") == _selected(x, [140], y)
     made = split.duplex(df, [0.6, 0.4])
     assert [role(made, "train"), role(made, "test")] == _turns(x, [120, 80])
+
+
+def test_transposed_text_makes_no_column_of_a_sample(spark, tmp_path, monkeypatch):
+    n = 3000
+    rows = ["band," + ",".join(f"s{i}" for i in range(n - 1)) + ",s0", *(",".join([str(910 - b), *(f"{i}.{b}" for i in range(n - b))]) for b in range(2))]
+    (tmp_path / "a.csv").write_text("\n".join(rows))
+    monkeypatch.setattr(text, "read_transposed", None)
+    got = {r["sample_id"]: (r["x"], r["axis"]) for r in text.read_transposed_text(spark, f"file://{tmp_path}/a.csv").collect()}
+    assert len(got) == n and got["s7"] == ([7.1, 7.0], [909.0, 910.0]) and got["s0_2"] == ([None, n - 1.0], [909.0, 910.0])
