@@ -105,6 +105,11 @@ def save(spark: SparkSession, bundle: Bundle, path: str, *, overwrite: bool = Fa
         buffer = io.BytesIO()
         buffer.write(cloudpickle.dumps({"name": m.name, "kernel": m.kernel, "state": m.state, "kind": m.label}))
         _bytes(spark, f"{path}/model.pickle", buffer.getvalue())
+    elif "trees" in m.state:
+        kind = "forest"
+        m.state["trees"].write.mode("overwrite").parquet(f"{path}/trees")
+        about = {k: v for k, v in m.state.items() if k not in ("trees", "forest")}
+        _bytes(spark, f"{path}/model.pickle", cloudpickle.dumps({"name": m.name, "said": m.state["forest"], "state": about, "kind": m.label}))
     elif "train" in m.state:
         kind = "neighbours"
         m.state["train"].write.mode("overwrite").parquet(f"{path}/train")
@@ -113,7 +118,7 @@ def save(spark: SparkSession, bundle: Bundle, path: str, *, overwrite: bool = Fa
         m.state["model"].write().overwrite().save(f"{path}/mllib")
     if bundle.projection:
         _bytes(spark, f"{path}/projection.pickle", cloudpickle.dumps(bundle.projection))
-    plain = {k: v for k, v in m.state.items() if k in ("classes", "mean", "std", "parameters") and kind != "numpy"}
+    plain = {k: v for k, v in m.state.items() if k in ("classes", "mean", "std", "parameters") and kind not in ("numpy", "forest")}
     plain = json.loads(json.dumps(plain, default=lambda v: v.tolist() if isinstance(v, np.ndarray) else v.item()))
     write_json(spark, f"{path}/bundle.json", {"version": VERSION, "kind": kind, "name": m.name, "state": plain, "chain": bundle.chain.__dict__, "projection": bundle.projection is not None, "meta": bundle.meta})
 
@@ -125,6 +130,10 @@ def load(spark: SparkSession, path: str) -> Bundle:
     if about["kind"] == "numpy":
         got = cloudpickle.loads(read("model.pickle"))
         model = M._numpy(got["name"], got["kernel"], got["state"], got["kind"])
+    elif about["kind"] == "forest":
+        got = cloudpickle.loads(read("model.pickle"))
+        said, n = got["said"]
+        model = M._forest_model(got["name"], spark.read.parquet(f"{path}/trees"), n, said, got["state"], got["kind"])
     elif about["kind"] == "neighbours":
         model = M._knn_model(spark.read.parquet(f"{path}/train"), **about["state"]["parameters"])
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bandloom.functions import blocks
 from bandloom.operators import joins, model, project, quality, split
-from bandloom.sources import text
+from bandloom.sources import bundle, text
 
 
 @pytest.fixture
@@ -120,3 +120,26 @@ def test_transposed_text_makes_no_column_of_a_sample(spark, tmp_path, monkeypatc
     monkeypatch.setattr(text, "read_transposed", None)
     got = {r["sample_id"]: (r["x"], r["axis"]) for r in text.read_transposed_text(spark, f"file://{tmp_path}/a.csv").collect()}
     assert len(got) == n and got["s7"] == ([7.1, 7.0], [909.0, 910.0]) and got["s0_2"] == ([None, n - 1.0], [909.0, 910.0])
+
+
+def test_a_large_forest_stays_a_table_and_predicts_the_same(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((150, 4))
+    df = frame(spark, x, label=np.where(x[:, 0] + x[:, 1] > 0, "a", "b"), y=x[:, 0] * 2 + x[:, 2])
+    for name in ("random_forest_classifier", "extra_trees_classifier", "random_forest_regressor"):
+        said = []
+        for bound in (10**9, 0):
+            monkeypatch.setattr(model, "MAX_FOREST_BYTES", bound, raising=False)
+            monkeypatch.setattr(model, "FOREST_BLOCK", 40, raising=False)
+            fitted = model.fit_model(df, name, n_estimators=10)
+            assert ("trees" in fitted.state) == (not bound)
+            said.append({r["sample_idx"]: r["y_pred"] for r in fitted.predict(df).collect()})
+        assert said[0].keys() == said[1].keys() and all(v == said[1][k] or abs(v - said[1][k]) < 1e-9 for k, v in said[0].items())
+        if name.endswith("classifier"):
+            assert sum(said[0][i] == ("a" if x[i, 0] + x[i, 1] > 0 else "b") for i in range(150)) >= 147
+        else:
+            assert np.corrcoef([said[0][i] for i in range(150)], x[:, 0] * 2 + x[:, 2])[0, 1] > 0.97
+    made = bundle.Bundle(bundle.fit_chain(df, ["none"]), fitted, None, {})
+    bundle.save(spark, made, f"file://{tmp_path}/bundle")
+    again = {r["sample_idx"]: r["y_pred"] for r in bundle.load(spark, f"file://{tmp_path}/bundle").predict(df).collect()}
+    assert again == said[1]
