@@ -259,7 +259,7 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, most: int) -> np.nda
 
 
 def repeats_in_shard(texts: list[bytes], copies: np.ndarray, length: int, step: int = 1):
-    """For each window of the contexts of a shard: context, offset, place in data, whether it repeats; and data (bytes all)."""
+    """For each window of the contexts of a shard: context, offset, place in data, whether it repeats, whether it is the first of its equals; and data (bytes all)."""
     size = np.array([len(t) for t in texts], np.int64) // step
     deep = length // step
     windows = size - deep + 1
@@ -279,7 +279,9 @@ def repeats_in_shard(texts: list[bytes], copies: np.ndarray, length: int, step:
     total = np.bincount(head, weights=of[order], minlength=len(order))
     repeats = np.zeros(len(symbols), bool)
     repeats[order] = total[head] > 1
-    return who, offset * step, place * step, repeats[place], data
+    first = np.zeros(len(symbols), bool)
+    first[order[~same]] = True
+    return who, offset * step, place * step, repeats[place], first[place], data
 
 
 def _runs_of(who: np.ndarray, offset: np.ndarray, flag: np.ndarray, step: int = 1):
@@ -385,7 +387,7 @@ def _cut(once: DataFrame, length: int, step: int) -> DataFrame:
 
 
 def _sort_shards(texts: DataFrame, length: int, block_bytes: int, step: int) -> DataFrame:
-    """Ranges of repeating windows by context; for split anchors also a fingerprint of each window, to meet other shards."""
+    """Ranges of repeating windows by context; for split anchors also a fingerprint of each class of equal windows, to meet other shards."""
     same = ["gram", "lk", "rk", "c1"]
 
     def emit(block, at, first, last, fp=None):
@@ -401,10 +403,10 @@ def _sort_shards(texts: DataFrame, length: int, block_bytes: int, step: int) ->
             keys = np.rec.fromarrays([block.column(c).to_numpy() for c in same])
             block = block.take(pa.array(np.unique(keys, return_index=True)[1]))
             copies, split = (block.column(c).to_numpy() for c in ("copies", "split"))
-            who, offset, place, repeats, data = repeats_in_shard(block.column("t").to_pylist(), copies, length, step)
+            who, offset, place, repeats, first, data = repeats_in_shard(block.column("t").to_pylist(), copies, length, step)
             yield emit(block, *_runs_of(who, offset, repeats, step))
             if split.any():
-                at = np.flatnonzero(split[who])
+                at = np.flatnonzero(split[who] & first)  # the others of a class repeat here already
                 for i in range(0, len(at), 100_000):
                     some = at[i : i + 100_000]
                     marks = [hashlib.blake2b(data[p : p + length], digest_size=16).digest() for p in place[some]]

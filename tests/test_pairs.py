@@ -47,3 +47,19 @@ def test_kernel_pca_by_products(spark, no_whole_matrix):
     best = np.argsort(-value.real)[:3]
     want = (k - k.mean(axis=1)[:, None] - own.mean(axis=0) + own.mean()) @ vector.real[:, best] / np.sqrt(value.real[best])
     assert np.abs(np.abs(got) - np.abs(want)).max() < 1e-8
+
+
+def test_a_split_anchor_sends_a_class_of_windows_once(spark):
+    from bandloom.llm import suffixdedup
+
+    rng = np.random.default_rng(8)
+    passage = bytes(rng.integers(97, 123, 600, dtype=np.uint8))
+    texts = [passage[:450] + bytes(rng.integers(97, 123, 40, dtype=np.uint8)) for _ in range(30)]
+    rows = [(5, i, 0, i, 1, 9, True, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "gram long, lk long, rk long, c1 long, copies long, shard long, split boolean, t binary").repartition(1)
+    found = suffixdedup._sort_shards(df, 400, 1 << 20, 1).collect()
+    marks = [r["fp"] for r in found if r["fp"] is not None]
+    windows = {t[i : i + 400] for t in texts for i in range(len(t) - 399)}
+    assert len(marks) == len(set(marks)) == len(windows)
+    runs = {(r["c1"], r["first"]): r["last"] for r in found if r["fp"] is None}
+    assert all(runs[i, 0] >= 50 for i in range(30))
