@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from test_sizes import frame
 
 from bandloom.operators import feature, model
@@ -15,12 +14,13 @@ def column(df, name):
 
 @pytest.fixture
 def no_whole_matrix(monkeypatch):
-    """Fails where a matrix over all pairs of 200 rows meets a dense solver of the driver, or rows are refused."""
+    """Fails where a matrix over all pairs of 200 rows (or as many as it is told) meets a dense solver of the driver, or rows are refused."""
+    limit = [200]
     for name in ("eigh", "cholesky"):
         f = getattr(np.linalg, name)
 
         def small(a, *more, f=f, **p):
-            assert len(a) < 200
+            assert len(a) < limit[0]
             return f(a, *more, **p)
 
         monkeypatch.setattr(np.linalg, name, small)
@@ -34,6 +34,8 @@ def no_whole_matrix(monkeypatch):
         monkeypatch.setattr(module, "require", asked)
     monkeypatch.setattr(feature, "PAIRS_ROWS", 100, raising=False)
     monkeypatch.setattr(model, "GPR_ROWS", 100, raising=False)
+    monkeypatch.setattr(model, "GPR_CELLS", 50_000, raising=False)
+    return limit
 
 
 def test_kernel_pca_by_products(spark, no_whole_matrix):
@@ -63,3 +65,30 @@ def test_a_split_anchor_sends_a_class_of_windows_once(spark):
     assert len(marks) == len(set(marks)) == len(windows)
     runs = {(r["c1"], r["first"]): r["last"] for r in found if r["fp"] is None}
     assert all(runs[i, 0] >= 50 for i in range(30))
+
+
+def test_kernel_machines_have_no_bound_on_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((5200, 2))
+    df = frame(spark, x, label=np.where(x[:, 0] > 0, "a", "b"), y=x[:, 0])
+    fitted = model.fit_model(df, "svm", C=0.1)
+    assert (column(fitted.predict(df), "y_pred") == np.where(x[:, 0] > 0, "a", "b")).mean() > 0.97
+    fitted = model.fit_model(df, "svr", "y", epsilon=1.0)
+    assert np.abs(column(fitted.predict(df), "y_pred") - x[:, 0]).mean() < 0.8
+
+
+def test_coordinates_are_moved_as_with_the_whole_kernel():
+    from bandloom.functions import gram
+
+    rng = np.random.default_rng(10)
+    z, y = rng.standard_normal((150, 3)), rng.standard_normal(150)
+    k = gram.rbf(z, z, 0.3) + 1
+    b, out = np.zeros(150), np.zeros(150)
+    for _ in range(20):
+        for i in range(150):
+            r = y[i] - out[i] + k[i, i] * b[i]
+            new = float(np.clip(np.sign(r) * max(abs(r) - 0.1, 0) / k[i, i], -1, 1))
+            out += (new - b[i]) * k[:, i]
+            b[i] = new
+    one = np.ones((150, 1))
+    assert np.abs(gram.boxed(z, 0.3, y[:, None], -one, one, 0.1, 0.0, 20, block=40)[:, 0] - b).max() < 1e-9
