@@ -110,6 +110,10 @@ def save(spark: SparkSession, bundle: Bundle, path: str, *, overwrite: bool = Fa
         m.state["trees"].write.mode("overwrite").parquet(f"{path}/trees")
         about = {k: v for k, v in m.state.items() if k not in ("trees", "forest")}
         _bytes(spark, f"{path}/model.pickle", cloudpickle.dumps({"name": m.name, "said": m.state["forest"], "state": about, "kind": m.label}))
+    elif "factor" in m.state:
+        kind = "process"
+        m.state["factor"].write.mode("overwrite").parquet(f"{path}/factor")
+        _bytes(spark, f"{path}/model.pickle", cloudpickle.dumps(m.state["process"]))
     elif "train" in m.state:
         kind = "neighbours"
         m.state["train"].write.mode("overwrite").parquet(f"{path}/train")
@@ -134,6 +138,8 @@ def load(spark: SparkSession, path: str) -> Bundle:
         got = cloudpickle.loads(read("model.pickle"))
         said, n = got["said"]
         model = M._forest_model(got["name"], spark.read.parquet(f"{path}/trees"), n, said, got["state"], got["kind"])
+    elif about["kind"] == "process":
+        model = M._gpr_model(spark.read.parquet(f"{path}/factor"), cloudpickle.loads(read("model.pickle")))
     elif about["kind"] == "neighbours":
         model = M._knn_model(spark.read.parquet(f"{path}/train"), **about["state"]["parameters"])
     else:

@@ -92,3 +92,22 @@ def test_coordinates_are_moved_as_with_the_whole_kernel():
             b[i] = new
     one = np.ones((150, 1))
     assert np.abs(gram.boxed(z, 0.3, y[:, None], -one, one, 0.1, 0.0, 20, block=40)[:, 0] - b).max() < 1e-9
+
+
+def test_a_gaussian_process_of_many_rows_is_the_closed_form(spark, no_whole_matrix, monkeypatch, tmp_path):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((260, 3))
+    y = np.sin(x[:, 0]) + x[:, 1]
+    df = frame(spark, x, y=y)
+    monkeypatch.setattr(model.gram, "CELLS", 5000) if hasattr(model, "gram") else None
+    fitted = model.fit_model(df.where("sample_idx < 200"), "gpr", "y", length_scale=2.0)
+    z = (x - x[:200].mean(axis=0)) / x[:200].std(axis=0)
+    k = np.exp(-((z[:, None] - z[None, :200]) ** 2).sum(axis=2) / 8)
+    noise = 1e-2 + 1e-6
+    inverse = np.linalg.inv(k[:200] + noise * np.eye(200))
+    mean, var = y[:200].mean(), y[:200].var()
+    made = fitted.predict(df)
+    bundle.save(spark, bundle.Bundle(bundle.fit_chain(df, ["none"]), fitted, None, {}), f"file://{tmp_path}/bundle")
+    for said in (made, bundle.load(spark, f"file://{tmp_path}/bundle").predict(df)):
+        assert np.abs(column(said, "y_pred") - (k @ inverse @ (y[:200] - mean) + mean)).max() < 1e-8
+        assert np.abs(column(said, "y_std") - np.sqrt(var * (1 + noise - ((k @ inverse) * k).sum(axis=1)))).max() < 1e-7
