@@ -94,6 +94,16 @@ def test_coordinates_are_moved_as_with_the_whole_kernel():
     assert np.abs(gram.boxed(z, 0.3, y[:, None], -one, one, 0.1, 0.0, 20, block=40)[:, 0] - b).max() < 1e-9
 
 
+def test_manifolds_by_products(spark, no_whole_matrix):
+    no_whole_matrix[0] = 500
+    t = np.random.default_rng(11).random((560, 2)) * [6, 2]
+    df = frame(spark, np.column_stack([t[:, 0], t[:, 1], 0.1 * np.sin(t[:, 0])]))
+    for method in (feature.isomap, feature.lle):
+        got = column(method(df.where("sample_idx < 500"), 2, 10).transform(df), "x")
+        best = max(abs(np.corrcoef(got[:, i], t[:, 0])[0, 1]) for i in range(2))
+        assert got.shape == (560, 2) and best > (0.98 if method is feature.isomap else 0.8)
+
+
 def test_a_gaussian_process_of_many_rows_is_the_closed_form(spark, no_whole_matrix, monkeypatch, tmp_path):
     rng = np.random.default_rng(12)
     x = rng.standard_normal((260, 3))
