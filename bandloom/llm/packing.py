@@ -28,6 +28,8 @@ from pyspark.sql.window import Window
 from . import runtime, textkit
 
 _TOKENIZERS: dict = {}
+#: Bytes of texts that are encoded together.
+SLICE = 1 << 20
 
 
 #: Bytes between chunks: blank, tab, line feed and carriage return.
@@ -122,7 +124,7 @@ def _encoder(path: str) -> Encoder:
 
 def _encoded(texts, encoder: Encoder):
     """(row, ids as bytes) of each text."""
-    for i, j, data, off in textkit.slices(texts, 4 << 20):
+    for i, j, data, off in textkit.slices(texts, SLICE):
         ids, bounds = encoder(data, off)
         for k in range(j - i):
             yield i + k, ids[bounds[k] : bounds[k + 1]].tobytes()

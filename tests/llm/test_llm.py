@@ -739,3 +739,13 @@ def test_quality_scores_are_sums_of_table_entries():
     data, off = textkit.column_bytes(pa.array(["One two two TWO.\nx", "", None, "é"]))
     got = quality.measures(data, off)
     assert got[1].tolist() == got[2].tolist() and len(set(map(tuple, got.tolist()))) == 3
+
+
+def test_encoding_holds_little_memory_at_once():
+    rng = np.random.default_rng(8)
+    text = " ".join(f"w{k}" for k in rng.integers(0, 500, 300))
+    encoder, taken = packing._encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    watched = lambda data, off: (taken.append(len(data)), encoder(data, off))[1]
+    got = dict(packing._encoded(pa.array([text] * 3000), watched))
+    assert len(got) == 3000 and set(got.values()) == {np.array(encoder.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()}
+    assert sum(taken) == 3000 * len(text) and max(taken) <= 1 << 20
