@@ -6,11 +6,12 @@ document, or elsewhere in its own). Matches never cross documents.
 1. Anchors. Each window of ``length`` bytes has an anchor: the place of the least hash of the
    32-byte grams in it. Equal windows have equal anchors at equal distances, so windows are handled
    in runs of one anchor: the context text[lo : hi + length] around it, about one for each
-   (length - 32) / 2 bytes. Equal contexts (by 256 bits of hashes) are merged into one with its
-   number of copies.
+   (length - 32) / 2 bytes. Equal contexts (by 192 bits of hashes or more) are merged into one with its
+   number of copies. Short texts are handled together, one after the other in an array.
 2. Candidates. A window that repeats holds, beside the anchor, at least half its length on one
    side. Contexts are kept whose left or right half-window at the anchor occurs in another context,
-   or that have copies themselves.
+   where each has windows that reach so far to that side. Windows of one context differ from each other,
+   so of other contexts all windows repeat where the context has copies, and none where it has none.
 3. Shards. Contexts are dealt to shards by anchor gram, so equal windows meet in one shard; an
    anchor with more contexts than ``split`` is dealt over several shards. Each shard sorts its
    suffixes to depth ``length`` by Larsson-Sadakane refinement (ranks double in depth, sorted
@@ -45,20 +46,8 @@ from .textkit import U64
 
 GRAM = 32
 CODE = 4
-_K = [U64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-
-
-def _gram_hashes(symbols: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 32 bytes from each place that has as many (32 or, of words' codes, 8 symbols)."""
-    h = symbols.astype(U64) + U64(1)
-    for k in range(5 if symbols.itemsize == 1 else 3):
-        step = 1 << k
-        n = len(h) - step
-        if n <= 0:
-            return np.zeros(0, U64)
-        h = h[:n] * _K[k] + h[step:]
-        h ^= h >> U64(29)
-    return textkit.mix(h)
+#: Bytes of texts that are handled together.
+TOGETHER = 1 << 17
 
 
 def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -78,9 +67,9 @@ def _coded(column, step: int) -> tuple[np.ndarray, np.ndarray]:
     if step == 1:
         return textkit.column_bytes(column)
     codes, n = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
-    for _, _, data, off in textkit.slices(column):
+    for _, _, data, off in textkit.slices(column, TOGETHER):
         start, end, row = textkit.tokens(data, off, textkit.WHITE)
-        codes.append((textkit.span_hashes(data, start, end) >> U64(32)).astype("<u4"))
+        codes.append((_Prefix(data)(start, end) >> U64(32)).astype("<u4"))
         n.append(np.bincount(row, minlength=len(off) - 1))
     return np.concatenate(codes).view(np.uint8), np.cumsum(np.concatenate(n)) * CODE
 
@@ -89,34 +78,29 @@ def _symbols(data: np.ndarray, step: int) -> np.ndarray:
     return data if step == 1 else data.view("<u4")
 
 
-def anchors(data: np.ndarray, length: int, step: int = 1):
-    """(lo, hi, anchor, gram hash) of the window runs of one text; windows start at multiples of step."""
-    if len(data) < length:
-        z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, U64)
-    h = _gram_hashes(_symbols(data, step))
-    w = (length - GRAM) // step + 1
-    place_bits = max(1, int(len(h)).bit_length())
-    packed = (h >> U64(place_bits)) << U64(place_bits) | np.arange(len(h), dtype=U64)
-    least = _sliding_min(packed, w) & U64((1 << place_bits) - 1)
-    lo = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    hi = np.append(lo[1:], len(least)) - 1
-    at = least[lo].astype(np.int64)
-    return lo * step, hi * step, at * step, h[at]
-
-
 class _Prefix:
-    """Hashes of any spans of one text, from the prefix sums of a polynomial modulo 2**64."""
+    """Hashes of any spans of symbols (bytes or codes), from the prefix sums of a polynomial modulo 2**64."""
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
+    def __init__(self, symbols: np.ndarray):
+        n = len(symbols)
         self.back = _powers(pow(_SPAN, -1, 1 << 64), n)
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE_VALUES[data] * _powers(_SPAN, n)[:n], out=self.sums[1:])
+        value = _BYTE_VALUES[symbols] if symbols.itemsize == 1 else textkit.mix(symbols.astype(U64) + U64(1))
+        value *= _powers(_SPAN, n)[:n]
+        np.cumsum(value, out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return textkit.mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U64))
 
+    def grams(self, size: int) -> np.ndarray:
+        """A hash of the ``size`` symbols from each place that has as many."""
+        h = self.sums[size:] - self.sums[:-size]
+        h *= self.back[: len(h)]
+        h ^= h >> U64(32)
+        h *= U64(0x94D049BB133111EB)
+        h ^= h >> U64(29)
+        return h
+
 
 _SPAN = 0x9E3779B97F4A7C15
 _BYTE_VALUES = textkit.mix(np.arange(1, 257, dtype=U64))
@@ -133,6 +117,44 @@ def _powers(mult: int, n: int) -> np.ndarray:
     return got
 
 
+def window_runs(data: np.ndarray, off: np.ndarray, length: int, step: int = 1):
+    """The runs of windows of one anchor in texts that lie one after the other, sorted by (text, context), and where each first context begins.
+
+    (text, lo, hi, hashes of gram, left and right half-window and context); windows start at multiples of step
+    from the start of their text, and a half that no window of its run reaches is 0. None if no text has a window.
+    """
+    symbols, at_text = _symbols(data, step), off // step
+    deep, gram = length // step, GRAM // step
+    left = (deep - gram + 1) // 2
+    n, last = len(symbols), at_text[1:] - deep
+    if not (last >= at_text[:-1]).any():
+        return None
+    span = _Prefix(symbols)
+    h = span.grams(gram)
+    place_bits = max(24, int(n).bit_length())
+    packed = (h >> U64(place_bits)) << U64(place_bits)
+    packed |= np.arange(len(h), dtype=U64)
+    least = _sliding_min(packed, deep - gram + 1)
+    least &= U64((1 << place_bits) - 1)
+    new = np.append(True, least[1:] != least[:-1])
+    new[at_text[:-1][at_text[:-1] < len(new)]] = True
+    lo = np.flatnonzero(new)
+    hi = np.append(lo[1:], len(least)) - 1
+    text = np.searchsorted(at_text, lo, side="right") - 1
+    whole = lo <= last[text]  # the others reach over the end of their text
+    lo, text = lo[whole], text[whole]
+    hi = np.minimum(hi[whole], last[text])
+    at = least[lo].astype(np.int64)
+    l_key = np.where(at - lo >= left, span(np.maximum(at - left, 0), at + gram), U64(0))
+    r_key = np.where(at - hi < left, span(at, np.minimum(at + deep - left, n)), U64(0))
+    context = span(lo, hi + deep)
+    order = np.lexsort((context, text))
+    text, context = text[order], context[order]
+    first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (context[1:] != context[:-1])))
+    start = at_text[text]
+    return text, (lo[order] - start) * step, (hi[order] - start) * step, h[at][order], l_key[order], r_key[order], context, first
+
+
 def contexts(keyed: DataFrame, length: int, step: int = 1) -> DataFrame:
     """One row per document and distinct context: the run's places and width, and hashes of the anchor's gram, the half-windows and the context.
 
@@ -140,29 +162,22 @@ def contexts(keyed: DataFrame, length: int, step: int = 1) -> DataFrame:
     text doesn't flood one key.
     """
     runtime.ship(keyed.sparkSession)
-    left, right = (length - GRAM + 1) // 2, length - (length - GRAM + 1) // 2
 
     def emit(batch, out):
-        row, n, width, *hashes = (np.concatenate(c) for c in list(zip(*out))[1:])
+        row, n, los, width, *hashes = (np.concatenate(c) for c in zip(*out))
         row = pa.array(row)
-        los = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate([x[0] for x in out]).astype(np.int32)))
+        los = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(los.astype(np.int32)))
         return pa.RecordBatch.from_arrays([*(c.take(row) for c in textkit.columns(batch, "kid", "kh")), los, pa.array(width.astype(np.int32)), *(pa.array(h.view(np.int64)) for h in hashes)], ["kid", "kh", "los", "width", "gram", "lk", "rk", "c1"])
 
     def run(batches):
         for batch in batches:
             out, held = [], 0
-            data, off = _coded(batch.column(batch.schema.get_field_index("text")), step)
-            for r in np.flatnonzero(np.diff(off) >= length):
-                text = data[off[r] : off[r + 1]]
-                lo, hi, at, gram = anchors(text, length, step)
-                span, n = _Prefix(text), len(text)
-                l_key = np.where(at >= left, span(np.maximum(at - left, 0), at + GRAM), U64(0))
-                r_key = np.where(at + right <= n, span(at, np.minimum(at + right, n)), U64(0))
-                c1 = span(lo, hi + length)
-                order = np.argsort(c1, kind="stable")
-                first = np.flatnonzero(np.append(True, c1[order][1:] != c1[order][:-1]))
-                one = order[first]
-                out.append((lo[order], np.full(len(one), r), np.diff(np.append(first, len(order))), (hi - lo)[one], gram[one], l_key[one], r_key[one], c1[one]))
+            for i, data, off in _coded_slices(*textkit.columns(batch, "text"), step):
+                found = window_runs(data, off, length, step)
+                if found is None:
+                    continue
+                text, lo, hi, *hashes, first = found
+                out.append((i + text[first], np.diff(np.append(first, len(text))), lo, (hi - lo)[first], *(h[first] for h in hashes)))
                 held += len(lo)
                 if held > 20_000:
                     yield emit(batch, out)
@@ -173,6 +188,12 @@ def contexts(keyed: DataFrame, length: int, step: int = 1) -> DataFrame:
     return keyed.mapInArrow(textkit.tidied(run), "kid long, kh long, los array<int>, width int, gram long, lk long, rk long, c1 long")
 
 
+def _coded_slices(column, step: int):
+    """(first row, bytes, offsets) of runs of rows, as _coded has them."""
+    for i, j, data, off in textkit.slices(column, TOGETHER):
+        yield i, *((data, off) if step == 1 else _coded(column.slice(i, j - i), step))
+
+
 def suffix_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of the suffixes by their first ``depth`` symbols: equal ranks, equal symbols.
 
@@ -315,18 +336,19 @@ def _blocks(batches, key: str, measure: str, most: int):
 
 
 def _candidates(whole: DataFrame) -> DataFrame:
-    """The contexts of anchors that aren't split whose half-windows or selves occur more than once; equal halves share their gram."""
+    """The contexts of anchors that aren't split that may share windows with others, and, marked ``alone``, those that share none but have copies; equal halves share their gram."""
 
     def run(batches):
         for block in _blocks(batches, "gram", "gram", 1 << 20):
-            flag = block.column("copies").to_numpy() > 1
+            shared = np.zeros(len(block), bool)
             for side in ("lk", "rk"):
                 half = block.column(side).to_numpy()
                 _, inverse, n = np.unique(half, return_inverse=True, return_counts=True)
-                flag |= (half != 0) & (n[inverse] > 1)
-            yield from block.filter(pa.array(flag)).to_batches()
+                shared |= (half != 0) & (n[inverse] > 1)
+            keep = pa.array(shared | (block.column("copies").to_numpy() > 1))
+            yield from block.append_column("alone", pa.array(~shared)).filter(keep).to_batches()
 
-    return whole.repartition("gram").sortWithinPartitions("gram").mapInArrow(textkit.tidied(run), whole.schema)
+    return whole.repartition("gram").sortWithinPartitions("gram").mapInArrow(textkit.tidied(run), whole.schema.add("alone", "boolean"))
 
 
 def repeated_spans(docs: DataFrame, *, length: int = 400, step: int = 1, split: int = 4096, block_bytes: int = 1 << 19) -> DataFrame:
@@ -342,15 +364,16 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, step: int = 1, split:
     many = whole.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).select("gram", F.ceil(F.col("n") / split).cast("int").alias("parts"))
     many = runtime.stored(many, "many")
     few = _candidates(whole.join(many, "gram", "left_anti")).withColumn("shard", F.col("gram")).withColumn("split", F.lit(False))
-    hot = whole.join(many, "gram").withColumn("shard", F.xxhash64("gram", F.pmod("c1", "parts"))).withColumn("split", F.lit(True)).drop("parts")
+    hot = whole.join(many, "gram").withColumn("shard", F.xxhash64("gram", F.pmod("c1", "parts"))).withColumns({"split": F.lit(True), "alone": F.lit(False)}).drop("parts")
     chosen = runtime.stored(few.unionByName(hot), "candidates")
     runtime.drop_stored(whole)
-    cuts = chosen.groupBy("kid", "kh").agg(F.collect_list(F.struct("lo", "width", *same, "copies", "shard", "split")).alias("cuts"))
+    cuts = chosen.where("not alone").groupBy("kid", "kh").agg(F.collect_list(F.struct("lo", "width", *same, "copies", "shard", "split")).alias("cuts"))
     texts = _cut(_join(keyed, cuts, "inner"), length, step).repartition("shard").sortWithinPartitions("shard")
     found = runtime.stored(_sort_shards(texts, length, block_bytes, step), "windows")
     across = found.where("fp is not null").groupBy("fp").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").select("fp")
     merged = found.where("fp is not null").join(across, "fp", "left_semi")
-    ranges = found.where("fp is null").unionByName(merged).groupBy(*same).agg(F.collect_list(F.struct("first", "last")).alias("r"))
+    every = chosen.where("alone").select(*same, F.lit(0).alias("first"), F.col("width").alias("last"))
+    ranges = found.where("fp is null").unionByName(merged).select(*same, "first", "last").unionByName(every).groupBy(*same).agg(F.collect_list(F.struct("first", "last")).alias("r"))
     spans = runtime.stored(runs.join(ranges, same).groupBy("kid", "kh").agg(F.collect_list(F.struct("los", "r")).alias("spans")), "spans")
     runtime.drop_stored(runs, chosen, found, many)
     return spans
@@ -400,8 +423,9 @@ def _sort_shards(texts: DataFrame, length: int, block_bytes: int, step: int) ->
     def run(batches):
         for block in _blocks(batches, "shard", "t", block_bytes):
             # a document's repeated rows send its contexts more than once
-            keys = np.rec.fromarrays([block.column(c).to_numpy() for c in same])
-            block = block.take(pa.array(np.unique(keys, return_index=True)[1]))
+            keys = [block.column(c).to_numpy() for c in same]
+            order = np.lexsort(keys)
+            block = block.take(pa.array(order[np.append(True, np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0))]))
             copies, split = (block.column(c).to_numpy() for c in ("copies", "split"))
             who, offset, place, repeats, first, data = repeats_in_shard(block.column("t").to_pylist(), copies, length, step)
             yield emit(block, *_runs_of(who, offset, repeats, step))
@@ -470,10 +494,10 @@ def _opened(column):
 
 
 def _apply(batch: pa.RecordBatch, passes: list[tuple[int, int]], names: list[str]):
-    """(row, text bytes, (starts, ends) of each pass) for each row."""
+    """(row, text bytes, (starts, ends) of each pass) for each row that has spans."""
     data, off = textkit.column_bytes(batch.column(batch.schema.get_field_index("text")))
     spans = [_opened(c) for c in textkit.columns(batch, *names)]
-    for r in range(batch.num_rows):
+    for r in np.flatnonzero(np.any([s[1] > 0 for s in spans], axis=0)).tolist():
         text = data[off[r] : off[r + 1]]
         yield r, text, [_ranges(s, r, text, *p) for s, p in zip(spans, passes)]
 
@@ -497,11 +521,15 @@ def digest(docs: DataFrame, *, length: int = 400, words: int = 51, **options) ->
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            size, gone, runs, passages, under, sha = *(np.zeros(n, np.int64) for _ in range(5)), []
+            data, off = textkit.column_bytes(*textkit.columns(batch, "text"))
+            gone, runs, passages, under = (np.zeros(n, np.int64) for _ in range(4))
+            cut = {}
             for r, text, ((a, b), (p, q)) in _apply(batch, passes, names):
-                size[r], gone[r], runs[r], passages[r], under[r] = len(text), (b - a).sum(), len(a), len(p), (q - p).sum()
-                sha.append(hashlib.sha256(_keep(text, a, b)).hexdigest())
-            columns = [*textkit.columns(batch, "doc_id"), pa.array(size), pa.array(gone), pa.array(runs), pa.array(sha, pa.string()), pa.array(passages), pa.array(under), pa.array((runs > 0) | (passages > 0))]
+                gone[r], runs[r], passages[r], under[r] = (b - a).sum(), len(a), len(p), (q - p).sum()
+                if len(a):
+                    cut[r] = _keep(text, a, b)
+            sha = [hashlib.sha256(cut[r] if r in cut else data[x:y]).hexdigest() for r, (x, y) in enumerate(zip(off[:-1].tolist(), off[1:].tolist()))]
+            columns = [*textkit.columns(batch, "doc_id"), pa.array(np.diff(off)), pa.array(gone), pa.array(runs), pa.array(sha, pa.string()), pa.array(passages), pa.array(under), pa.array((runs > 0) | (passages > 0))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes", "repeats"])
 
     return found.mapInArrow(textkit.tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long, repeats boolean")

@@ -749,3 +749,21 @@ def test_encoding_holds_little_memory_at_once():
     got = dict(packing._encoded(pa.array([text] * 3000), watched))
     assert len(got) == 3000 and set(got.values()) == {np.array(encoder.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()}
     assert sum(taken) == 3000 * len(text) and max(taken) <= 1 << 20
+
+
+def test_contexts_that_share_no_window_are_not_sorted(spark):
+    """Copies of whole texts, and halves that no window of one anchor reaches, are settled without their texts; all the same is removed."""
+    rng = np.random.default_rng(9)
+    noise = lambda n: "".join(rng.choice(list("ijklmnop "), n))
+    copy = noise(3000)
+    rows = [copy, copy, *(noise(1500) for _ in range(5))]
+    part = noise(400)
+    rows += [noise(700) + part + noise(700), noise(200) + part + noise(900)]
+    sorted_texts, plain = [], suffixdedup._cut
+    suffixdedup._cut = lambda once, *a: (sorted_texts.append(sum(len(r["cuts"]) for r in once.select("cuts").collect())), plain(once, *a))[1]
+    try:
+        got = {r["doc_id"]: r for r in all_rows(suffixdedup.digest(documents(spark, rows), words=51))}
+    finally:
+        suffixdedup._cut = plain
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(rows))] == brute_repeats([t.encode() for t in rows], 400)
+    assert got[0]["n_removed"] == 3000 and got[7]["n_removed"] >= 400 and 2 <= sorted_texts[0] <= 8
