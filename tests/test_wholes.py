@@ -3,7 +3,8 @@
 import numpy as np
 from test_sizes import frame
 
-from bandloom.operators import joins
+from bandloom.functions import gram
+from bandloom.operators import feature, joins
 
 
 def test_distances_copy_no_block_for_each_partner(spark, monkeypatch):
@@ -14,3 +15,25 @@ def test_distances_copy_no_block_for_each_partner(spark, monkeypatch):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Generate explode" not in plan
     assert len(pairs) == 200 * 199 // 2 and all(abs(d - np.linalg.norm(x[a] - x[b])) < 1e-12 for (a, b), d in pairs.items())
+
+
+def test_neighbours_sort_only_what_is_near(monkeypatch):
+    x = np.round(np.random.default_rng(15).standard_normal((400, 3)))  # with many ties
+    d = np.sqrt(((x[:30, None] - x[None]) ** 2).sum(axis=2))
+    want = np.argsort(d, axis=1, kind="stable")[:, :9]
+    sort = np.argsort
+
+    def narrow(a, *more, **p):
+        assert np.ndim(a) == 1 or np.shape(a)[1] <= 9
+        return sort(a, *more, **p)
+
+    monkeypatch.setattr(np, "argsort", narrow)
+    at, near = feature._neighbours(x[:30], x, 9)
+    assert (at == want).all() and np.abs(near - np.take_along_axis(d, want, axis=1)).max() < 1e-12
+
+
+def test_eigenvectors_are_found_with_restarts():
+    a = np.random.default_rng(16).standard_normal((300, 300))
+    a = a @ a.T
+    value, vector = gram.largest(lambda v: a @ v, 300, 3, 1e-10, most=40)
+    assert np.abs(value - np.linalg.eigvalsh(a)[:-4:-1]).max() < 1e-7 and np.abs(a @ vector - vector * value).max() < 1e-6
