@@ -17,6 +17,19 @@ def test_distances_copy_no_block_for_each_partner(spark, monkeypatch):
     assert len(pairs) == 200 * 199 // 2 and all(abs(d - np.linalg.norm(x[a] - x[b])) < 1e-12 for (a, b), d in pairs.items())
 
 
+def test_paths_are_read_a_few_rows_at_a_time(spark, monkeypatch):
+    kept, stored = [], feature.shared.stored
+    monkeypatch.setattr(feature.gram, "CELLS", 1 << 12)
+    monkeypatch.setattr(feature.shared, "stored", lambda df, name: kept.append((name, stored(df, name))) or kept[-1][1])
+    x = np.random.default_rng(14).random((150, 2)) * [5, 1]
+    got = {r["sample_idx"]: r["x"] for r in feature.isomap(frame(spark, x), 2, 8).transform(frame(spark, x)).collect()}
+    assert max(abs(np.corrcoef([got[i][k] for i in range(150)], x[:, 0])[0, 1]) for k in range(2)) > 0.98
+    (conf,) = [table.sparkSession.conf for name, table in kept if name == "geodesics"]
+    for name in ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+        assert int(conf.get(name)) <= 8
+        assert int(spark.conf.get(name)) > 8  # the caller's session stays as it is
+
+
 def test_neighbours_sort_only_what_is_near(monkeypatch):
     x = np.round(np.random.default_rng(15).standard_normal((400, 3)))  # with many ties
     d = np.sqrt(((x[:30, None] - x[None]) ** 2).sum(axis=2))
