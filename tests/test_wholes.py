@@ -50,3 +50,16 @@ def test_eigenvectors_are_found_with_restarts():
     a = a @ a.T
     value, vector = gram.largest(lambda v: a @ v, 300, 3, 1e-10, most=40)
     assert np.abs(value - np.linalg.eigvalsh(a)[:-4:-1]).max() < 1e-7 and np.abs(a @ vector - vector * value).max() < 1e-6
+
+
+def test_rows_further_on_get_many_moves_at_once(monkeypatch):
+    monkeypatch.setattr(gram, "NEAR_ROWS", 7)
+    rng = np.random.default_rng(17)
+    z, y = rng.standard_normal((120, 3)), rng.choice([-1.0, 1.0], (120, 4))
+    k = gram.rbf(z, z, 0.3) + 1
+    b = np.zeros((120, 4))
+    for _ in range(10):
+        for i in range(120):
+            b[i] = np.clip((y[i] - k[i] @ b + 2 * b[i]) / 2, np.minimum(y[i], 0), np.maximum(y[i], 0))
+    got = gram.boxed(z, 0.3, y, np.minimum(y, 0), np.maximum(y, 0), 0.0, 0.0, 10, block=40)
+    assert np.abs(got - b).max() < 1e-9
